@@ -41,10 +41,11 @@ def route(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
 
 
 def _reason(value: Column, has_data: Column) -> Column:
+    no_state = value.isNull() | F.trim(value).isin("", "null")
+    not_an_object = F.when(no_state, TOMBSTONE).otherwise(INVALID_JSON)
     return (
         F.when(F.col("project").isNull(), BAD_TOPIC)
-        .when(value.isNull() | F.trim(value).isin("", "null"), TOMBSTONE)
-        .when(has_data.isNull(), INVALID_JSON)
+        .when(has_data.isNull(), not_an_object)
         .when(~has_data, NO_DATA)
     )
 
@@ -112,10 +113,9 @@ def normalize_typed(messages: DataFrame, columns: str, prefix: str = "cdc") -> D
     meta = "__op STRING, __ts_ms STRING, __deleted STRING"
     schema = f"{columns}, {meta}"
     names = [f.name for f in _ddl(columns)]
-    ok = _reason(F.col("value"), has_data_field(F.col("value"))).isNull()
     parsed = (
         route(messages, prefix)
-        .filter(ok)
+        .filter(F.col("project").isNotNull() & has_data_field(F.col("value")))
         .withColumn("_row", F.from_json("value", schema))
     )
     return parsed.select(

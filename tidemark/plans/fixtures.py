@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core for the JSON work on inputs of fewer files than cores.
+
+    A table of many files already has more scan tasks and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -24,7 +33,7 @@ def millis(ts: str) -> Column:
 
 
 def _account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")
     return ev.select(
         "event_id",
@@ -45,16 +54,21 @@ def _every(n: int) -> Column:
     return F.col("event_id") % n == 0
 
 
+def _text(*parts: str | Column) -> Column:
+    """Literals and columns by turns, joined to one text."""
+    return F.concat(*[F.lit(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A. Change messages, a few of them malformed."""
     ev = _account_events(spark, sf_dir)
     other = F.concat(F.lit("p"), (F.col("user_id") + 1) % 3)
     owner = F.when(_every(97), other).otherwise(F.col("project"))
     topic = F.concat(F.lit("cdc."), "project", F.lit(".proj_"), owner, F.lit(".accounts"))
-    data = F.format_string('"user_id":%d,"value":"%s","props":%s', "user_id", "amount", "props")
-    marks = F.format_string('"__ts_ms":%d,"__deleted":"%s"', "ts_ms", "deleted")
-    op = F.format_string('"__op":"%s"', "op")
-    extra = F.format_string('"extra":"x%d"', F.col("event_id") % 5)
+    data = _text('"user_id":', "user_id", ',"value":"', "amount", '","props":', "props")
+    marks = _text('"__ts_ms":', "ts_ms", ',"__deleted":"', "deleted", '"')
+    op = _text('"__op":"', "op", '"')
+    extra = _text('"extra":"x', F.col("event_id") % 5, '"')
 
     def obj(*parts: Column) -> Column:
         return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
@@ -74,14 +88,90 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A, before flattening: events with the old and the new row."""
     ev = _account_events(spark, sf_dir)
-    row = F.format_string('{"user_id":%d,"value":"%s","props":%s}', "user_id", "amount", "props")
+    row = _text('{"user_id":', "user_id", ',"value":"', "amount", '","props":', "props", "}")
     null = F.lit("null")
     before = F.when(F.col("op") == "c", null).otherwise(row)
     after = F.when(F.col("op") == "d", null).otherwise(row)
-    event = F.format_string('{"before":%s,"after":%s,"op":"%s","ts_ms":%d}', before, after, "op", "ts_ms")
+    event = _text('{"before":', before, ',"after":', after, ',"op":"', "op", '","ts_ms":', "ts_ms", "}")
     return ev.select(
         F.concat(F.lit("cdc."), "project", F.lit(".proj_"), "project", F.lit(".accounts")).alias("topic"),
         "partition",
         "offset",
         F.when(~_every(89), event).alias("value"),
     )
+
+
+# C. Ties within one version are ordered by these after deletes.
+CHANGE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def inbox_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C. Change rows of an inbox keyed by order, one version per ship date."""
+    flag = F.col("l_returnflag")
+    kind = F.when(flag == "A", "insert").when(flag == "N", "update_postimage").otherwise("delete")
+    before = (F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 2 == 0)
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_partkey") % 101 != 0, F.col("l_orderkey")).alias("l_orderkey"),
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.col("l_quantity").cast("decimal(18,2)").alias("l_quantity"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("l_extendedprice"),
+        F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint").alias("_commit_version"),
+        F.when(before, "update_preimage").otherwise(kind).alias("_change_type"),
+    )
+
+
+def order_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D. An operational table for the changes of C."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("l_extendedprice"),
+        F.lit(None).cast("bigint").alias("l_partkey"),
+    )
+
+
+# D. Versions are microseconds: 1998-01-01 of the rows, 1996-01-01 of the ledger.
+ROW_VERSION = 883612800000000
+LEDGER_VERSION = 820454400000000
+
+
+def account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_mktsegment", F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal")
+    )
+
+
+def account_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = account_rows(spark, sf_dir).filter(F.col("c_custkey") % 3 != 0)
+    return rows.withColumn("version", F.lit(ROW_VERSION))
+
+
+def account_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 5 == 0)
+    return keys.select("c_custkey", F.lit(LEDGER_VERSION).alias("lake_version"))
+
+
+def lake_changes(spark: SparkSession, sf_dir: str, unversioned: bool = False) -> DataFrame:
+    """D. Lake-side changes of the accounts; some without a version."""
+    version = micros("o_orderdate")
+    if unversioned:
+        version = F.when(F.col("o_orderkey") % 50 != 0, version)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("c_custkey"),
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("c_acctbal"),
+        F.col("o_orderpriority").alias("note"),
+        version.alias("version"),
+    )
+
+
+def second_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D. The accounts later on: some gone, some changed, some new."""
+    rows = account_rows(spark, sf_dir)
+    key = F.col("c_custkey")
+    raised = F.when(key % 11 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    kept = rows.filter(key % 7 != 0).withColumn("c_acctbal", raised.cast("decimal(18,2)"))
+    new = rows.filter(key % 13 == 0).withColumn("c_custkey", key + 1_000_000)
+    return kept.unionByName(new)

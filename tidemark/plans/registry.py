@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feed_queries
+from tidemark.plans import feed_queries, inbox_queries
 
-_GROUPS = (feed_queries,)
+_GROUPS = (feed_queries, inbox_queries)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]):
