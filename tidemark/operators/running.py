@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class Measure:
-    """A running value: max, count of true, or first non-null, of a column."""
+    """A running value of a column: max, count of true, first or last non-null."""
 
     kind: str
     value: Column
@@ -138,6 +137,8 @@ def _over(m: Measure, window) -> Column:
         return F.max(m.value).over(window)
     if m.kind == "first":
         return F.first(m.value, ignorenulls=True).over(window)
+    if m.kind == "last":
+        return F.last(m.value, ignorenulls=True).over(window)
     if m.kind == "count":
         return F.count_if(m.value).over(window)
     raise ValueError(f"unknown running value {m.kind!r}")
@@ -146,10 +147,12 @@ def _over(m: Measure, window) -> Column:
 def _total(m: Measure, order: Sequence[str]) -> Column:
     if m.kind == "max":
         return F.max(m.value)
+    # min_by and max_by skip rows whose order is null, hence only the wanted ones.
+    at = F.when(m.value.isNotNull(), F.struct(*order))
     if m.kind == "first":
-        # min_by skips rows whose order is null, hence only the wanted ones.
-        at = F.when(m.value.isNotNull(), F.struct(*order))
         return F.min_by(m.value, at)
+    if m.kind == "last":
+        return F.max_by(m.value, at)
     return F.count_if(m.value)
 
 
@@ -158,6 +161,8 @@ def _fold(kind: str, column: Column) -> Column:
         return F.max(column)
     if kind == "first":
         return F.first(column, ignorenulls=True)
+    if kind == "last":
+        return F.last(column, ignorenulls=True)
     return F.sum(column)
 
 
@@ -166,4 +171,6 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
         return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
     if kind == "first":
         return F.coalesce(carried, local)
-    return reduce(lambda a, b: F.when(a.isNull() | (b > a), b).otherwise(a), [carried, local])
+    if kind == "last":
+        return F.coalesce(local, carried)
+    return F.when(carried.isNull() | (local > carried), local).otherwise(carried)

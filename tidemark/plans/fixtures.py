@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.json_text import has_data_field
+from tidemark.functions.type_map import map_types
+from tidemark.operators import envelope
+
 ACCOUNT_COLUMNS = "user_id BIGINT, value STRING, props STRING, extra STRING"
 
 
@@ -61,6 +65,10 @@ def _text(*parts: str | Column) -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A. Change messages, a few of them malformed."""
+    return _timed_messages(spark, sf_dir).drop("ts")
+
+
+def _timed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _account_events(spark, sf_dir)
     other = F.concat(F.lit("p"), (F.col("user_id") + 1) % 3)
     owner = F.when(_every(97), other).otherwise(F.col("project"))
@@ -82,7 +90,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(_every(71), F.concat(F.lit("{"), data))
         .otherwise(obj(data, op, marks))
     )
-    return ev.select(topic.alias("topic"), "partition", "offset", value.alias("value"))
+    return ev.select(topic.alias("topic"), "partition", "offset", value.alias("value"), "ts")
 
 
 def nested_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,3 +183,182 @@ def second_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rows.filter(key % 7 != 0).withColumn("c_acctbal", raised.cast("decimal(18,2)"))
     new = rows.filter(key % 13 == 0).withColumn("c_custkey", key + 1_000_000)
     return kept.unionByName(new)
+
+
+# E. Type names of the catalogue's columns, by turns.
+PG_TYPES = (
+    "boolean", "bool", "smallint", "int2", "integer", "int", "int4", "bigint", "int8", "real", "float4",
+    "double precision", "float8", "text", "date", "bytea", "jsonb", "json", "uuid", "interval", "cidr",
+    "inet", "macaddr", "money", "tsvector", "numeric(10,2)", "decimal ( 12 , 4 )", "numeric(38,0)",
+    "numeric(40,5)", "numeric(50,45)", "numeric", "decimal", "varchar(255)", "character varying", "char(3)",
+    "bpchar", "timestamptz", "timestamp with time zone", "timestamp(3) with time zone", "timestamp",
+    "timestamp (6)", "timestamp without time zone", "time", "timetz", "time with time zone",
+    "time without time zone", "integer[]", "uuid[]", "integer[][]", "varchar(5) [ ]", "numeric(40,5)[]",
+    "numeric(5)", "numeric(5,7)", "time(3)", "timestamptz(3)", "some_custom_enum", "some_custom_enum[]",
+    "", "[]", "  Double   Precision ",
+)
+
+
+def column_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E. A catalogue of tables with twenty columns each."""
+    types = F.array(*[F.lit(t) for t in PG_TYPES])
+    key = F.col("p_partkey")
+    position = (key % 20).cast("int")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("t"), F.floor(key / 20).cast("bigint")).alias("table"),
+        position.alias("position"),
+        F.concat(F.lit("c"), position).alias("name"),
+        F.element_at(types, (key % len(PG_TYPES) + 1).cast("int")).alias("pg_type"),
+        (F.col("p_size") % 2 == 0).alias("nullable"),
+        "p_partkey",
+    )
+
+
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_rows(spark, sf_dir).drop("p_partkey")
+
+
+def registered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F. What is registered of E: some columns missing, changed or left over."""
+    mapped = map_types(column_rows(spark, sf_dir)).filter(F.col("unmapped").isNull())
+    key = F.col("p_partkey")
+    text = F.when(key % 11 == 0, "STRING").otherwise(F.col("lake_type"))
+    text = F.when(key % 2 == 0, F.lower(text)).otherwise(text)
+    kept = mapped.filter(key % 7 != 0).select("table", "name", text.alias("registered_type"))
+    legacy = column_rows(spark, sf_dir).filter(key % 13 == 0).select(
+        "table",
+        F.concat(F.lit("legacy_"), F.col("position")).alias("name"),
+        F.lit("STRING").alias("registered_type"),
+    )
+    return kept.unionByName(legacy)
+
+
+def catalog_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F. Three snapshots of E: 10, 10 and 15 columns of each table."""
+    rows = catalog_rows(spark, sf_dir)
+    width = F.when(F.col("snapshot") == 3, 15).otherwise(10)
+    every = rows.withColumn("snapshot", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    return every.filter(F.col("position") < width)
+
+
+def database_catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """E, as the four catalogue tables of the database itself."""
+    rows = column_rows(spark, sf_dir)
+    oid = F.floor(F.col("p_partkey") / 20).cast("bigint")
+    columns = rows.select(
+        oid.alias("attrelid"),
+        (F.col("position") + 1).alias("attnum"),
+        F.col("name").alias("attname"),
+        F.col("pg_type").alias("format_type"),
+        (~F.col("nullable")).alias("attnotnull"),
+        (F.col("position") == 19).alias("attisdropped"),
+    )
+    first = rows.filter(F.col("position") == 0)
+    system = first.select(
+        oid.alias("attrelid"), F.lit(-1).alias("attnum"), F.lit("ctid").alias("attname"),
+        F.lit("tid").alias("format_type"), F.lit(True).alias("attnotnull"), F.lit(False).alias("attisdropped"),
+    )
+    classes = first.select(
+        oid.alias("oid"), F.col("table").alias("relname"), (oid % 3).alias("relnamespace")
+    )
+    indexes = first.select(
+        oid.alias("indrelid"),
+        F.when(oid % 2 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("indkey"),
+        F.lit(True).alias("indisprimary"),
+    )
+    namespaces = classes.select(
+        F.col("relnamespace").alias("oid"), F.concat(F.lit("proj_p"), F.col("relnamespace")).alias("nspname")
+    ).distinct()
+    return {
+        "attributes": columns.unionByName(system),
+        "classes": classes,
+        "namespaces": namespaces,
+        "indexes": indexes,
+    }
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G. Object keys of a bucket; a third of them are data files."""
+    doc = F.col("doc_id")
+    suffix = F.when(doc % 40 >= 30, "_inbox").otherwise("")
+    folder = F.concat(F.lit("p"), doc % 5, F.lit("/t"), doc % 40, suffix)
+    log = F.concat(folder, F.lit("/_delta_log/"), doc, F.lit(".json"))
+    data = F.concat(folder, F.lit("/part-"), doc, F.lit(".parquet"))
+    key = F.when(doc % 3 == 0, data).otherwise(log)
+    return table(spark, sf_dir, "documents").select(key.alias("key"))
+
+
+def registered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G. Registered tables: some of the stored ones, and some long gone."""
+    doc = F.col("doc_id")
+    some = table(spark, sf_dir, "documents").filter((doc % 4 != 0) & (doc % 40 < 30)).select(
+        F.concat(F.lit("p"), doc % 5).alias("project"), F.concat(F.lit("t"), doc % 40).alias("table")
+    )
+    gone = table(spark, sf_dir, "documents").filter(doc % 50 == 0).select(
+        F.lit("p9").alias("project"), F.concat(F.lit("t"), doc % 100).alias("table")
+    )
+    names = some.unionByName(gone).distinct()
+    return names.select(
+        F.concat(F.lit("proj_"), "project").alias("schema"), "table", F.concat_ws("/", "project", "table").alias("location")
+    )
+
+
+def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H. Raw texts of every encoding, made from the orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    clock = F.concat(
+        F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((c % 60).cast("string"), 2, "0"),
+        F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"),
+    )
+    thousands = F.floor(cents / 100_000).cast("bigint")
+    below = F.lpad((F.floor(cents / 100) % 1000).cast("bigint").cast("string"), 3, "0")
+    money = F.concat(
+        F.lit("$"), thousands, F.lit(","), below, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
+    )
+    hexa = F.md5(k.cast("string"))
+    uuid = F.concat_ws(
+        "-", F.substring(hexa, 1, 8), F.substring(hexa, 9, 4), F.substring(hexa, 13, 4),
+        F.substring(hexa, 17, 4), F.substring(hexa, 21, 12),
+    )
+    cases = (
+        ("interval-micros", F.concat(k % 5, F.lit(" years "), k % 12, F.lit(" mons "), k % 40, F.lit(" days "), clock, F.lit(".5"))),
+        ("interval-micros", F.concat(F.lit("-"), clock)),
+        ("interval-micros", F.concat(F.lit("P"), k % 40, F.lit("DT"), k % 24, F.lit("H"), k % 60, F.lit(".25S"))),
+        ("money-decimal", money),
+        ("money-decimal", F.concat(F.lit("("), money, F.lit(")"))),
+        ("uuid-text", F.concat(F.lit("{"), F.upper(uuid), F.lit("}"))),
+        ("json-text", F.concat(F.lit('{"b": '), k, F.lit(', "a": ['), c, F.lit("]}"))),
+        ("decimal-clamped", F.concat(k, F.repeat(F.lit("7"), (k % 40).cast("int")), F.lit(".125"))),
+        ("decimal-default", F.concat(c, F.lit(".1234567890123456789"))),
+        ("utc-instant", F.concat(F.lit("2001-02-03 "), clock, F.lit("+02"))),
+        ("time-text", F.concat(F.lit(" "), clock, F.lit(".25"))),
+        ("array-1d", F.concat(F.lit("{{"), k, F.lit(","), c, F.lit("},{NULL,7}}"))),
+        ("interval-micros", F.lit("soon")),
+        ("money-decimal", F.lit("n/a")),
+        ("uuid-text", F.lit("1234")),
+        ("json-text", F.concat(F.lit('{"b": '), k)),
+        ("decimal-clamped", F.lit("abc")),
+        ("utc-instant", F.lit("yesterday")),
+        ("time-text", F.lit("25:00")),
+        ("array-1d", F.lit("1,2")),
+    )
+    kind = (k % len(cases)).cast("int")
+    encoding, raw = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, text) in enumerate(cases):
+        encoding = F.when(kind == i, name).otherwise(encoding)
+        raw = F.when(kind == i, text).otherwise(raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), encoding.alias("encoding"), raw.alias("raw"))
+
+
+def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B. The ledger of a feed that took A in one version per three days."""
+    data = F.coalesce(has_data_field(F.col("value")), F.lit(False))
+    three_days = 3 * 86_400_000_000
+    return _timed_messages(spark, sf_dir).groupBy(
+        F.floor(micros("ts") / three_days).cast("bigint").alias("version"), "topic", "partition"
+    ).agg(
+        F.max("offset").alias("max_offset"),
+        F.count_if(F.col("topic").rlike(envelope.topic_pattern()) & data).alias("rows"),
+        F.max(F.col("ts").cast("timestamp")).alias("commit_ts"),
+    )
