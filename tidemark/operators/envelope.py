@@ -68,23 +68,35 @@ def normalize(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
     """
     parsed = route(messages, prefix).withColumn("_has_data", has_data_field(F.col("value")))
     parsed = parsed.withColumn("reason", _reason(F.col("value"), F.col("_has_data")))
-    fields = F.when(
-        F.col("reason").isNull(), F.from_json("value", "map<string,variant>")
-    )
-    parsed = parsed.withColumn("_fields", fields)
+    ok = F.col("reason").isNull()
+    return _split(parsed, F.when(ok, _fields()), ["reason"])
+
+
+def feed_rows(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
+    """Only the messages that lead to a feed row, in the form of ``normalize``."""
+    usable = F.col("project").isNotNull() & has_data_field(F.col("value"))
+    return _split(route(messages, prefix).filter(usable), _fields(), [])
+
+
+def _fields() -> Column:
+    return F.from_json("value", "map<string,variant>")
+
+
+def _split(messages: DataFrame, fields: Column, extra: list[str]) -> DataFrame:
+    parsed = messages.withColumn("_fields", fields)
 
     def meta(name: str) -> Column:
         return F.try_variant_get(F.col("_fields")[META_PREFIX + name], "$", "string")
 
     data = F.map_filter("_fields", lambda k, _: ~F.startswith(k, F.lit(META_PREFIX)))
-    ok = F.col("reason").isNull()
+    ok = F.col("_fields").isNotNull()
     return parsed.select(
         "topic",
         "partition",
         "offset",
         "project",
         "table",
-        "reason",
+        *extra,
         F.when(ok, _op(meta("op"))).alias("_op"),
         F.when(ok, F.expr("try_cast(try_variant_get(_fields['__ts_ms'], '$', 'string') AS BIGINT)")).alias("_ts_ms"),
         F.when(ok, _deleted(meta("deleted"))).alias("_deleted"),
@@ -92,10 +104,6 @@ def normalize(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
     )
 
 
-def feed_rows(normalized: DataFrame) -> DataFrame:
-    return normalized.filter(F.col("reason").isNull()).drop("reason")
-
-
 def rejects(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
     """Messages that break the contract, with the reason. Tombstones do not."""
     routed = route(messages, prefix)

@@ -74,7 +74,7 @@ def route_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cdc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelope.feed_rows(envelope.normalize(fx.messages(spark, sf_dir))).select(
+    return envelope.feed_rows(fx.messages(spark, sf_dir)).select(
         "project",
         "table",
         "partition",
@@ -180,7 +180,7 @@ def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = envelope.feed_rows(envelope.normalize(fx.messages(spark, sf_dir)))
+    feed = envelope.feed_rows(fx.messages(spark, sf_dir))
     return infer.infer_columns(feed)
 
 

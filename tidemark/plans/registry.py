@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feed_queries, inbox_queries, metric_queries, type_queries
+from tidemark.plans import feed_queries, inbox_queries, metric_queries, stream_queries, type_queries
 
-_GROUPS = (feed_queries, inbox_queries, type_queries, metric_queries)
+_GROUPS = (feed_queries, inbox_queries, type_queries, metric_queries, stream_queries)
 
 
 def _in_utc(query: Callable[[SparkSession, str], DataFrame]):

@@ -119,7 +119,7 @@ def schema_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelope.feed_rows(envelope.normalize(fx.messages(spark, sf_dir)))
+    return envelope.feed_rows(fx.messages(spark, sf_dir))
 
 
 def typed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,18 +42,20 @@ class Inbox:
     def dataset(self, spark: SparkSession) -> str:
         return self._head(spark)["dataset"]
 
-    def changes(self, spark: SparkSession, after: int = -1) -> DataFrame:
-        """Change rows of committed versions after ``after``; older files are pruned."""
+    def changes(self, spark: SparkSession, after: int = -1, upto: int | None = None) -> DataFrame:
+        """Change rows of the versions in (after, upto]; other files are pruned."""
         head = self._head(spark)
+        upto = head["version"] if upto is None else min(upto, head["version"])
         schema = f"{head['columns']}, _change_type STRING, version BIGINT"
         stored = ledger.read_or_empty(spark, f"{self.root}/data", schema)
-        mine = stored.filter((F.col("version") > after) & (F.col("version") <= head["version"]))
+        mine = stored.filter((F.col("version") > after) & (F.col("version") <= upto))
         return mine.withColumnRenamed("version", "_commit_version")
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return inbox.table_rows(self.changes(spark), self.keys)
 
-    def _write(self, spark: SparkSession, changes: DataFrame, operation: str) -> int:
+    def write_changes(self, spark: SparkSession, changes: DataFrame, operation: str) -> int:
+        """Commit change rows, as a statement that does several things at once gives them."""
         head = self._head(spark)
         version = head["version"] + 1
         fields = StructType.fromDDL(head["columns"]).fields
@@ -64,10 +66,10 @@ class Inbox:
         return version
 
     def insert(self, rows: DataFrame) -> int:
-        return self._write(rows.sparkSession, inbox.insert_rows(rows), "insert")
+        return self.write_changes(rows.sparkSession, inbox.insert_rows(rows), "insert")
 
     def update(self, spark: SparkSession, where: Column, assign: Mapping[str, Column]) -> int:
-        return self._write(spark, inbox.update_rows(self.rows(spark), where, assign), "update")
+        return self.write_changes(spark, inbox.update_rows(self.rows(spark), where, assign), "update")
 
     def delete(self, spark: SparkSession, where: Column) -> int:
-        return self._write(spark, inbox.delete_rows(self.rows(spark), where), "delete")
+        return self.write_changes(spark, inbox.delete_rows(self.rows(spark), where), "delete")

@@ -94,7 +94,10 @@ class KeyedTable:
         filled = {r[0] for r in present.select("bucket").distinct().collect()}
         places = {b: v for b, v in held.items() if b not in touched}
         places |= {b: version for b in filled}
+        # A merge from elsewhere leaves the progress of the source as it was.
         # An emptied table still has an entry, which carries the progress.
+        if not source and entry:
+            source, source_version = entry[0]["source"], entry[0]["source_version"]
         rows = [(b, v, source, source_version) for b, v in sorted(places.items())]
         rows = rows or [(0, None, source, source_version)]
         ledger.commit(spark.createDataFrame(rows, ENTRY), self.root, version)
