@@ -181,7 +181,7 @@ def map_types(columns: DataFrame, pg_type: str = "pg_type") -> DataFrame:
         .when(local, "timestamp without time zone")
     )
     unmapped = (
-        F.when(base == "", EMPTY_TYPE).when(bad_scale, INVALID_SCALE).when(lake.isNull(), NO_MAPPING)
+        F.when(base.isNull() | (base == ""), EMPTY_TYPE).when(bad_scale, INVALID_SCALE).when(lake.isNull(), NO_MAPPING)
     )
     dims, is_array = F.col("_dims"), F.col("_dims") > 0
     ok = unmapped.isNull()
@@ -191,7 +191,7 @@ def map_types(columns: DataFrame, pg_type: str = "pg_type") -> DataFrame:
         "encoding": F.when(ok, F.when(is_array, "array-1d").otherwise(encoding)),
         "note": F.when(ok, F.trim(F.concat(F.repeat(F.lit(ARRAY_NOTE + " "), dims), note))),
         "reverse_type": F.when(ok, F.concat(back, F.repeat(F.lit("[]"), dims))),
-        "unmapped": F.coalesce(unmapped, F.when(F.col(pg_type).isNull(), EMPTY_TYPE)),
+        "unmapped": unmapped,
     }
     return parts.select(*columns.columns, *[c.alias(n) for n, c in result.items()])
 
