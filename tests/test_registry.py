@@ -49,10 +49,12 @@ def test_scans_are_pruned(spark):
     assert "l_discount" not in plan
 
 
-def test_latest_per_key_collapses_before_the_shuffle(spark):
-    plan = entry.queries()["current_state"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    shuffle = plan.index("Exchange hashpartitioning")
-    assert "partial_max_by" in plan[shuffle:]
+@pytest.mark.parametrize("name", ["current_state", "net_change", "latest_rank", "reverse_apply"])
+def test_keys_collapse_before_the_shuffle(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    limit = plan.index("WindowGroupLimit")
+    shuffle = plan.index("Exchange hashpartitioning", limit)
+    assert "WindowGroupLimit" in plan[shuffle:]
 
 
 def test_flagship(spark):

@@ -209,7 +209,7 @@ def schema_history(
     """
     columns = F.sort_array(F.collect_list(F.struct("position", "name", "pg_type")))
     lists = snapshots.groupBy(*table, "snapshot").agg(F.sha2(F.to_json(columns), 256).alias("_list"))
-    chunks = find_chunks(lists, table, ["snapshot"], hot_rows)
+    chunks = find_chunks(snapshots, table, ["snapshot"], hot_rows)
     if chunks:
         lists = chunks.assign(lists)
     before = {"_before": Measure("last", F.col("_list"))}

@@ -14,9 +14,8 @@ def infer_columns(feed: DataFrame) -> DataFrame:
     whose values disagree, which is reported as ``mixed``.
     """
     parsed = feed.select("project", "table", F.try_parse_json("data").alias("_doc"))
-    parsed.createOrReplaceTempView("_infer_docs")
     fields = parsed.sparkSession.sql(
-        "SELECT project, table, key AS name, value FROM _infer_docs, LATERAL variant_explode(_doc)"
+        "SELECT project, table, key AS name, value FROM {docs}, LATERAL variant_explode(_doc)", docs=parsed
     )
     observed = fields.groupBy("project", "table", "name").agg(
         F.schema_of_variant_agg("value").alias("seen"),

@@ -320,7 +320,7 @@ def registered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("p"), doc % 5).alias("project"), F.concat(F.lit("t"), doc % 40).alias("table")
     )
     gone = table(spark, sf_dir, "documents").filter(doc % 50 == 0).select(
-        F.lit("p9").alias("project"), F.concat(F.lit("t"), doc % 100).alias("table")
+        F.concat(F.lit("p"), doc % 50 + 9).alias("project"), F.concat(F.lit("t"), doc % 100).alias("table")
     )
     names = some.unionByName(gone).distinct()
     return names.select(
