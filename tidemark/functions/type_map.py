@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import local_rows
+
 # Type name, lake type, lossy, encoding, note, type on the way back.
 TYPES = (
     ("boolean", "BOOLEAN", False, "native", "", "boolean"),
@@ -231,7 +233,7 @@ def declare(spark: SparkSession, columns: Sequence[tuple[str, str]]) -> list:
     One table has at most 1,600 columns, so this is small wherever it runs.
     """
     rows = [(i, name, pg_type) for i, (name, pg_type) in enumerate(columns)]
-    mapped = map_types(spark.createDataFrame(rows, "position INT, name STRING, pg_type STRING"))
+    mapped = map_types(local_rows(spark, rows, "position INT, name STRING, pg_type STRING"))
     found = sorted(mapped.collect(), key=lambda r: r["position"])
     bad = [f"{r['name']} ({r['pg_type']}): {r['unmapped']}" for r in found if r["unmapped"]]
     if bad:

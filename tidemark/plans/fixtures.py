@@ -373,7 +373,8 @@ def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, text) in enumerate(cases):
         encoding = F.when(kind == i, name).otherwise(encoding)
         raw = F.when(kind == i, text).otherwise(raw)
-    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), encoding.alias("encoding"), raw.alias("raw"))
+    orders = spread(table(spark, sf_dir, "orders"))
+    return orders.select("o_orderkey", kind.alias("kind"), encoding.alias("encoding"), raw.alias("raw"))
 
 
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

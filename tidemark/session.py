@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -25,6 +30,15 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A handful of rows as a local relation, which needs no Python worker."""
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+    columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, schema=arrow), struct)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names.
 

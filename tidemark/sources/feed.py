@@ -24,9 +24,12 @@ ACCEPTED, REJECTED, EMPTY = "accepted", "rejected", "tombstone"
 
 def offset_marks(spark: SparkSession, root: str) -> DataFrame:
     """The committed offset of every topic partition."""
-    last = ledger.last_version(spark, root, ENTRY)
-    newest = ledger.entries(spark, root, ENTRY).filter(F.col("version") == last)
-    return newest.select("topic", "partition", "max_offset")
+    return _marks_of(spark, root, ledger.last_version(spark, root, ENTRY))
+
+
+def _marks_of(spark: SparkSession, root: str, version: int) -> DataFrame:
+    entry = ledger.entries(spark, root, ENTRY).filter(F.col("version") == version)
+    return entry.select("topic", "partition", "max_offset")
 
 
 def append(messages: DataFrame, root: str, prefix: str = "cdc") -> int | None:
@@ -36,8 +39,8 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc") -> int | None:
     marks are taken from the written version, so the batch itself runs once.
     """
     spark = messages.sparkSession
-    version = ledger.last_version(spark, root, ENTRY) + 1
-    old = offset_marks(spark, root)
+    last = ledger.last_version(spark, root, ENTRY)
+    version, old = last + 1, _marks_of(spark, root, last)
     rows = envelope.normalize(collapse.drop_committed(messages, old), prefix)
     status = (
         F.when(F.col("reason").isNull(), ACCEPTED)
@@ -50,11 +53,11 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc") -> int | None:
     sized.write.mode("overwrite").partitionBy("status", "project", "table").parquet(path)
 
     written = ledger.read_or_empty(spark, path, STORED.replace("version BIGINT, ", ""))
+    if not written.inputFiles():
+        return None
     new = written.groupBy("topic", "partition").agg(
         F.max("offset").alias("_new"), F.count_if(F.col("status") == ACCEPTED).alias("_rows")
     )
-    if not new.head(1):
-        return None
     marks = old.join(new, ["topic", "partition"], "full_outer").select(
         "topic",
         "partition",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators import inbox
+from tidemark.session import local_rows
 from tidemark.sources import ledger
 
 ENTRY = "dataset STRING, columns STRING, operation STRING, commit_ts TIMESTAMP"
@@ -29,7 +30,7 @@ class Inbox:
         self._commit(spark, 0, uuid.uuid4().hex, columns, "create")
 
     def _commit(self, spark, version: int, dataset: str, columns: str, operation: str) -> None:
-        row = spark.createDataFrame([(dataset, columns, operation)], "dataset STRING, columns STRING, operation STRING")
+        row = local_rows(spark, [(dataset, columns, operation)], "dataset STRING, columns STRING, operation STRING")
         ledger.commit(row.withColumn("commit_ts", F.current_timestamp()), self.root, version)
 
     def _head(self, spark: SparkSession):

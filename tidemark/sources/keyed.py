@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import apply_changes
+from tidemark.session import local_rows
 from tidemark.sources import ledger
 
 ENTRY = "bucket INT, data_version BIGINT, source STRING, source_version BIGINT"
@@ -57,7 +58,7 @@ class KeyedTable:
             f"{self.root}/data/version={v}/bucket={b}" for b, v in places if v is not None
         ]
         if not paths:
-            return spark.createDataFrame([], self.schema)
+            return local_rows(spark, [], self.schema)
         base = spark.read.schema(self.schema).option("basePath", f"{self.root}/data")
         names = [f.name for f in _fields(self.schema)]
         return base.parquet(*paths).select(*names)
@@ -81,7 +82,7 @@ class KeyedTable:
         self._bucket(changes).write.mode("overwrite").partitionBy("bucket").parquet(staged)
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.schema.fields)
         batch = ledger.read_or_empty(spark, staged, f"{ddl}, bucket INT")
-        touched = {r[0] for r in batch.select("bucket").distinct().collect()}
+        touched = ledger.partition_values(batch, "bucket")
 
         held = {r["bucket"]: r["data_version"] for r in entry}
         current = self._read(spark, [(b, held[b]) for b in touched if b in held])
@@ -91,7 +92,7 @@ class KeyedTable:
         sized.write.mode("overwrite").partitionBy("bucket").parquet(out)
 
         present = ledger.read_or_empty(spark, out, f"{self.schema}, bucket INT")
-        filled = {r[0] for r in present.select("bucket").distinct().collect()}
+        filled = ledger.partition_values(present, "bucket")
         places = {b: v for b, v in held.items() if b not in touched}
         places |= {b: version for b in filled}
         # A merge from elsewhere leaves the progress of the source as it was.
@@ -100,7 +101,7 @@ class KeyedTable:
             source, source_version = entry[0]["source"], entry[0]["source_version"]
         rows = [(b, v, source, source_version) for b, v in sorted(places.items())]
         rows = rows or [(0, None, source, source_version)]
-        ledger.commit(spark.createDataFrame(rows, ENTRY), self.root, version)
+        ledger.commit(local_rows(spark, rows, ENTRY), self.root, version)
         return version
 
     def merge(self, changes: DataFrame, source: str = "", source_version: int = -1) -> int:

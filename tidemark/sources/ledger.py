@@ -9,10 +9,14 @@ With a transactional table format on the cluster use ``adapters`` instead.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import local_rows
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A dataset with a declared schema, empty before the first write."""
@@ -20,7 +24,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
+            return local_rows(spark, [], schema)
         raise
 
 
@@ -28,10 +32,18 @@ def entries(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return read_or_empty(spark, f"{root}/ledger", f"version BIGINT, {schema}")
 
 
+def partition_values(stored: DataFrame, column: str) -> set[int]:
+    """The values of an integer partition column, from the names of the files.
+
+    Needs no job: Spark has listed the files to plan the read.
+    """
+    names = (re.search(rf"/{column}=(\d+)/", path) for path in stored.inputFiles())
+    return {int(m.group(1)) for m in names if m}
+
+
 def last_version(spark: SparkSession, root: str, schema: str) -> int:
     """The last committed version, -1 before the first commit."""
-    newest = entries(spark, root, schema).agg(F.max("version")).first()[0]
-    return -1 if newest is None else newest
+    return max(partition_values(entries(spark, root, schema), "version"), default=-1)
 
 
 def commit(entry: DataFrame, root: str, version: int) -> None:
