@@ -3,7 +3,7 @@
 A window sorts all rows of a key in one task. Where a key holds a large share of
 the rows, its rows are cut into chunks at quantiles of the order column: each
 chunk is scanned by its own task and starts from the values carried over from the
-chunks before it. The cut is exact, for any order column.
+chunks before it. The result is the same as without cuts.
 """
 
 from __future__ import annotations
@@ -11,16 +11,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # A key is cut when it has more rows than this.
 HOT_ROWS = 1_000_000
-# Bounds of what the driver learns about hot keys, and of the carried table:
-# at most MAX_HOT * MAX_CHUNKS rows.
+# Bounds of what the driver learns about hot keys: so many keys and cuts.
 MAX_HOT = 256
-MAX_CHUNKS = 128
+MAX_CHUNKS = 4096
+# Keys followed by the frequency sketch; it misses none above 1/75,000 of all rows.
 TRACKED = 100_000
 
 CHUNK = "_chunk"
@@ -49,10 +50,13 @@ class Chunks:
 
     def assign(self, rows: DataFrame) -> DataFrame:
         """Add the chunk of each row, 0 for the keys that are not cut."""
-        bounds = F.array(*[F.lit(c) for c in self.cuts])
-        position = F.col(self.order).cast("double")
-        cut = F.size(F.filter(bounds, lambda b: b <= position))
-        return rows.withColumn(CHUNK, F.when(self.is_hot, cut).otherwise(0))
+        edges = [float("-inf"), *self.cuts, float("inf")]
+        cutter = Bucketizer(splits=edges, inputCol="_at", outputCol="_cut", handleInvalid="keep")
+        # Nulls come first in the window, hence into the first chunk.
+        at = F.coalesce(F.col(self.order).cast("double"), F.lit(float("-inf")))
+        placed = cutter.transform(rows.withColumn("_at", at))
+        chunk = F.when(self.is_hot, F.col("_cut").cast("int")).otherwise(0)
+        return placed.withColumn(CHUNK, chunk).drop("_at", "_cut")
 
     def replicate(self, lookup: DataFrame) -> DataFrame:
         """Give a lookup row to every chunk of its key."""
@@ -105,7 +109,7 @@ def running_before(
     if not chunks:
         return local
     carried = _carry(rows.filter(chunks.is_hot), keys, order, measures)
-    joined = local.join(F.broadcast(carried), [*keys, CHUNK], "left")
+    joined = local.join(carried, [*keys, CHUNK], "left")
     result = {
         n: _combine(m.kind, F.col(f"_carry_{n}"), F.col(n)) for n, m in measures.items()
     }
