@@ -134,6 +134,21 @@ def test_metrics(spark):
     assert tuple(metrics.lag(ends, marks, ["grp"]).first()) == ("g", 6 + 0 + 5)
 
 
+def test_rate_of_a_stream(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    entries = spark.sql("""SELECT * FROM VALUES
+        (0L, 'cdc.p.proj_p.t', 0, 9L, 60L, TIMESTAMP'2024-01-01 00:00:10'),
+        (1L, 'cdc.p.proj_p.t', 0, 19L, 30L, TIMESTAMP'2024-01-01 00:01:50') AS t(version, topic, partition, max_offset, rows, commit_ts)""")
+    entries.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(entries.schema).parquet(path)
+    query = (
+        metrics.rate(stream).writeStream.format("memory").queryName("rates").outputMode("complete")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(r["rows_per_second"] for r in spark.table("rates").collect()) == [0.5, 1.0]
+
+
 def test_snapshot_rows(spark):
     rows = spark.sql("SELECT 1L id, CAST(19.9 AS DECIMAL(10,2)) amount, CAST(NULL AS STRING) note")
     row = cdc.snapshot_rows(rows, "p", "t", 5).first()

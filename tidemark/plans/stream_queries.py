@@ -157,7 +157,8 @@ FROM del WHERE reason IS NULL
 SELECT topic, part AS partition, off AS "offset", reason, version FROM del WHERE reason IS NOT NULL AND reason <> 'tombstone'
 """,
     "feed_scan": MESSAGES_SQL + """
-SELECT project, n_op AS op, count(*) AS changes, count(DISTINCT user_id) AS accounts, sum(CAST(amount AS DECIMAL(10,2))) AS amount
+SELECT project, n_op AS op, count(*) AS changes, count(DISTINCT user_id) AS accounts,
+       CAST(sum(CAST(amount AS DECIMAL(10,2))) AS DECIMAL(20,2)) AS amount
 FROM feed GROUP BY project, n_op
 """,
     "forward_stream": MESSAGES_SQL + """

@@ -42,11 +42,14 @@ def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataF
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names.
 
-    A temporary folder is used only where the session names none, which is the
-    case in single-machine runs.
+    A temporary folder stands in on a single machine whose session names none.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="tidemark-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 def new_work_folder(spark: SparkSession, label: str) -> str:

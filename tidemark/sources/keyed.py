@@ -79,7 +79,7 @@ class KeyedTable:
         last, entry = self._newest(spark)
         version = last + 1
         staged = f"{self.root}/staged/version={version}"
-        self._bucket(changes).write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        _write_buckets(self._bucket(changes), staged)
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.schema.fields)
         batch = ledger.read_or_empty(spark, staged, f"{ddl}, bucket INT")
         touched = ledger.partition_values(batch, "bucket")
@@ -88,8 +88,7 @@ class KeyedTable:
         current = self._read(spark, [(b, held[b]) for b in touched if b in held])
         merged = self._bucket(combine(current, batch.drop("bucket")))
         out = f"{self.root}/data/version={version}"
-        sized = merged.hint("rebalance", "bucket")
-        sized.write.mode("overwrite").partitionBy("bucket").parquet(out)
+        _write_buckets(merged, out)
 
         present = ledger.read_or_empty(spark, out, f"{self.schema}, bucket INT")
         filled = ledger.partition_values(present, "bucket")
@@ -111,6 +110,12 @@ class KeyedTable:
         )
 
 
+def _write_buckets(rows: DataFrame, path: str) -> None:
+    """Few files per bucket, whatever the number of tasks that hold its rows."""
+    sized = rows.hint("rebalance", "bucket")
+    sized.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def _fields(schema: str):
     from pyspark.sql.types import StructType
 
