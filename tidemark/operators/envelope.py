@@ -98,7 +98,7 @@ def _split(messages: DataFrame, fields: Column, extra: list[str]) -> DataFrame:
         "table",
         *extra,
         F.when(ok, _op(meta("op"))).alias("_op"),
-        F.when(ok, F.expr("try_cast(try_variant_get(_fields['__ts_ms'], '$', 'string') AS BIGINT)")).alias("_ts_ms"),
+        F.when(ok, meta("ts_ms").try_cast("bigint")).alias("_ts_ms"),
         F.when(ok, _deleted(meta("deleted"))).alias("_deleted"),
         F.when(ok, F.to_json(data)).alias("data"),
     )

@@ -11,7 +11,7 @@ from tidemark.plans import fixtures as fx
 from tidemark.plans.feed_queries import MESSAGES_SQL
 from tidemark.sources import feed
 
-# 2024-01-20 as a number of three-day spans: what is committed for the lag.
+# 2024-01-18 as a number of three-day spans: what is committed for the lag.
 COMMITTED = 6580
 
 
