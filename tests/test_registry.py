@@ -49,7 +49,7 @@ def test_scans_are_pruned(spark):
     assert "l_discount" not in plan
 
 
-@pytest.mark.parametrize("name", ["current_state", "net_change", "latest_rank", "reverse_apply"])
+@pytest.mark.parametrize("name", ["current_state", "net_change", "latest_rank"])
 def test_keys_collapse_before_the_shuffle(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     limit = plan.index("WindowGroupLimit")
@@ -57,5 +57,12 @@ def test_keys_collapse_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan[shuffle:]
 
 
+def test_applied_changes_collapse_where_they_were_judged(spark):
+    plan = entry.queries()["reverse_apply"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    judged = plan.index("Window [max(")
+    limit = plan.rindex("WindowGroupLimit", 0, judged)
+    assert "Exchange" not in plan[limit:judged]
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
