@@ -81,6 +81,22 @@ def test_reasons(spark):
     assert envelope.rejects(messages(spark, None, "[1]")).count() == 1
 
 
+def test_all_paths_accept_the_same_texts(spark):
+    odd = [
+        '{"a":1}x', '{"a":1,"a":2}', '{"a":NaN}', '{"a":Infinity}', "{'a':1}", '{"a":1e400}', '{"a":0012}', '{"a":1',
+        '{"a":"\\u00e9"}', "[1]", "5", '"text"', "{}", '{"__op":5,"a":[1,{"c":1.10}],"__deleted":true,"__ts_ms":"12"}',
+    ]
+    sent = messages(spark, *odd)
+    rows = envelope.normalize(sent).collect()
+    accepted = {r["offset"] for r in rows if r["reason"] is None}
+    assert {r["offset"] for r in envelope.feed_rows(sent).collect()} == accepted
+    assert {r["offset"] for r in envelope.normalize_typed(sent, "a STRING").collect()} == accepted
+    assert {r["offset"] for r in envelope.rejects(sent).collect()} == set(range(len(odd))) - accepted
+    reasons = {r["offset"]: r["reason"] for r in envelope.rejects(sent).collect()}
+    assert {r["offset"]: r["reason"] for r in rows if r["reason"]} == reasons
+    assert all(r["data"] for r in rows if r["reason"] is None)
+
+
 def test_both_readers_agree(spark):
     values = [{"id": 1, "doc": {"b": 1, "a": [2]}, "__op": "u", "__ts_ms": 5}, {"__op": "c"}, None, "{x"]
     raw = envelope.decode(envelope.feed_rows(messages(spark, *values)), "id BIGINT, doc STRING")

@@ -22,4 +22,8 @@ def json_or_text(text: Column) -> Column:
 
 def has_data_field(text: Column) -> Column:
     """True if a JSON object has a field that is table data, null if no object."""
-    return F.exists(F.json_object_keys(text), lambda k: ~F.startswith(k, F.lit(META_PREFIX)))
+    return F.exists(F.json_object_keys(text), is_data_field)
+
+
+def is_data_field(name: Column) -> Column:
+    return ~F.startswith(name, F.lit(META_PREFIX))

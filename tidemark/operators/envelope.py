@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.json_text import META_PREFIX, has_data_field
+from tidemark.functions.json_text import META_PREFIX, has_data_field, is_data_field
 
 # Reasons a message leads to no feed row.
 BAD_TOPIC = "bad_topic"
@@ -66,10 +66,11 @@ def normalize(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
     ``data`` is the JSON text of the data fields; nested values in it have sorted
     keys and no spaces.
     """
-    parsed = route(messages, prefix).withColumn("_has_data", has_data_field(F.col("value")))
-    parsed = parsed.withColumn("reason", _reason(F.col("value"), F.col("_has_data")))
-    ok = F.col("reason").isNull()
-    return _split(parsed, F.when(ok, _fields()), ["reason"])
+    parsed = route(messages, prefix).withColumn("_parsed", _fields())
+    has_data = F.exists(F.map_keys("_parsed"), is_data_field)
+    reasoned = parsed.withColumn("reason", _reason(F.col("value"), has_data))
+    fields = F.when(F.col("reason").isNull(), F.col("_parsed"))
+    return _split(reasoned, fields, ["reason"])
 
 
 def feed_rows(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
@@ -79,7 +80,8 @@ def feed_rows(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
 
 
 def _fields() -> Column:
-    return F.from_json("value", "map<string,variant>")
+    # Strict numbers, as in ``has_data_field``: both must accept the same texts.
+    return F.from_json("value", "map<string,variant>", {"allowNonNumericNumbers": "false"})
 
 
 def _split(messages: DataFrame, fields: Column, extra: list[str]) -> DataFrame:
@@ -88,7 +90,7 @@ def _split(messages: DataFrame, fields: Column, extra: list[str]) -> DataFrame:
     def meta(name: str) -> Column:
         return F.try_variant_get(F.col("_fields")[META_PREFIX + name], "$", "string")
 
-    data = F.map_filter("_fields", lambda k, _: ~F.startswith(k, F.lit(META_PREFIX)))
+    data = F.map_filter("_fields", lambda k, _: is_data_field(k))
     ok = F.col("_fields").isNotNull()
     return parsed.select(
         "topic",
