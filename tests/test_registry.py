@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from scripts.check_oracle import rows_of
+from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 STORED = {
@@ -24,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cur = duck.execute(entry.oracle_sql()[name])
@@ -35,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in STORED])
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in STORED])
 def test_plan_stays_inside_the_engine(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
