@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.common import _BYTES, batch, byte_columns, kept_in_worker, mixed, slices, table
+from tidemark.llm.common import arrow_map, _BYTES, batch, byte_columns, kept_in_worker, mixed, slices, table
 
 #: Pre-tokens at the end of a chunk that what follows may still change: a contraction reaches over two.
 OPEN = 2
@@ -213,7 +213,7 @@ def encode_documents(documents: DataFrame, path: str, with_ids: bool = True, chu
 
     wanted = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return wanted.mapInArrow(encode, names + ", ids binary" * with_ids)
+    return arrow_map(wanted, encode, names + ", ids binary" * with_ids)
 
 
 _DECODED = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -228,7 +228,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [encoder.decode(ids or b"").decode() for ids in rows.column(1).to_pylist()]
             yield batch(_DECODED, (rows.column(0), texts))
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(decode, "doc_id long, text string")
+    return arrow_map(encoded.select(F.col("doc_id").cast("long"), "ids"), decode, "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def _ship_code(spark: SparkSession) -> None:
+    """Sends this package to the workers once per application, wherever the driver loaded it from."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+
+
+def arrow_map(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on the Arrow batches of each partition."""
+    _ship_code(rows.sparkSession)
+    return rows.mapInArrow(work, schema)
+
+
 def written(rows: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder, which cuts the lineage.
 
@@ -63,7 +88,7 @@ _KEPT: dict[str, tuple[str, object]] = {}
 
 def kept_in_worker(kind: str, key: str, build: Callable[[], object]) -> object:
     """One object of a kind per Python worker, built anew when the key changes."""
-    if _KEPT.get(kind, ("",))[0] != key:
+    if kind not in _KEPT or _KEPT[kind][0] != key:
         _KEPT[kind] = (key, build())
     return _KEPT[kind][1]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, byte_columns, kept_in_worker, table, written
+from tidemark.llm.common import arrow_map, batch, byte_columns, kept_in_worker, table, written
 
 WINDOW = 13
 #: Key text of one automaton. A node of the trie takes about 50 bytes.
@@ -63,7 +63,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             yield batch(_WINDOWS, (keys, owners))
 
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(cut, "window binary, item_id long").dropDuplicates()
+    return arrow_map(rows, cut, "window binary, item_id long").dropDuplicates()
 
 
 def _automaton(keys: list[bytes], owners: list[list[int]]) -> ahocorasick.Automaton:
@@ -112,7 +112,7 @@ def _scanned(documents: DataFrame, keys: list[bytes], owners: list[list[int]]) -
             )
             yield batch(schema, (rows.column(0), rows.column(1), n_words, hits, items))
 
-    return documents.mapInArrow(scan, f"doc_id long, text string, n_words long, {_HITS}")
+    return arrow_map(documents, scan, f"doc_id long, text string, n_words long, {_HITS}")
 
 
 def _spans(raw: bytes, hit: list[int]) -> list[dict]:
@@ -161,7 +161,7 @@ def find_contamination(
         if k + 1 < blocks:
             rows = written(rows, "scanned")
     spans = "array<struct<start:int,end:int>>"
-    return rows.mapInArrow(_mapped, f"doc_id long, n_words long, n_hit long, item_ids array<long>, hit_spans {spans}")
+    return arrow_map(rows, _mapped, f"doc_id long, n_words long, n_hit long, item_ids array<long>, hit_spans {spans}")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.common import batch, kept_in_worker, table
+from tidemark.llm.common import arrow_map, batch, kept_in_worker, table
 
 #: Entries of the broadcast table, and of the proposal of one task.
 TABLE_SIZE = 8192
@@ -110,7 +110,7 @@ def frequent_parts(documents: DataFrame, path: str, table_size: int = TABLE_SIZE
         top = seen.most_common(PROPOSED)
         yield batch(_PROPOSALS, ([p for p, _ in top], [n for _, n in top], [splitter.count(p) for p, _ in top]))
 
-    found = documents.select(F.col("text").cast("string")).mapInArrow(propose, "part string, n long, tokens long")
+    found = arrow_map(documents.select(F.col("text").cast("string")), propose, "part string, n long, tokens long")
     found = found.groupBy("part").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens"))
     return found.orderBy(F.desc("n"), "part").limit(table_size)
 
@@ -135,7 +135,7 @@ def count_tokens(documents: DataFrame, path: str, table_size: int = TABLE_SIZE)
             )
 
     wanted = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return wanted.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    return arrow_map(wanted, count, "doc_id long, n_bytes long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
