@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, token_counts
+from tidemark.llm import bpe, chat, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts
 
-_GROUPS = (ngram_join, quality_classifier, language_id, bpe, token_counts, line_dedup, decontaminate, chat, quality_rules)
+_GROUPS = (ngram_join, suffix_dedup, quality_classifier, language_id, bpe, token_counts, line_dedup, decontaminate, chat, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
