@@ -42,26 +42,41 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _WHITE), lambda w: w != "")
 
 
+#: Windows of a text with fewer words than this are sorted as one number: 49 bits of hash, then 15 of position.
+_SHORT = 1 << 15
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more among these words."""
 
-    def windows(w: Column) -> Column:
-        last = F.size(w) - 3
-        numbered = F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-        )
-        return F.when(last >= 0, F.array_sort(numbered))
+    def window(w: Column, i: Column) -> Column:
+        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
-    def twice(s: Column) -> Column:
-        same = lambda a, k: F.coalesce(F.get(s, k)["h"] == a["h"], F.lit(False))
-        found = F.filter(s, lambda a, k: F.when(k > 0, same(a, k - 1)).otherwise(False) | same(a, k + 1))
-        return F.array_sort(F.transform(found, lambda a: a["i"]))
+    def positions(w: Column, number, hash_of, place_of) -> Column:
+        """Positions of the windows that occur again, in order; equal windows sort side by side."""
+        numbered = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: number(window(w, i), i))
+        again = lambda s: F.filter(
+            s,
+            lambda a, k: F.coalesce(hash_of(F.get(s, k - 1)) == hash_of(a), F.lit(False))
+            | F.coalesce(hash_of(F.get(s, k + 1)) == hash_of(a), F.lit(False)),
+        )
+        return F.sort_array(F.transform(let(F.sort_array(numbered), again), place_of))
+
+    def found(w: Column) -> Column:
+        short = positions(
+            w,
+            lambda h, i: h.bitwiseAND(F.lit(-_SHORT).cast("long")).bitwiseOR(i.cast("long")),
+            lambda x: F.shiftright(x, 15),
+            lambda x: x.bitwiseAND(F.lit(_SHORT - 1).cast("long")).cast("int"),
+        )
+        long = positions(
+            w, lambda h, i: F.struct(h.alias("h"), i.alias("i")), lambda x: x["h"], lambda x: x["i"]
+        )
+        return F.when(F.size(w) < 3, F.array().cast("array<int>")).when(F.size(w) < _SHORT, short).otherwise(long)
 
     start = F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(F.lit(3), i - acc["at"])).alias("n"))
-    covered = F.aggregate(let(let(words, windows), twice), start, step, lambda acc: acc["n"])
-    return F.coalesce(covered, F.lit(0).cast("long"))
+    return F.aggregate(let(words, found), start, step, lambda acc: acc["n"])
 
 
 def repeated_lines(text: Column) -> Column:
@@ -73,13 +88,13 @@ def repeated_lines(text: Column) -> Column:
 def base_columns(documents: DataFrame) -> DataFrame:
     """doc_id, text, _words and the figures of the base rules."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    symbols = F.regexp_count(text, F.lit("[#*$%&|<>]"))
     rows = documents.select(F.col("doc_id"), F.col("text").cast("string")).withColumn("_words", word_list(F.col("text")))
     return rows.select(
         "doc_id",
         "_words",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         repeated_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
