@@ -7,9 +7,10 @@ shingles to inverted lists, which are scanned; small sets that may match a large
 between small and large is where the measured costs of both ways cross. Every candidate list is verified on whole sets.
 
 Scale: equal sets are collapsed first, by a partial aggregate, so a group of copies costs one set. Lists with the same
-members are scanned once. A long list is cut into blocks and scanned as pairs of blocks by different tasks, so a task
-holds two blocks at most. A list is verified by products of its incidence matrix, and a task returns one link per member
-to the least it is connected to, never all pairs. Only the order's ``HEAVY`` most frequent shingles are broadcast; they
+members are scanned once, and lists that share members are scanned together where that ships fewer sets. What is long is
+cut into blocks and scanned as pairs of blocks by different tasks, so a task holds two blocks at most. Intersections are
+counted pair by pair for rare shingles and by products of the incidence matrix for others, and a task returns one link
+per member to the least it is connected to, never all pairs. Only the order's ``HEAVY`` most frequent shingles are broadcast; they
 change speed, not results: any order gives the same links.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of fewer words than a
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, batch, byte_columns, kept_in_worker, mixed, range_hashes, slices, table, words, written
@@ -36,6 +37,8 @@ HEAVY = 1 << 16
 PROPOSED = 2000
 #: Members and shingles of a block of a list.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles of at most so many sets of a group are counted pair by pair.
+LIGHT = 16
 _MATRIX = 1 << 22
 
 
@@ -189,18 +192,30 @@ def _met(sets: Sets, threshold: tuple[int, int]) -> np.ndarray:
     """For each set the least number of a set it is connected to by links within this group."""
     n, num, den = len(sets.sizes), *threshold
     shingles, which, df = np.unique(sets.shingles, return_inverse=True, return_counts=True)
-    common = df[which] > 1
-    column = (np.cumsum(df > 1) - 1)[which[common]]
-    owner = sets.owner[common]
-    width = max(1, _MATRIX // max(n, 1))
     inter = np.zeros((n, n), np.float32)
-    by = np.argsort(column, kind="stable")
-    owner, column = owner[by], column[by]
+    by = np.argsort(which, kind="stable")
+    owner, which, df = sets.owner[by], which[by], df[which[by]]
+    # Light shingles: each pair of their few owners. Owners of one shingle stand in rising order.
+    light = df <= LIGHT
+    few, own = which[light], owner[light]
+    for apart in range(1, min(LIGHT, len(few))):
+        same = np.flatnonzero(few[apart:] == few[:-apart])
+        if not len(same):
+            break
+        pairs, times = np.unique(own[same] * n + own[same + apart], return_counts=True)
+        inter.ravel()[pairs] += times
+    inter += inter.T
+    # Heavy shingles: products of the incidence matrix, some columns at a time.
+    owner, column = owner[~light], which[~light]
+    fresh = np.append(True, column[1:] != column[:-1]) if len(column) else np.zeros(0, bool)
+    column = np.cumsum(fresh) - 1
+    width = max(1, _MATRIX // max(n, 1))
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, (a, a + width))
         part = np.zeros((n, int(column[hi - 1]) - a + 1), np.float32)
         part[owner[lo:hi], column[lo:hi] - a] = 1
         inter += part @ part.T
+    inter[np.arange(n), np.arange(n)] = sets.sizes
     near = np.zeros((n, n), bool)
     for a in range(0, n, 256):
         shared = np.rint(inter[a : a + 256]).astype(np.int64)
@@ -219,7 +234,7 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links within each block pair (key, i, j), whose rows come together in order."""
+    """Links within each block pair (kind, key, i, j), whose rows come together in order."""
 
     def links(group: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([g[0] for g in group])
@@ -238,9 +253,9 @@ def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, group = None, []
         for rows in batches:
-            keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
-            ids = rows.column(3).to_numpy()
-            data, bounds = byte_columns(rows.column(4))
+            keys = np.stack([rows.column(k).to_numpy() for k in range(4)])
+            ids = rows.column(4).to_numpy()
+            data, bounds = byte_columns(rows.column(5))
             cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(ids)]))
             for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
                 if a == b:
@@ -254,8 +269,8 @@ def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         if group:
             yield from links(group)
 
-    order = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return arrow_map(order.select("key", "i", "j", "doc_id", "text"), scan, "a long, b long")
+    order = members.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j")
+    return arrow_map(order.select("kind", "key", "i", "j", "doc_id", "text"), scan, "a long, b long")
 
 
 def _sets_of(data: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> Sets:
@@ -272,6 +287,50 @@ def _sets_of(data: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> Sets:
     return out
 
 
+def _blocks(sets: Column, shingles: Column, block_sets: int) -> Column:
+    return F.ceil(F.greatest(sets / block_sets, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of (member, kind, key, blocks) once for each pair of blocks their member belongs to."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    rows = rows.select("member", "kind", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("member", "kind", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _members(classes: DataFrame, block_sets: int) -> DataFrame:
+    """(member, kind, key, i, j): which sets are compared where.
+
+    Lists that share members form a cluster. A cluster is compared as a whole, once, if that sends its sets to fewer
+    places than its lists would; else each of its lists is scanned. Either way all pairs of a list meet.
+    """
+    posted = classes.select(F.col("rep").alias("member"), "n", F.explode("keys").alias("key"))
+    lists = posted.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.sum("n").alias("shingles"),
+        F.sum(F.xxhash64("member").cast("decimal(20,0)")).alias("who"),
+        F.min("member").alias("hub"),
+    )
+    lists = lists.where("members > 1").groupBy("members", "who", "hub", "shingles").agg(F.min("key").alias("at"))
+    lists = lists.select("at", "hub", _blocks(F.col("members"), F.col("shingles"), block_sets).alias("blocks"))
+    listed = posted.join(lists, F.col("key") == F.col("at")).select("member", "n", "key", "hub", "blocks")
+    listed = written(listed, "listed")
+    clusters = components(listed.select(F.col("member").alias("a"), F.col("hub").alias("b")))
+    sets = listed.groupBy("member").agg(F.max("n").alias("n"), F.sum("blocks").alias("sent"))
+    sets = sets.join(clusters, F.col("member") == F.col("node"), "left")
+    sets = sets.select("member", "n", "sent", F.coalesce("root", "member").alias("cluster"))
+    sizes = sets.groupBy(F.col("cluster").alias("of")).agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.sum("sent").alias("sent")
+    )
+    sizes = sizes.withColumn("parts", _blocks(F.col("sets"), F.col("shingles"), block_sets))
+    sizes = sizes.select("of", "parts", (F.col("parts") * F.col("sets") <= F.col("sent")).alias("whole"))
+    sets = written(sets.join(sizes, F.col("cluster") == F.col("of")).select("member", "cluster", "parts", "whole"), "clusters")
+    by_cluster = sets.where("whole").select("member", F.lit(0).alias("kind"), F.col("cluster").alias("key"), F.col("parts").alias("blocks"))
+    apart = sets.where("not whole").select(F.col("member").alias("_member"))
+    by_list = listed.join(apart, F.col("member") == F.col("_member")).select("member", F.lit(1).alias("kind"), "key", "blocks")
+    return _dealt(by_cluster).unionByName(_dealt(by_list)).distinct()
+
+
 def similar_documents(
     documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, boundary: int | None = None, block_sets: int = BLOCK_SETS
 ) -> DataFrame:
@@ -283,22 +342,7 @@ def similar_documents(
     some = sketches.where("n > 0 and doc_id is not null")
     classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     classes = written(classes, "classes")
-    posted = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("keys").alias("key"))
-    lists = posted.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.sum("n").alias("shingles"),
-        F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who"),
-    )
-    lists = lists.where("members > 1").groupBy("members", "who").agg(F.min("key").alias("at"), F.min("shingles").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("members") / block_sets, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    lists = lists.select("at", blocks.alias("blocks"))
-    members = posted.join(lists, F.col("key") == F.col("at")).withColumn(
-        "own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    )
-    members = members.select("doc_id", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select(
-        F.col("doc_id").alias("member"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    ).distinct()
+    members = _members(classes, block_sets)
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     links = _scanned(texts.join(members, F.col("doc_id") == F.col("member")), threshold)
     roots = components(links)
