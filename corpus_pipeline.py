@@ -1,8 +1,67 @@
-"""The training-data pipeline: quality rules, line dedup, near-duplicate join, decontamination, encoding."""
+"""The training-data pipeline: from documents to token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet and reads it again.
+All stages but the last return the columns of documents.
+
+1. quality_rules: documents that the rules or the likelihood ratio reject go.
+2. line_dedup: later copies of repeated line runs are cut out; a document of which no word is left goes. ``n_chars``
+   follows the text.
+3. ngram_join: of each group of similar documents the one of the smallest doc_id stays.
+4. decontaminate: documents that hold benchmark windows go.
+5. bpe: token ids of what is left.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
+from tidemark.llm.common import table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(docs)
+    touched = F.size("_runs") > 0
+    cut = cut.where(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        length = F.when(touched, F.length("text")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (little-endian 32-bit integers)."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", keep_one_of_similar),
+    ("decontaminate", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: SQL has neither the hashed likelihood ratio nor the tokenizer; tests/llm compares with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 TRUSTED = 20_000
 #: A document's mean log ratio must reach this; about the ratio of a text with one foreign n-gram in ten.
 THRESHOLD = -0.15
+#: N-grams added to the trusted and the expected count of a bucket, so that rare ones say little.
+SMOOTH = 5.0
 _WHITE = r"[\x20\x09-\x0D]+"
 _SOLID = r"[^\x20\x09-\x0D]"
 
@@ -85,20 +87,23 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def base_columns(documents: DataFrame) -> DataFrame:
-    """doc_id, text, _words and the figures of the base rules."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    symbols = F.regexp_count(text, F.lit("[#*$%&|<>]"))
-    rows = documents.select(F.col("doc_id"), F.col("text").cast("string")).withColumn("_words", word_list(F.col("text")))
-    return rows.select(
-        "doc_id",
-        "_words",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
-        repeated_lines(F.col("text")).alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+def measured(documents: DataFrame) -> DataFrame:
+    """The documents with their _words and, as one column _base, the figures of the base rules."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.withColumn("_words", word_list(text))
+    n_words, n_repeat = F.size("_words").cast("long"), repeated_words(F.col("_words"))
+    rows = rows.withColumn(
+        "_base",
+        F.struct(
+            n_words.alias("n_words"),
+            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            repeated_lines(text).alias("n_dup_lines"),
+            n_repeat.alias("n_repeat_words"),
+        ),
     )
+    failed = (F.col("_base.n_words") < 50) | (100 * F.col("_base.n_repeat_words") > 50 * F.col("_base.n_words"))
+    return rows.withColumn("_failed", failed)
 
 
 def ngram_buckets(words: Column) -> Column:
@@ -124,7 +129,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame) -> list[float]:
-    """log p(bucket | trusted) - log p(bucket | all), each count one more than found."""
+    """log p(bucket | trusted) - log p(bucket | all), with ``SMOOTH`` more n-grams in both at the rate of all."""
     ids = F.broadcast(trusted_ids(labels))
     rows = documents.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left")
     grams = rows.select(
@@ -135,29 +140,33 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> list[float]:
     n_all, n_trusted = sum(r["n"] for r in found), sum(r["t"] for r in found)
     ratios = [0.0] * BUCKETS
     if n_trusted:
-        shift = math.log((n_all + BUCKETS) / (n_trusted + BUCKETS))
         for r in found:
-            ratios[r["bucket"]] = math.log((r["t"] + 1) / (r["n"] + 1)) + shift
+            expected = r["n"] * n_trusted / n_all
+            ratios[r["bucket"]] = math.log((r["t"] + SMOOTH) / (expected + SMOOTH))
     return ratios
 
 
-def judge(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, the figures of the base rules, base_failed, log_ratio (per n-gram), kept."""
-    table_text = ",".join(map(repr, log_ratios(documents, labels)))
-    ratios = F.split(F.lit(table_text), ",").cast("array<double>")
-    grams = let(
+def _judged(documents: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The documents with _base, _failed, _ratio (mean log ratio) and _kept."""
+    numbers = ",".join(map(repr, log_ratios(documents, labels)))
+    ratios = F.split(F.lit(numbers), ",").cast("array<double>")  # folded into one constant
+    ratio = let(
         ngram_buckets(F.col("_words")),
         lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(F.size(g), F.lit(1)),
     )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = base_columns(documents).withColumns({"base_failed": failed, "log_ratio": grams}).drop("_words")
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
+    rows = measured(documents).withColumn("_ratio", ratio).drop("_words")
+    return rows.withColumn("_kept", ~F.col("_failed") & (F.col("_ratio") >= threshold))
+
+
+def judge(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: doc_id, the figures of the base rules, base_failed, log_ratio (per n-gram), kept."""
+    rows = _judged(documents.select("doc_id", "text"), labels, threshold)
+    return rows.select("doc_id", "_base.*", F.col("_failed").alias("base_failed"), F.col("_ratio").alias("log_ratio"), F.col("_kept").alias("kept"))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The kept documents with their own columns. A document id that occurs more than once needs one kept row."""
-    kept = judge(documents, labels).where("kept").select(F.col("doc_id").alias("_td_kept")).distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(F.col("_td_kept")), "left_semi")
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The kept documents with their own columns."""
+    return _judged(documents, labels, threshold).where("_kept").select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
