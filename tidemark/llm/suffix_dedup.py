@@ -17,8 +17,9 @@ Method, on Spark:
 Scale: a unit is about 40 bytes apart from the next and is shuffled as four numbers. Copies inside a task's batch are
 settled there, so a group of copies sends one unit a batch. A task walks along sorted units holding at most ``CROWD``. An
 anchor value with more classes than that (the edge of a passage that very many documents share) is not sorted in one
-task: its strings are told apart by 128 bits of hash, and the first of each is a partial aggregate; the results are the
-same. Texts are shuffled once by document, for fetching bytes in step 3 and for the final cut.
+task: its units are cut anew by anchors of 92-byte grams, which few of them share, and go through the same steps; should
+one of those be crowded too, its strings are told apart by 128 bits of hash, and the first of each is a partial
+aggregate. The results are the same. Texts are shuffled once by document, for fetching bytes in step 3 and for the final cut.
 
 Defined results: null and empty texts have no bytes. Rows of one doc_id with different texts are told apart by 24 bits of
 a hash of the text and stand in its order; fully equal rows are one document, and each is returned cut the same way. A
@@ -39,23 +40,26 @@ from tidemark.llm.common import _BYTES, arrow_map, batch, byte_columns, mixed, r
 from tidemark.llm.suffix_sort import later_copies
 
 LENGTH = 100
-GRAM = 20
-SPAN = LENGTH - GRAM + 1
+#: Bytes of the grams that anchors are chosen from; the longer one tells the units of a crowded anchor apart.
+GRAMS = (20, 92)
 #: Strings of one unit at most; longer runs of one anchor are cut.
 UNIT = 128
 #: Classes of one anchor value that one task sorts.
 CROWD = 8192
+#: Bytes whose copies a task settles among themselves.
+FIND_BYTES = 8 << 20
 #: Bytes a task suffix-sorts on average.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on."""
-    h, step = _BYTES[data], 0x9E3779B97F4A7C15
-    for width in (1, 2, 4, 8):
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each place on: of two overlapping halves."""
+    h, step, width = _BYTES[data], 0x9E3779B97F4A7C15, 1
+    while 2 * width <= gram:
         h = h[:-width] * np.uint64(step) + h[width:]
         step = step * step % (1 << 64)
-    return mixed(h[: 16 - GRAM] * np.uint64(0xD6E8FEB86659FD93) + h[GRAM - 16 :])
+        width *= 2
+    return mixed(h[: len(h) - (gram - width)] * np.uint64(0xD6E8FEB86659FD93) + h[gram - width :])
 
 
 def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -67,13 +71,14 @@ def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(y[: len(x) - width + 1], y[width - w : width - w + len(x) - width + 1])
 
 
-def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+def units(data: np.ndarray, bounds: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """Units of texts laid end to end: owner, first and last start of their strings, anchor value, hash of all their
     bytes, and whether the anchor stands in them more than once."""
     if len(data) < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
-    grams = _grams(data)
-    least = _slid(grams, SPAN, np.minimum)
+    span = LENGTH - gram + 1
+    grams = _grams(data, gram)
+    least = _slid(grams, span, np.minimum)
     n = len(least)
     inside = np.zeros(n + 1, np.int32)
     lengths = np.diff(bounds)
@@ -93,11 +98,11 @@ def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = first[which] + nth * UNIT
         last = np.minimum(last[which], first + UNIT - 1)
-    held = np.concatenate((np.zeros(SPAN - 1, np.uint64), np.where(inside, least, np.uint64(0)), np.zeros(SPAN - 1, np.uint64)))
-    anchors = np.flatnonzero(_slid(held, SPAN, np.maximum) == grams)
+    held = np.concatenate((np.zeros(span - 1, np.uint64), np.where(inside, least, np.uint64(0)), np.zeros(span - 1, np.uint64)))
+    anchors = np.flatnonzero(_slid(held, span, np.maximum) == grams)
     equal = np.append(0, np.cumsum(grams[anchors[1:]] == grams[anchors[:-1]])) if len(anchors) else np.zeros(1, np.int64)
     a = np.searchsorted(anchors, first)
-    b = np.searchsorted(anchors, last + SPAN - 1, side="right") - 1
+    b = np.searchsorted(anchors, last + span - 1, side="right") - 1
     again = equal[b] > equal[a]
     owner = np.searchsorted(bounds, first, side="right") - 1
     return owner, first - bounds[owner], last - bounds[owner], least[first], range_hashes(data, first, last + LENGTH), again
@@ -128,35 +133,41 @@ def _by_order(doc: np.ndarray, null: np.ndarray, place: np.ndarray, *keys: np.nd
     return np.lexsort((place >> 8, doc, ~null, *keys))
 
 
-def _found_units(documents: DataFrame) -> DataFrame:
-    """Units that are the first of their class in a batch, and with null anchor and content those that repeat one."""
+def _found_units(stretches: DataFrame, gram: int) -> DataFrame:
+    """Units of (doc, place, bytes), where the place says what starts the bytes hold: those that are the first of their
+    class in a batch and, with null anchor and content, those that repeat one."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            data, bounds = byte_columns(rows.column(2))
-            subs = rows.column(1).to_numpy()
-            null = rows.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids = rows.column(0).fill_null(0).to_numpy()
-            found = []
-            for i, j in slices(bounds):
-                owner, first, last, anchor, content, again = units(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                owner = owner + i
-                found.append((anchor.view(np.int64), content.view(np.int64), ids[owner], null[owner], _packed(subs[owner], first, last, again)))
-            if not found:
-                continue
-            anchor, content, doc, no_id, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = _by_order(doc, no_id, place, content, anchor)
-            anchor, content, doc, no_id, place = anchor[by], content[by], doc[by], no_id[by], place[by]
-            copy = np.zeros(len(by), bool)
-            copy[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
-            same = np.zeros(len(by), bool)  # the same place again: a row that occurs twice
-            same[1:] = copy[1:] & (doc[1:] == doc[:-1]) & (no_id[1:] == no_id[:-1]) & (place[1:] == place[:-1])
-            keep = ~same
-            columns = (pa.array(anchor[keep], mask=copy[keep]), pa.array(content[keep], mask=copy[keep]))
-            yield batch(_UNIT, (*columns, pa.array(doc[keep], mask=no_id[keep]), place[keep]))
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.expr(_SUB), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, find, "anchor long, content long, doc long, place long")
+        for whole in batches:
+            for a, b in slices(byte_columns(whole.column(2))[1], FIND_BYTES):
+                yield from found(whole.slice(a, b - a))
+
+    def found(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, bounds = byte_columns(rows.column(2))
+        places = rows.column(1).to_numpy()
+        subs, bases = _sub(places), _first(places)
+        null = rows.column(0).is_null().to_numpy(zero_copy_only=False)
+        ids = rows.column(0).fill_null(0).to_numpy()
+        parts = []
+        for i, j in slices(bounds):
+            owner, first, last, anchor, content, again = units(
+                data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], gram
+            )
+            owner = owner + i
+            place = _packed(subs[owner], first + bases[owner], last + bases[owner], again)
+            parts.append((anchor.view(np.int64), content.view(np.int64), ids[owner], null[owner], place))
+        anchor, content, doc, no_id, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = _by_order(doc, no_id, place, content, anchor)
+        anchor, content, doc, no_id, place = anchor[by], content[by], doc[by], no_id[by], place[by]
+        copy = np.zeros(len(by), bool)
+        copy[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+        same = np.zeros(len(by), bool)  # the same place again: a row that occurs twice
+        same[1:] = copy[1:] & (doc[1:] == doc[:-1]) & (no_id[1:] == no_id[:-1]) & (place[1:] == place[:-1])
+        keep = ~same
+        keys = (pa.array(anchor[keep], mask=copy[keep]), pa.array(content[keep], mask=copy[keep]))
+        yield batch(_UNIT, (*keys, pa.array(doc[keep], mask=no_id[keep]), place[keep]))
+
+    return arrow_map(stretches.select("doc", "place", "bytes"), find, "anchor long, content long, doc long, place long")
 
 
 #: What a settled unit is: a whole repeat, one to be sorted with others of its anchor, or one of a crowded anchor.
@@ -278,7 +289,7 @@ def _fetched(texts: DataFrame, settled: DataFrame) -> DataFrame:
                 part = slice(i, i + 4096)
                 yield batch(schema, (kind[part], anchor[part], rows.column(0).take(pa.array(owner[part])), place[part], pieces))
 
-    asked = settled.where(F.col("kind") != REPEAT).select("doc", F.shiftright("place", 39).alias("sub"), "kind", "anchor", "place")
+    asked = settled.select("doc", F.shiftright("place", 39).alias("sub"), "kind", "anchor", "place")
     asked = asked.groupBy(_key().alias("_key")).agg(F.collect_list(F.struct("kind", "anchor", "place")).alias("asked"))
     rows = texts.join(asked, F.col("key") == F.col("_key")).select("doc", "text", "asked")
     return arrow_map(rows, cut, "kind int, anchor long, doc long, place long, bytes binary")
@@ -386,30 +397,37 @@ def _cut(rows: DataFrame, with_kept: bool) -> DataFrame:
     return arrow_map(rows, cut, columns + ", kept binary" * with_kept)
 
 
-def remove_repeats(documents: DataFrame, with_kept: bool = True, crowd: int = CROWD) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if wanted, kept."""
-    settled = written(_settle(_found_units(documents), crowd), "settled")
-    counts = settled.groupBy("kind").agg(
-        F.sum(F.shiftright("place", 1).bitwiseAND(127) + LENGTH).alias("bytes"), F.count(F.lit(1)).alias("n")
-    )
-    size = {r["kind"]: r["bytes"] for r in counts.collect()}  # three rows
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.expr(_SUB).alias("sub"), F.col("text").cast("string"))
-    texts = texts.withColumn("key", _key())
-    repeats = settled.where(F.col("kind") == REPEAT)
+def _later(found: DataFrame, texts: DataFrame, grams: tuple[int, ...], crowd: int) -> DataFrame:
+    """(doc, sub, start, stop): the starts of all later strings among the given units."""
+    settled = written(_settle(found, crowd), "settled")
+    count = F.shiftright("place", 1).bitwiseAND(127)
+    sizes = settled.groupBy("kind").agg(F.sum(count + LENGTH).alias("bytes"))
+    size = {r["kind"]: r["bytes"] for r in sizes.collect()}  # three rows
     first = F.shiftright("place", 8).bitwiseAND(0x7FFFFFFF)
-    stretches = repeats.select(
+    out = settled.where(F.col("kind") == REPEAT).select(
         "doc",
         F.shiftright("place", 39).alias("sub"),
         first.cast("int").alias("start"),
-        (first + F.shiftright("place", 1).bitwiseAND(127)).cast("int").alias("stop"),
+        (first + count).cast("int").alias("stop"),
     )
-    if SORT in size or CROWDED in size:
-        pieces = _fetched(texts, settled)
-        if SORT in size:
-            tasks = int(size[SORT] // SORT_BYTES + 1)
-            stretches = stretches.unionByName(_sorted_units(pieces.where(F.col("kind") == SORT), tasks))
-        if CROWDED in size:
-            stretches = stretches.unionByName(_crowded_units(pieces.where(F.col("kind") == CROWDED)))
+    if SORT in size:
+        tasks = int(size[SORT] // SORT_BYTES + 1)
+        out = out.unionByName(_sorted_units(_fetched(texts, settled.where(F.col("kind") == SORT)), tasks))
+    if CROWDED in size:
+        pieces = _fetched(texts, settled.where(F.col("kind") == CROWDED))
+        if grams:
+            out = out.unionByName(_later(_found_units(pieces, grams[0]), texts, grams[1:], crowd))
+        else:
+            out = out.unionByName(_crowded_units(pieces))
+    return out
+
+
+def remove_repeats(documents: DataFrame, with_kept: bool = True, crowd: int = CROWD) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if wanted, kept."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.expr(_SUB).alias("sub"), F.col("text").cast("string"))
+    whole = texts.select("doc", F.shiftleft("sub", 39).alias("place"), F.col("text").alias("bytes"))
+    texts = texts.withColumn("key", _key())
+    stretches = _later(_found_units(whole, GRAMS[0]), texts, GRAMS[1:], crowd)
     own = stretches.groupBy(_key().alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     rows = texts.join(own, F.col("key") == F.col("_key"), "left").select("doc", "text", "found")
     return _cut(rows, with_kept)
