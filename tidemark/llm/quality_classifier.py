@@ -59,15 +59,17 @@ def _weights(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) ->
 
 
 def calibrated(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Share of good ones per bin, not falling with the bin: neighbours out of order are pooled."""
-    rate = (good.sum() + 1) / (good.sum() + bad.sum() + 2)
+    """Share of good ones per bin, not falling with the bin: neighbours out of order are pooled. A pool counts one more
+    document at the base rate, a bin a trace of one."""
+    rate, trace = (good.sum() + 1) / (good.sum() + bad.sum() + 2), 0.01
     pools: list[list[float]] = []
     for g, b in zip(good, bad, strict=True):
-        pools.append([g + rate, g + b + 1, 1])
+        pools.append([g + trace * rate, g + b + trace, 1])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             g2, n2, k2 = pools.pop()
             pools[-1] = [pools[-1][0] + g2, pools[-1][1] + n2, pools[-1][2] + k2]
-    return np.concatenate([np.full(int(k), g / n) for g, n, k in pools]).clip(0.001, 0.999)
+    shares = np.concatenate([np.full(int(k), (g + rate) / (n + 1)) for g, n, k in pools])
+    return np.maximum.accumulate(shares).clip(0.001, 0.999)
 
 
 def labelled_ids(labels: DataFrame, most: int = LABELLED) -> DataFrame:
