@@ -4,7 +4,8 @@ Method: a global order of shingles puts the frequent ones last. A pair of sets t
 least k of the first d + k shingles of each, where d is the number of shingles a set may lack. Small sets enumerate all
 subsets of size two of their first d + 2 shingles and meet where a subset is equal. Large sets post their first d + 1
 shingles to inverted lists, which are scanned; small sets that may match a large one post there as well. The boundary
-between small and large is where the measured costs of both ways cross. Every candidate list is verified on whole sets.
+between small and large is where the measured costs of both ways cross. Short lists drop pairs whose sizes or places of
+the shared shingle rule a match out. What is left is verified on whole sets.
 
 Scale: equal sets are collapsed first, by a partial aggregate, so a group of copies costs one set. Lists with the same
 members are scanned once, and lists that share members are scanned together where that ships fewer sets. What is long is
@@ -32,9 +33,11 @@ from tidemark.llm.components import components
 
 SHINGLE = 3
 THRESHOLD = (90, 100)
-#: Shingles known to be frequent, which come last in the order.
-HEAVY = 1 << 16
-PROPOSED = 2000
+#: Shingles known to be frequent, which come last in the order, and how many a batch proposes.
+HEAVY = 1 << 18
+PROPOSED = 1 << 15
+#: Lists of more members are scanned as a whole; in shorter ones pairs are told apart by size and position first.
+SHORT_LIST = 32
 #: Members and shingles of a block of a list.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Shingles of at most so many sets of a group are counted pair by pair.
@@ -93,7 +96,7 @@ def shingle_statistics(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, fl
                 ]
                 shingles, n = np.unique(np.concatenate(found), return_counts=True)
                 top = np.argsort(-n, kind="stable")[:PROPOSED]
-                top = top[n[top] > 3]
+                top = top[n[top] > 2]
                 yield batch(_COUNTED, (shingles[top].view(np.int64), n[top], np.zeros(len(top)), np.zeros(len(top))))
                 yield batch(_COUNTED, ([None], [None], [int(n.sum())], [int(n[n > 1].sum())]))
 
@@ -188,14 +191,13 @@ def _sketches(documents: DataFrame, order: _Order, boundary: int, threshold: tup
     return arrow_map(rows, sketch, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
-def _met(sets: Sets, threshold: tuple[int, int]) -> np.ndarray:
-    """For each set the least number of a set it is connected to by links within this group."""
-    n, num, den = len(sets.sizes), *threshold
-    shingles, which, df = np.unique(sets.shingles, return_inverse=True, return_counts=True)
-    inter = np.zeros((n, n), np.float32)
+def _shared(n: int, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How many values each two of n owners share; no owner has a value twice, and owners rise."""
+    _, which, df = np.unique(value, return_inverse=True, return_counts=True)
     by = np.argsort(which, kind="stable")
-    owner, which, df = sets.owner[by], which[by], df[which[by]]
-    # Light shingles: each pair of their few owners. Owners of one shingle stand in rising order.
+    owner, which, df = owner[by], which[by], df[which[by]]
+    inter = np.zeros((n, n), np.float32)
+    # Light values: each pair of their few owners.
     light = df <= LIGHT
     few, own = which[light], owner[light]
     for apart in range(1, min(LIGHT, len(few))):
@@ -205,7 +207,7 @@ def _met(sets: Sets, threshold: tuple[int, int]) -> np.ndarray:
         pairs, times = np.unique(own[same] * n + own[same + apart], return_counts=True)
         inter.ravel()[pairs] += times
     inter += inter.T
-    # Heavy shingles: products of the incidence matrix, some columns at a time.
+    # Heavy values: products of the incidence matrix, some columns at a time.
     owner, column = owner[~light], which[~light]
     fresh = np.append(True, column[1:] != column[:-1]) if len(column) else np.zeros(0, bool)
     column = np.cumsum(fresh) - 1
@@ -215,12 +217,12 @@ def _met(sets: Sets, threshold: tuple[int, int]) -> np.ndarray:
         part = np.zeros((n, int(column[hi - 1]) - a + 1), np.float32)
         part[owner[lo:hi], column[lo:hi] - a] = 1
         inter += part @ part.T
-    inter[np.arange(n), np.arange(n)] = sets.sizes
-    near = np.zeros((n, n), bool)
-    for a in range(0, n, 256):
-        shared = np.rint(inter[a : a + 256]).astype(np.int64)
-        union = sets.sizes[a : a + 256, None] + sets.sizes[None, :] - shared
-        near[a : a + 256] = (den * shared >= num * union) & (union > 0)
+    return inter
+
+
+def _roots(near: np.ndarray) -> np.ndarray:
+    """For each of n the least it is connected to by a symmetric matrix."""
+    n = len(near)
     root = np.arange(n, dtype=np.int32)
     while True:
         least = np.minimum(root, np.where(near, root[None, :], np.int32(n)).min(axis=1, initial=n))
@@ -230,9 +232,83 @@ def _met(sets: Sets, threshold: tuple[int, int]) -> np.ndarray:
         root = least
 
 
+def _met(sets: Sets, threshold: tuple[int, int]) -> np.ndarray:
+    """For each set the least number of a set it is connected to by links within this group."""
+    n, num, den = len(sets.sizes), *threshold
+    inter = _shared(n, sets.owner, sets.shingles)
+    inter[np.arange(n), np.arange(n)] = sets.sizes
+    near = np.zeros((n, n), bool)
+    for a in range(0, n, 256):
+        shared = np.rint(inter[a : a + 256]).astype(np.int64)
+        union = sets.sizes[a : a + 256, None] + sets.sizes[None, :] - shared
+        near[a : a + 256] = (den * shared >= num * union) & (union > 0)
+    return _roots(near)
+
+
+def _plausible(n: np.ndarray, first: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
+    """For each set the least it is connected to by pairs that may be similar, from sizes and first shingles alone.
+
+    Of two similar sets the one whose first shingles end earlier in the order has all of them in common with the first
+    shingles of the other, but for those it may lack.
+    """
+    num, den = threshold
+    lengths = np.array([len(x) for x in first])
+    owner = np.repeat(np.arange(len(n)), lengths)
+    inter = _shared(len(n), owner, np.concatenate(first))
+    spare = lengths - n
+    near = np.zeros((len(n), len(n)), bool)
+    for a in range(0, len(n), 256):
+        x, y = n[a : a + 256, None], n[None, :]
+        least = -(-num * (x + y) // (num + den))
+        needed = np.minimum(spare[a : a + 256, None], spare[None, :]) + least
+        near[a : a + 256] = (inter[a : a + 256] >= needed) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
+    return _roots(near)
+
+
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Rows that agree in the first columns and stand together, as slices of batches."""
+    open_key, group = None, []
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        by = np.stack([rows.column(k).to_numpy() for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1).tolist(), rows.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(by[:, a].tolist())
+            if key != open_key and group:
+                yield open_key, group
+                group = []
+            open_key = key
+            group.append(rows.slice(a, b - a))
+    if group:
+        yield open_key, group
+
+
+_SUBLIST = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("hub", pa.int64()), ("member", pa.int64())])
+
+
+def _sublists(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Parts of lists, by block pair, within which sets may be similar: (key, i, j, hub, member)."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _groups(batches, 3):
+            rows = pa.Table.from_batches(group).combine_chunks()
+            order = np.argsort(rows["member"].to_numpy(), kind="stable")
+            member, n = rows["member"].to_numpy()[order], rows["n"].to_numpy()[order]
+            flat, ends = rows["first"].chunk(0).flatten().to_numpy(), rows["first"].chunk(0).offsets.to_numpy()
+            first = [flat[ends[k] - ends[0] : ends[k + 1] - ends[0]] for k in order.tolist()]
+            root = _plausible(n, first, threshold)
+            several = np.bincount(root, minlength=len(n))[root] > 1
+            member, hub = member[several], member[root][several]
+            yield batch(_SUBLIST, (*[np.full(len(member), k) for k in key], hub, member))
+
+    order = lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return arrow_map(order.select("key", "i", "j", "member", "n", "first"), part, "key long, i int, j int, hub long, member long")
+
+
 def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links within each block pair (kind, key, i, j), whose rows come together in order."""
 
@@ -251,23 +327,8 @@ def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             yield batch(_LINK, (ids[other], ids[root][other]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, group = None, []
-        for rows in batches:
-            keys = np.stack([rows.column(k).to_numpy() for k in range(4)])
-            ids = rows.column(4).to_numpy()
-            data, bounds = byte_columns(rows.column(5))
-            cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(ids)]))
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-                if a == b:
-                    continue
-                key = tuple(keys[:, a].tolist())
-                if key != open_key and group:
-                    yield from links(group)
-                    group = []
-                open_key = key
-                group.append((ids[a:b].copy(), data[bounds[a] : bounds[b]].copy(), bounds[a : b + 1] - bounds[a]))
-        if group:
-            yield from links(group)
+        for _, parts in _groups(batches, 4):
+            yield from links([(r.column(4).to_numpy(), *byte_columns(r.column(5))) for r in parts])
 
     order = members.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j")
     return arrow_map(order.select("kind", "key", "i", "j", "doc_id", "text"), scan, "a long, b long")
@@ -298,26 +359,64 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.select("member", "kind", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def _members(classes: DataFrame, block_sets: int) -> DataFrame:
+def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], block_sets: int) -> DataFrame:
     """(member, kind, key, i, j): which sets are compared where.
 
-    Lists that share members form a cluster. A cluster is compared as a whole, once, if that sends its sets to fewer
-    places than its lists would; else each of its lists is scanned. Either way all pairs of a list meet.
+    Short lists give pairs that may be similar by their sizes and by the places of the shared shingle: what stands before
+    the first shared shingle of a similar pair is no more than the pair may differ by. Of these, pairs that share too few
+    of their first shingles are dropped. Long lists are parted by
+    their members' first shingles; those with the same members once. Pairs and lists that share members form clusters. A cluster is compared as a whole, once,
+    if that sends its sets to fewer places than its pairs and lists would.
     """
-    posted = classes.select(F.col("rep").alias("member"), "n", F.explode("keys").alias("key"))
-    lists = posted.groupBy("key").agg(
+    num, den = threshold
+    posted = classes.select(F.col("rep").alias("member"), "n", F.posexplode("keys").alias("at", "key"))
+    posts, lack = den * F.col("n") >= num * (boundary + 1), F.col("n") - F.ceil(num * F.col("n") / den)
+    placed = posts & (F.col("at") <= lack)
+    begins = classes.select("rep", "n", posts.alias("posts"), F.slice("keys", 1, lack.cast("int") + 1).alias("first"))
+    posted = posted.withColumns({"at": F.when(placed, F.col("at")).otherwise(0), "placed": placed})
+    lists = posted.groupBy(F.col("key").alias("of")).agg(
         F.count(F.lit(1)).alias("members"),
         F.sum("n").alias("shingles"),
         F.sum(F.xxhash64("member").cast("decimal(20,0)")).alias("who"),
         F.min("member").alias("hub"),
     )
-    lists = lists.where("members > 1").groupBy("members", "who", "hub", "shingles").agg(F.min("key").alias("at"))
-    lists = lists.select("at", "hub", _blocks(F.col("members"), F.col("shingles"), block_sets).alias("blocks"))
-    listed = posted.join(lists, F.col("key") == F.col("at")).select("member", "n", "key", "hub", "blocks")
-    listed = written(listed, "listed")
-    clusters = components(listed.select(F.col("member").alias("a"), F.col("hub").alias("b")))
-    sets = listed.groupBy("member").agg(F.max("n").alias("n"), F.sum("blocks").alias("sent"))
+    lists = lists.where("members > 1")
+    listed = written(posted.join(lists, F.col("key") == F.col("of")).drop("of"), "listed")
+    short = listed.where(F.col("members") <= SHORT_LIST).select("key", "member", "n", "at")
+    other = short.select(*[F.col(c).alias(f"_{c}") for c in short.columns])
+    both = F.col("n") + F.col("_n")
+    may_match = (
+        (F.col("key") == F.col("_key"))
+        & (F.col("member") < F.col("_member"))
+        & (den * F.least("n", "_n") >= num * F.greatest("n", "_n"))
+        & (F.col("at") + F.col("_at") <= both - 2 * F.ceil(num * both / (num + den)))
+    )
+    pairs = short.join(other, may_match).select(F.col("member").alias("a"), F.col("_member").alias("b")).distinct()
+    # As in _plausible: enough of the first shingles must be shared. Sets that post none are too small for this to matter.
+    x, y = (begins.select(*[F.col(c).alias(f"{side}_{c}") for c in begins.columns]) for side in ("x", "y"))
+    pairs = pairs.join(x, F.col("a") == F.col("x_rep")).join(y, F.col("b") == F.col("y_rep"))
+    least = F.ceil(num * (F.col("x_n") + F.col("y_n")) / (num + den))
+    needed = F.least(F.size("x_first") - F.col("x_n"), F.size("y_first") - F.col("y_n")) + least
+    enough = F.size(F.array_intersect("x_first", "y_first")) >= needed
+    pairs = written(pairs.where(~F.col("x_posts") | ~F.col("y_posts") | enough).select("a", "b"), "pairs")
+    long = listed.where(F.col("members") > SHORT_LIST)
+    once = long.groupBy("members", "who", "hub").agg(F.min("key").alias("of"))
+    long = long.join(once.select("of"), F.col("key") == F.col("of"))
+    blocks = _blocks(F.col("members"), F.col("shingles"), block_sets)
+    long = _dealt(long.select("member", F.col("placed").cast("int").alias("kind"), "key", blocks.alias("blocks")))
+    parts = _sublists(long.where("kind = 1").join(begins, F.col("member") == F.col("rep")), threshold)
+    pairs_of_two = long.where("kind = 0").join(
+        listed.groupBy(F.col("key").alias("of")).agg(F.min("hub").alias("hub")), F.col("key") == F.col("of")
+    )
+    long = parts.unionByName(pairs_of_two.select("key", "i", "j", "hub", "member"))
+    long = written(long.select("member", "hub", F.xxhash64("key", "i", "j", "hub").alias("key")), "long")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("member"), F.xxhash64("a", "b").alias("key"))
+    places = ends.withColumn("kind", F.lit(2)).unionByName(long.drop("hub").withColumn("kind", F.lit(1)))
+    places = places.withColumn("blocks", F.lit(1))
+    clusters = components(pairs.unionByName(long.select(F.col("member").alias("a"), F.col("hub").alias("b"))))
+    sets = places.groupBy("member").agg(F.sum("blocks").alias("sent"))
     sets = sets.join(clusters, F.col("member") == F.col("node"), "left")
+    sets = sets.join(classes.select("rep", "n"), F.col("member") == F.col("rep"))
     sets = sets.select("member", "n", "sent", F.coalesce("root", "member").alias("cluster"))
     sizes = sets.groupBy(F.col("cluster").alias("of")).agg(
         F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.sum("sent").alias("sent")
@@ -327,8 +426,8 @@ def _members(classes: DataFrame, block_sets: int) -> DataFrame:
     sets = written(sets.join(sizes, F.col("cluster") == F.col("of")).select("member", "cluster", "parts", "whole"), "clusters")
     by_cluster = sets.where("whole").select("member", F.lit(0).alias("kind"), F.col("cluster").alias("key"), F.col("parts").alias("blocks"))
     apart = sets.where("not whole").select(F.col("member").alias("_member"))
-    by_list = listed.join(apart, F.col("member") == F.col("_member")).select("member", F.lit(1).alias("kind"), "key", "blocks")
-    return _dealt(by_cluster).unionByName(_dealt(by_list)).distinct()
+    by_place = places.join(apart, F.col("member") == F.col("_member")).select("member", "kind", "key", "blocks")
+    return _dealt(by_cluster).unionByName(_dealt(by_place)).distinct()
 
 
 def similar_documents(
@@ -342,7 +441,7 @@ def similar_documents(
     some = sketches.where("n > 0 and doc_id is not null")
     classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     classes = written(classes, "classes")
-    members = _members(classes, block_sets)
+    members = _members(classes, boundary, threshold, block_sets)
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     links = _scanned(texts.join(members, F.col("doc_id") == F.col("member")), threshold)
     roots = components(links)
