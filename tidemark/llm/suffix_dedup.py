@@ -45,11 +45,11 @@ GRAMS = (20, 92)
 #: Strings of one unit at most; longer runs of one anchor are cut.
 UNIT = 128
 #: Classes of one anchor value that one task sorts.
-CROWD = 8192
+CROWD = 4096
 #: Bytes whose copies a task settles among themselves.
 FIND_BYTES = 8 << 20
 #: Bytes a task suffix-sorts on average.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
@@ -149,7 +149,7 @@ def _found_units(stretches: DataFrame, gram: int) -> DataFrame:
         null = rows.column(0).is_null().to_numpy(zero_copy_only=False)
         ids = rows.column(0).fill_null(0).to_numpy()
         parts = []
-        for i, j in slices(bounds):
+        for i, j in slices(bounds, 1 << 18):
             owner, first, last, anchor, content, again = units(
                 data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], gram
             )
@@ -352,7 +352,6 @@ def _crowded_units(pieces: DataFrame) -> DataFrame:
                 yield batch(schema, (h.view(np.int64), g.view(np.int64), rows.column(0).take(take), _sub(place[i:j])[owner], starts))
 
     strings = arrow_map(pieces.select("doc", "place", "bytes"), spell, "h long, g long, doc long, sub long, start int")
-    strings = written(strings, "strings")
     place = F.struct("doc", "sub", "start")
     first = strings.groupBy(F.col("h").alias("_h"), F.col("g").alias("_g")).agg(F.min(place).alias("first"))
     later = strings.join(first, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).where(place != F.col("first"))
@@ -397,29 +396,24 @@ def _cut(rows: DataFrame, with_kept: bool) -> DataFrame:
     return arrow_map(rows, cut, columns + ", kept binary" * with_kept)
 
 
-def _later(found: DataFrame, texts: DataFrame, grams: tuple[int, ...], crowd: int) -> DataFrame:
-    """(doc, sub, start, stop): the starts of all later strings among the given units."""
-    settled = written(_settle(found, crowd), "settled")
-    count = F.shiftright("place", 1).bitwiseAND(127)
-    sizes = settled.groupBy("kind").agg(F.sum(count + LENGTH).alias("bytes"))
-    size = {r["kind"]: r["bytes"] for r in sizes.collect()}  # three rows
-    first = F.shiftright("place", 8).bitwiseAND(0x7FFFFFFF)
+def _later(settled: DataFrame, texts: DataFrame, tasks: int, grams: tuple[int, ...], crowd: int) -> DataFrame:
+    """(doc, sub, start, stop): the starts of all later strings among settled units.
+
+    One plan for all levels, so that the texts are shuffled once for all fetching of bytes and for the final cut.
+    """
+    first, count = F.shiftright("place", 8).bitwiseAND(0x7FFFFFFF), F.shiftright("place", 1).bitwiseAND(127)
     out = settled.where(F.col("kind") == REPEAT).select(
         "doc",
         F.shiftright("place", 39).alias("sub"),
         first.cast("int").alias("start"),
         (first + count).cast("int").alias("stop"),
     )
-    if SORT in size:
-        tasks = int(size[SORT] // SORT_BYTES + 1)
-        out = out.unionByName(_sorted_units(_fetched(texts, settled.where(F.col("kind") == SORT)), tasks))
-    if CROWDED in size:
-        pieces = _fetched(texts, settled.where(F.col("kind") == CROWDED))
-        if grams:
-            out = out.unionByName(_later(_found_units(pieces, grams[0]), texts, grams[1:], crowd))
-        else:
-            out = out.unionByName(_crowded_units(pieces))
-    return out
+    out = out.unionByName(_sorted_units(_fetched(texts, settled.where(F.col("kind") == SORT)), tasks))
+    pieces = _fetched(texts, settled.where(F.col("kind") == CROWDED))
+    if grams:
+        again = _settle(_found_units(pieces, grams[0]), crowd)
+        return out.unionByName(_later(again, texts, tasks, grams[1:], crowd))
+    return out.unionByName(_crowded_units(pieces))
 
 
 def remove_repeats(documents: DataFrame, with_kept: bool = True, crowd: int = CROWD) -> DataFrame:
@@ -427,7 +421,10 @@ def remove_repeats(documents: DataFrame, with_kept: bool = True, crowd: int = CR
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.expr(_SUB).alias("sub"), F.col("text").cast("string"))
     whole = texts.select("doc", F.shiftleft("sub", 39).alias("place"), F.col("text").alias("bytes"))
     texts = texts.withColumn("key", _key())
-    stretches = _later(_found_units(whole, GRAMS[0]), texts, GRAMS[1:], crowd)
+    settled = written(_settle(_found_units(whole, GRAMS[0]), crowd), "settled")
+    count = F.shiftright("place", 1).bitwiseAND(127)
+    size = settled.where(F.col("kind") != REPEAT).agg(F.sum(count + LENGTH)).first()[0] or 0
+    stretches = _later(settled, texts, int(size // SORT_BYTES + 1), GRAMS[1:], crowd)
     own = stretches.groupBy(_key().alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     rows = texts.join(own, F.col("key") == F.col("_key"), "left").select("doc", "text", "found")
     return _cut(rows, with_kept)
