@@ -13,7 +13,7 @@ from tidemark.plans import registry
 SF = "/root/testdata/sf0.001"
 STORED = {
     "merge_store", "inbox_write", "feed_append", "feed_rejects", "feed_scan", "forward_stream",
-    "incremental_state", "reverse_stream",
+    "incremental_state", "reverse_stream", "feed_bounded",
 }
 
 

@@ -36,6 +36,25 @@ def test_redelivery_appends_nothing_twice(spark, folder):
     assert history == {0: ("append", 3), 1: ("append", 2)}
 
 
+def test_offsets_may_come_late_and_twice(spark, folder):
+    assert feed.append(batch(spark, 5, 9, 9, 7, 5), folder) == 0
+    assert feed.append(batch(spark, 6, 5, 8, 0, 0), folder) == 1
+    assert feed.append(batch(spark, 0, 5, 6), folder) is None
+    assert offsets(spark, folder) == [0, 5, 6, 7, 8, 9]
+    assert feed.append(batch(spark, 1, 10), folder, ordered=True) == 2  # the source vouches for its order
+    assert offsets(spark, folder) == [0, 5, 6, 7, 8, 9, 10]
+
+
+def test_files_of_interleaved_offsets_lose_nothing(spark, folder):
+    rows = spark.range(400).selectExpr(
+        f"'{TOPIC}' AS topic", "0 AS partition", "id AS offset", '''concat('{"id":', id, '}') AS value'''
+    )
+    rows.repartition(5).write.parquet(f"{folder}/log")
+    stream = cdc.stream_files(spark, f"{folder}/log", max_files_per_trigger=1)
+    forward.start(stream, f"{folder}/feed", f"{folder}/check", interval=None).awaitTermination()
+    assert offsets(spark, f"{folder}/feed") == list(range(400))
+
+
 def test_rejects_and_tombstones_count_as_seen(spark, folder):
     values = {1: None, 3: '{"__op":"c"}', 4: "{bad"}
     feed.append(batch(spark, 0, 1, 2, 3, 4, values=values), folder)

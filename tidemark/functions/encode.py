@@ -16,7 +16,7 @@ from tidemark.functions.json_text import canonical_json
 DAY = 86_400_000_000
 # Intervals in the database's own text form and in ISO form.
 VERBOSE = (
-    r"^(?=.)(?:(-?\d+) years? ?)?(?:(-?\d+) mons? ?)?(?:(-?\d+) days? ?)?"
+    r"^(?=.)(?:([-+]?\d+) years? ?)?(?:([-+]?\d+) mons? ?)?(?:([-+]?\d+) days? ?)?"
     r"(?:([-+]?)(\d+):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?$"
 )
 ISO = (
@@ -30,8 +30,17 @@ EPOCH_UNITS = {"seconds": 1_000_000, "millis": 1_000, "micros": 1}
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group).try_cast("bigint")
-    return F.coalesce(found, F.lit(0).cast("bigint"))
+    """A number of the text: 0 if it has none, null if it is too large."""
+    found = F.regexp_extract(text, pattern, group)
+    return F.when(found == "", F.lit(0).cast("bigint")).otherwise(found.try_cast("bigint"))
+
+
+def _sum_of(*parts: tuple[Column, int]) -> Column:
+    """The sum of numbers times units, null if it is too large."""
+    total = F.lit(0).cast("bigint")
+    for number, unit in parts:
+        total = F.try_add(total, F.try_multiply(number, F.lit(unit).cast("bigint")))
+    return total
 
 
 def _fraction(text: Column, pattern: str, group: int) -> Column:
@@ -50,23 +59,25 @@ def interval_micros(text: Column) -> Column:
 
 def _interval_micros(t: Column) -> Column:
     low, up = F.lower(t), F.upper(t)
-    clock = (
-        _number(low, VERBOSE, 5) * 3_600_000_000
-        + _number(low, VERBOSE, 6) * 60_000_000
-        + _number(low, VERBOSE, 7) * 1_000_000
-        + F.coalesce(_fraction(low, VERBOSE, 8), F.lit(0))
+    clock = _sum_of(
+        (_number(low, VERBOSE, 5), 3_600_000_000),
+        (_number(low, VERBOSE, 6), 60_000_000),
+        (_number(low, VERBOSE, 7), 1_000_000),
+        (F.coalesce(_fraction(low, VERBOSE, 8), F.lit(0)), 1),
     )
     sign = F.when(F.regexp_extract(low, VERBOSE, 4) == "-", -1).otherwise(1)
-    days = (_number(low, VERBOSE, 1) * 12 + _number(low, VERBOSE, 2)) * 30 + _number(low, VERBOSE, 3)
-    verbose = days * DAY + sign * clock
+    days = ((_number(low, VERBOSE, 1), 360 * DAY), (_number(low, VERBOSE, 2), 30 * DAY), (_number(low, VERBOSE, 3), DAY))
+    verbose = F.try_add(_sum_of(*days), sign * clock)
 
     iso_sign = F.when(F.regexp_extract(up, ISO, 6) == "-", -1).otherwise(1)
-    iso_days = (_number(up, ISO, 1) * 12 + _number(up, ISO, 2)) * 30 + _number(up, ISO, 3)
-    iso = (
-        iso_days * DAY
-        + _number(up, ISO, 4) * 3_600_000_000
-        + _number(up, ISO, 5) * 60_000_000
-        + iso_sign * (_number(up, ISO, 7) * 1_000_000 + F.coalesce(_fraction(up, ISO, 8), F.lit(0)))
+    seconds = _sum_of((_number(up, ISO, 7), 1_000_000), (F.coalesce(_fraction(up, ISO, 8), F.lit(0)), 1))
+    iso = _sum_of(
+        (_number(up, ISO, 1), 360 * DAY),
+        (_number(up, ISO, 2), 30 * DAY),
+        (_number(up, ISO, 3), DAY),
+        (_number(up, ISO, 4), 3_600_000_000),
+        (_number(up, ISO, 5), 60_000_000),
+        (iso_sign * seconds, 1),
     )
     return (
         F.when(t.rlike(r"^-?\d+$"), t.try_cast("bigint"))
@@ -172,7 +183,8 @@ def encode(
     if lake_type == "STRING":
         return text
     if lake_type == "BINARY":
-        return F.try_to_binary(text, F.lit("base64"))
+        in_hex = F.try_to_binary(F.substring(F.trim(text), 3, 2**31 - 1), F.lit("hex"))
+        return F.when(F.trim(text).startswith("\\x"), in_hex).otherwise(F.try_to_binary(text, F.lit("base64")))
     if lake_type == "TIMESTAMP_NTZ" and epoch_unit:
         return instant(text, epoch_unit).cast("timestamp_ntz")
     if lake_type == "DATE" and epoch_unit:

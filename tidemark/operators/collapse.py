@@ -52,9 +52,32 @@ def high_water(messages: DataFrame) -> DataFrame:
     return messages.groupBy("topic", "partition").agg(F.max("offset").alias("max_offset"))
 
 
+OFFSET = ("topic", "partition", "offset")
+
+
+def one_per_offset(messages: DataFrame) -> DataFrame:
+    """Each message once, whatever was delivered again within the rows."""
+    return messages.dropDuplicates(list(OFFSET))
+
+
+def drop_stored(messages: DataFrame, stored: DataFrame) -> DataFrame:
+    """Messages whose exact topic, partition and offset are not stored yet.
+
+    Right for any order of arrival. Only stored rows in the range of offsets of
+    the messages are read, which file statistics prune.
+    """
+    low, high = messages.agg(F.min("offset"), F.max("offset")).first()
+    if low is None:
+        return messages
+    near = stored.select(*OFFSET).filter(F.col("offset").between(low, high))
+    return messages.join(near, list(OFFSET), "left_anti")
+
+
 def drop_committed(messages: DataFrame, marks: DataFrame) -> DataFrame:
     """Messages above the committed offset of their topic partition.
 
+    Only for sources that deliver a topic partition in offset order, as a broker
+    does; of any other source it would lose what arrives late (``drop_stored``).
     ``marks`` has one row per topic partition. No side is hinted: Spark
     broadcasts the marks while their size allows it and splits skewed topic
     partitions otherwise.

@@ -89,6 +89,19 @@ def forward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(feed.read_feed(spark, root)).drop("version")
 
 
+def feed_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in files of interleaved offsets, one file a trigger, some twice in a file and in another."""
+    source, root = new_work_folder(spark, "log"), new_work_folder(spark, "bounded-feed")
+    messages, offset = fx.messages(spark, sf_dir), F.col("offset")
+    twice = messages.filter(offset % 7 == 0)
+    late = messages.filter(offset % 11 == 0).withColumn("_file", (offset + 1) % 4)
+    messages = messages.unionByName(twice).withColumn("_file", offset % 4).unionByName(late)
+    messages.repartition(4, "_file").drop("_file").write.parquet(source)
+    stream = cdc.stream_files(spark, source, max_files_per_trigger=1)
+    forward.start(stream, root, new_work_folder(spark, "checkpoint"), interval=None).awaitTermination()
+    return _shown(feed.read_feed(spark, root)).drop("version")
+
+
 def incremental_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current state kept by a stream over the three deliveries."""
     source, checkpoint = new_work_folder(spark, "log"), new_work_folder(spark, "checkpoint")
@@ -137,6 +150,7 @@ QUERIES = {
     "feed_rejects": feed_rejects,
     "feed_scan": feed_scan,
     "forward_stream": forward_stream,
+    "feed_bounded": feed_bounded,
     "incremental_state": incremental_state,
     "reverse_stream": reverse_stream,
 }
@@ -167,6 +181,10 @@ FROM feed GROUP BY project, n_op
     "forward_stream": MESSAGES_SQL + """
 SELECT project, 'accounts' AS "table", part AS partition, off AS "offset", n_op AS op, ts_ms, deleted = 'true' AS deleted, data
 FROM feed
+""",
+    "feed_bounded": MESSAGES_SQL + """
+SELECT project, 'accounts' AS "table", part AS partition, off AS "offset", n_op AS op, ts_ms, deleted = 'true' AS deleted, data
+FROM feed
 """,
     "incremental_state": MESSAGES_SQL + """
 , ranked AS (

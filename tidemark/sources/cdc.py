@@ -23,8 +23,7 @@ def stream_files(
 ) -> DataFrame:
     """A stream of message files, from the first one on.
 
-    The files of one topic partition must arrive in offset order, as a log
-    delivers them: offsets below the committed one count as redelivered.
+    Files may arrive in any order and overlap.
     """
     reader = spark.readStream.schema(MESSAGE_SCHEMA).format(file_format)
     if max_files_per_trigger:

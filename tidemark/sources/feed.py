@@ -32,16 +32,20 @@ def _marks_of(spark: SparkSession, root: str, version: int) -> DataFrame:
     return entry.select("topic", "partition", "max_offset")
 
 
-def append(messages: DataFrame, root: str, prefix: str = "cdc") -> int | None:
+def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool = False) -> int | None:
     """Append a batch as one version; None if all of it was there already.
 
-    Every offset seen counts as done, also those of rejects and tombstones. The
-    marks are taken from the written version, so the batch itself runs once.
+    Every offset seen counts as done, also those of rejects and tombstones, and
+    an offset that occurs twice in the batch is appended once. ``ordered`` says
+    that the source delivers a topic partition in offset order, so that the
+    marks alone tell what is new; else offsets are compared one by one.
     """
     spark = messages.sparkSession
     last = ledger.last_version(spark, root, ENTRY)
     version, old = last + 1, _marks_of(spark, root, last)
-    rows = envelope.normalize(collapse.drop_committed(messages, old), prefix)
+    once = collapse.one_per_offset(messages)
+    fresh = collapse.drop_committed(once, old) if ordered else collapse.drop_stored(once, _committed(spark, root))
+    rows = envelope.normalize(fresh, prefix)
     status = (
         F.when(F.col("reason").isNull(), ACCEPTED)
         .when(F.col("reason") == envelope.TOMBSTONE, EMPTY)

@@ -14,20 +14,22 @@ def start(
     checkpoint: str,
     interval: str | None = "5 seconds",
     prefix: str = "cdc",
+    ordered: bool = False,
 ) -> StreamingQuery:
     """Append every micro-batch as one feed version.
 
     ``interval`` None takes what is there and stops. The size of a batch is set on
     the source (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``). A batch that is
     run again, even after its checkpoint is lost, appends only what is not yet in
-    the feed.
+    the feed. ``ordered`` is for sources that keep the order of offsets, such as a
+    broker; files need not keep it.
     """
 
     def append(batch: DataFrame, _batch_id: int) -> None:
         # Streams turn adaptive execution off for their own operators; a batch
         # in here is an ordinary query and sizes its files with it.
         batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
-        feed.append(batch, root, prefix)
+        feed.append(batch, root, prefix, ordered)
 
     writer = messages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
