@@ -40,6 +40,8 @@ PROPOSED = 1 << 15
 SHORT_LIST = 32
 #: Members and shingles of a block of a list.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Homes of a list whose sets are compared by home.
+HOMES = 8
 #: Shingles of at most so many sets of a group are counted pair by pair.
 LIGHT = 16
 _MATRIX = 1 << 22
@@ -366,7 +368,7 @@ def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], bloc
     the first shared shingle of a similar pair is no more than the pair may differ by. Of these, pairs that share too few
     of their first shingles are dropped. Long lists are parted by
     their members' first shingles; those with the same members once. Pairs and lists that share members form clusters. A cluster is compared as a whole, once,
-    if that sends its sets to fewer places than its pairs and lists would.
+    if that sends its sets to fewer places than its pairs and lists would; else it is compared by homes.
     """
     num, den = threshold
     posted = classes.select(F.col("rep").alias("member"), "n", F.posexplode("keys").alias("at", "key"))
@@ -426,8 +428,32 @@ def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], bloc
     sets = written(sets.join(sizes, F.col("cluster") == F.col("of")).select("member", "cluster", "parts", "whole"), "clusters")
     by_cluster = sets.where("whole").select("member", F.lit(0).alias("kind"), F.col("cluster").alias("key"), F.col("parts").alias("blocks"))
     apart = sets.where("not whole").select(F.col("member").alias("_member"))
-    by_place = places.join(apart, F.col("member") == F.col("_member")).select("member", "kind", "key", "blocks")
-    return _dealt(by_cluster).unionByName(_dealt(by_place)).distinct()
+    by_home = _by_home(places.join(apart, F.col("member") == F.col("_member")).select("member", "key"))
+    return _dealt(by_cluster).unionByName(_dealt(by_home.withColumn("blocks", F.lit(1)))).distinct()
+
+
+def _by_home(places: DataFrame) -> DataFrame:
+    """(member, kind, key): each list or pair of (member, key) covered by few groups that many of them share.
+
+    The home of a set is the longest list it is in. The sets of a list are compared in the groups of each two of their
+    homes, so sets that share many lists, as near copies do, are sent once for each two homes and not once a list. A list
+    of more than ``HOMES`` homes is a group of its own.
+    """
+    places = written(places, "places")
+    lengths = places.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("length"))
+    homes = places.join(lengths, F.col("key") == F.col("of"))
+    homes = homes.groupBy("member").agg(F.max(F.struct("length", "key")).getField("key").alias("home"))
+    homed = places.join(homes.withColumnRenamed("member", "_member"), F.col("member") == F.col("_member")).select("member", "key", "home")
+    homed = written(homed, "homes")
+    met = homed.select(F.col("key").alias("of"), F.col("home").alias("other")).distinct()
+    many = met.groupBy("of").agg(F.count(F.lit(1)).alias("homes"))
+    met = met.join(many.withColumnRenamed("of", "_of"), F.col("of") == F.col("_of")).where(F.col("homes") <= HOMES)
+    together = homed.join(met, F.col("key") == F.col("of"))
+    together = together.select(
+        "member", F.lit(2).alias("kind"), F.xxhash64(F.least("home", "other"), F.greatest("home", "other")).alias("key")
+    )
+    alone = homed.join(many.where(F.col("homes") > HOMES), F.col("key") == F.col("of"))
+    return together.distinct().unionByName(alone.select("member", F.lit(1).alias("kind"), "key"))
 
 
 def similar_documents(
