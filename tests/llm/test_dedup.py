@@ -186,3 +186,39 @@ def test_repeated_lines_need_many_doublings(spark):
         texts.append((i, "\n".join(a[k : k + 22] + [f"own{i}"] + b + [""] * (i % 3) + a[:25])))
     rows = spark.createDataFrame(texts, "doc_id LONG, text STRING")
     assert rows_of(line_dedup.dedup_lines(rows).select("doc_id", "text")) == cut_lines(texts, 20)
+
+
+def cut_whole_runs(texts, min_words):
+    """As cut_lines, by all runs of enough words from each line and not the shortest only."""
+    seen, out = {}, []
+    for i, text in sorted(texts):
+        lines = text.split("\n")
+        worded = [(n, x) for n, x in enumerate(lines) if re.search(SOLID, x)]
+        gone = set()
+        for k in range(len(worded)):
+            for z in range(k, len(worded)):
+                run = tuple(x for _, x in worded[k : z + 1])
+                if sum(len(re.findall(SOLID, x)) for x in run) >= min_words and seen.setdefault(run, (i, k)) != (i, k):
+                    gone |= set(range(worded[k][0], worded[z][0] + 1))
+        out.append((i, "\n".join(x for n, x in enumerate(lines) if n not in gone)))
+    return out
+
+
+def test_repeated_runs_go_whole(spark):
+    """The short last lines of a repeated run go with it, wherever it ends."""
+    r = random.Random(11)
+
+    def line(n):
+        return " ".join(r.choice("abcdefgh") + str(r.randrange(1000)) for _ in range(n))
+
+    a, b, c, d, e = line(60), line(5), line(15), line(10), line(6)
+    texts = [(1, "\n".join((a, b, line(30), c, d, e))), (2, "\n".join((a, b, line(40)))), (3, "\n".join((line(9), c, d, "", e, line(25))))]
+    pool = [line(n) for n in (1, 1, 2, 3, 5, 8, 13, 19, 20, 45) for _ in range(2)]
+    for i in range(4, 24):
+        k = r.randrange(len(pool) - 12)
+        texts.append((i, "\n".join([line(4), *pool[k : k + r.randrange(3, 12)], "", line(7), *r.sample(pool, 5), *pool[k + 2 : k + 9]])))
+    expected = cut_whole_runs(texts, 20)
+    assert b not in expected[1][1] and e not in expected[2][1] and expected != cut_lines(texts, 20)
+    rows = spark.createDataFrame(texts, "doc_id LONG, text STRING").repartition(3)
+    assert rows_of(line_dedup.dedup_lines(rows).select("doc_id", "text")) == sorted(expected, key=repr)
+    assert rows_of(line_dedup.dedup_lines(rows, whole=False).select("doc_id", "text")) == cut_lines(texts, 20)
