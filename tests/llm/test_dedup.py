@@ -84,6 +84,18 @@ def test_no_link_is_lost_by_the_order_or_the_boundary():
                         assert (a, b) in together, (boundary, a, b)
 
 
+@pytest.mark.parametrize("boundary", [0, 9, 10, 1000])
+def test_sets_that_lack_nothing_meet_larger_ones(spark, boundary):
+    """Eleven words, and the same with one word before or after them: 9 of 10 shingles."""
+    texts = []
+    for i in range(6):
+        own = [f"t{i}w{k}" for k in range(11)]
+        texts += [(3 * i, " ".join(own)), (3 * i + 1, " ".join([*own, "more"])), (3 * i + 2, " ".join(["more", *own]))]
+    rows = spark.createDataFrame(texts, "doc_id LONG, text STRING")
+    found = rows_of(ngram_join.similar_documents(rows, boundary=boundary))
+    assert found == sorted(((i, 9 + (i % 3 > 0), i // 3 * 3) for i, _ in texts), key=repr)
+
+
 def test_boundary_follows_cost():
     assert ngram_join.cost_boundary(0.0) == 9  # sets below ten link only if equal, others cost more by subsets
     assert ngram_join.cost_boundary(0.2) > 20

@@ -160,7 +160,8 @@ def _keys(sets: Sets, order: _Order, boundary: int, threshold: tuple[int, int])
     posts = den * n >= num * (boundary + 1)
     listed = (place <= lack[sets.owner]) & posts[sets.owner]
     owners, keys = [sets.owner[listed]], [mixed(sets.shingles[ranked[listed]] ^ np.uint64(0xA5A5))]
-    for i in np.flatnonzero((n <= boundary) & (lack > 0)):
+    # A set that may lack nothing still meets one that has a shingle more, if the threshold admits that.
+    for i in np.flatnonzero((n <= boundary) & ((lack > 0) | (den * n >= num * (n + 1)))):
         first = np.sort(sets.shingles[ranked[sets.bounds[i] : sets.bounds[i] + lack[i] + 2]])
         a, b = np.triu_indices(len(first), 1)
         owners.append(np.full(len(a), i))
