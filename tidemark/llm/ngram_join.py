@@ -85,7 +85,7 @@ class Sets:
 _COUNTED = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("repeated", pa.int64())])
 
 
-def shingle_statistics(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+def shingle_statistics(documents: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, float]:
     """The most frequent shingles in order with their counts, and the share of shingles that occur again near by."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def shingle_statistics(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, fl
             data, bounds = byte_columns(rows.column(0))
             for i, j in slices(bounds, 16 << 20):
                 found = [
-                    Sets(data[bounds[a + i] : bounds[b + i]], bounds[a + i : b + i + 1] - bounds[a + i]).shingles
+                    Sets(data[bounds[a + i] : bounds[b + i]], bounds[a + i : b + i + 1] - bounds[a + i], shingle).shingles
                     for a, b in slices(bounds[i : j + 1])
                 ]
                 shingles, n = np.unique(np.concatenate(found), return_counts=True)
@@ -176,14 +176,14 @@ _SKETCH = pa.schema(
 )
 
 
-def _sketches(documents: DataFrame, order: _Order, boundary: int, threshold: tuple[int, int]) -> DataFrame:
+def _sketches(documents: DataFrame, order: _Order, boundary: int, threshold: tuple[int, int], shingle: int) -> DataFrame:
     spread = documents.sparkSession.sparkContext.broadcast(order)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             data, bounds = byte_columns(rows.column(1))
             for i, j in slices(bounds):
-                sets = Sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                sets = Sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle)
                 owners, keys = _keys(sets, spread.value, boundary, threshold)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=j - i)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
@@ -312,7 +312,7 @@ def _sublists(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return arrow_map(order.select("key", "i", "j", "member", "n", "first"), part, "key long, i int, j int, hub long, member long")
 
 
-def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _scanned(members: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
     """Links within each block pair (kind, key, i, j), whose rows come together in order."""
 
     def links(group: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         data = np.concatenate([g[1] for g in group])
         lengths = np.concatenate([np.diff(g[2]) for g in group])
         order = np.argsort(ids, kind="stable")
-        sets = _sets_of(data, np.concatenate(([0], np.cumsum(lengths))), order)
+        sets = _sets_of(data, np.concatenate(([0], np.cumsum(lengths))), order, shingle)
         root = _met(sets, threshold)
         ids = ids[order]
         other = ids != ids[root]
@@ -337,9 +337,9 @@ def _scanned(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return arrow_map(order.select("kind", "key", "i", "j", "doc_id", "text"), scan, "a long, b long")
 
 
-def _sets_of(data: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> Sets:
+def _sets_of(data: np.ndarray, bounds: np.ndarray, order: np.ndarray, shingle: int) -> Sets:
     """Sets of texts in the given order, worked out slice by slice."""
-    parts = [Sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in slices(bounds)]
+    parts = [Sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle) for i, j in slices(bounds)]
     sizes = np.concatenate([p.sizes for p in parts])
     shingles = np.concatenate([p.shingles for p in parts])
     at = np.concatenate(([0], np.cumsum(sizes)))
@@ -458,19 +458,23 @@ def _by_home(places: DataFrame) -> DataFrame:
 
 
 def similar_documents(
-    documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, boundary: int | None = None, block_sets: int = BLOCK_SETS
+    documents: DataFrame,
+    threshold: tuple[int, int] = THRESHOLD,
+    boundary: int | None = None,
+    block_sets: int = BLOCK_SETS,
+    shingle: int = SHINGLE,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    shingles, counts, repeated = shingle_statistics(documents)
+    shingles, counts, repeated = shingle_statistics(documents, shingle)
     if boundary is None:
         boundary = cost_boundary(repeated, threshold)
-    sketches = written(_sketches(documents, _Order(shingles, counts), boundary, threshold), "sketches")
+    sketches = written(_sketches(documents, _Order(shingles, counts), boundary, threshold, shingle), "sketches")
     some = sketches.where("n > 0 and doc_id is not null")
     classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     classes = written(classes, "classes")
     members = _members(classes, boundary, threshold, block_sets)
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    links = _scanned(texts.join(members, F.col("doc_id") == F.col("member")), threshold)
+    links = _scanned(texts.join(members, F.col("doc_id") == F.col("member")), threshold, shingle)
     roots = components(links)
     found = sketches.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
     found = found.join(roots, F.col("rep") == F.col("node"), "left")
@@ -479,9 +483,9 @@ def similar_documents(
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group of similar ones, that of the smallest doc_id; repeated rows of it become one."""
-    found = similar_documents(documents)
+    found = similar_documents(documents, threshold, shingle=shingle)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_td_gone")).distinct()
     return documents.join(gone, F.col("doc_id") == F.col("_td_gone"), "left_anti")
 
