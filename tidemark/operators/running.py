@@ -3,7 +3,9 @@
 A window sorts all rows of a key in one task. Where a key holds a large share of
 the rows, its rows are cut into chunks at quantiles of the order column: each
 chunk is scanned by its own task and starts from the values carried over from the
-chunks before it. The result is the same as without cuts.
+chunks before it. The result is the same as without cuts, except where a cut key
+has NaN in its leading order column: its carried values are lost. At most
+``MAX_HOT`` keys are cut, and none whose leading order column ties throughout.
 """
 
 from __future__ import annotations
