@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, decontaminate, language_id, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts
+from tidemark.llm import bpe, chat, conversation_repair, decontaminate, language_id, line_dedup, ngram_join, periodic_runs
+from tidemark.llm import quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 
-_GROUPS = (ngram_join, suffix_dedup, quality_classifier, language_id, bpe, token_counts, line_dedup, decontaminate, chat, quality_rules)
+_GROUPS = (
+    *(ngram_join, suffix_dedup, quality_classifier, language_id, bpe, token_counts, line_dedup, decontaminate, chat),
+    *(quality_rules, conversation_repair, periodic_runs, simhash),
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
