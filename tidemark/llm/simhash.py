@@ -8,8 +8,8 @@ node newly fixes; where the sum passes the limit the whole group below is pruned
 
 Scale: two fingerprints that differ in at most k bits agree on at least one of k + 1 blocks of bits, so each is sent to
 k + 1 buckets and an index is built per bucket. A bucket of more than ``BUCKET`` fingerprints is split again by k + 1
-blocks of the bits that are still free, as often as needed; as fingerprints are distinct and free bits run out, buckets
-always become small enough, and no link is lost. Equal fingerprints are collapsed first by a partial aggregate. A task
+blocks of the bits in which its fingerprints vary, as often as needed; as they are distinct, buckets run out of such bits
+or become small, and no link is lost. Equal fingerprints are collapsed first by a partial aggregate. A task
 returns one link per fingerprint to the least of its group, never all pairs. Components are found by alternating stars in
 the shared folder.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, batch, table, written
@@ -180,11 +180,9 @@ def least_connected(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> n
     return root
 
 
-def _free_blocks(mask: int, parts: int) -> list[int]:
-    """The bits not in a mask, in blocks of about the same size, as masks."""
-    free = [b for b in range(BITS) if not mask >> b & 1]
-    cuts = [len(free) * i // parts for i in range(parts + 1)]
-    return [sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:])]
+def blocks_of(bits: list[int], parts: int) -> list[int]:
+    """Bits dealt out to blocks, as masks."""
+    return [sum(1 << b for b in bits[k::parts]) for k in range(parts)]
 
 
 def _signed(x: int) -> int:
@@ -222,42 +220,56 @@ def _indexed(limit: int):
     return work
 
 
+_WIDER = pa.schema([(c, pa.int64()) for c in ("of_mask", "of_value", "wider")])
+
+
+def _split(limit: int):
+    """Buckets (mask, value, n, counts of set bits) once for each block of the varying bits, with the mask widened by it.
+
+    Bits are dealt out from the most balanced on, so that every block parts the bucket.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for mask, value, n, ones in zip(*(rows.column(k).to_pylist() for k in range(4)), strict=True):
+                varying = sorted((b for b in range(BITS) if 0 < ones[b] < n), key=lambda b: (abs(2 * ones[b] - n), b))
+                for block in blocks_of(varying, limit + 1):
+                    out.append((mask, value, _signed(mask % (1 << BITS) | block)))
+            if out:
+                yield batch(_WIDER, zip(*out, strict=True))
+
+    return work
+
+
 def near_prints(prints: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect all distinct prints of at most so many differing bits."""
+    bucket = max(bucket, 1 << (limit + 1))  # so that a larger one has a varying bit for each block
+    blocks = F.array(*[F.lit(_signed(b)).cast("long") for b in blocks_of(list(range(BITS)), limit + 1)])
+    ones = F.array(*[F.sum(F.shiftrightunsigned("print", b).bitwiseAND(1)) for b in range(BITS)])
+    same = (F.col("mask") == F.col("of_mask")) & (F.col("value") == F.col("of_value"))
+    rows = prints.select("print", F.explode(blocks).alias("mask"))
     links = []
-    rows = prints.select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("value"), "print")
-    masks = [0]
-    while masks:
-        # A row goes to the buckets of the next blocks of its own mask.
-        wider = {m: [m | block for block in _free_blocks(m % (1 << BITS), limit + 1) if block] for m in masks}
-        rows = rows.select("print", F.explode(_options(wider)).alias("mask"))
-        rows = rows.select("mask", F.col("print").bitwiseAND(F.col("mask")).alias("value"), "print")
-        rows = written(rows, "buckets")
-        sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
-        free = F.lit(BITS) - F.bit_count("mask")
-        # A bucket of so few free bits cannot be larger, however it is counted.
-        large = sizes.where((F.col("n") > bucket) & (free > bucket.bit_length() - 1))
-        large = written(large.select(F.col("mask").alias("_mask"), F.col("value").alias("_value")), "large")
-        same = (F.col("mask") == F.col("_mask")) & (F.col("value") == F.col("_value"))
-        small = rows.join(large, same, "left_anti")
+    while True:
+        rows = written(rows.select("mask", F.col("print").bitwiseAND(F.col("mask")).alias("value"), "print"), "buckets")
+        sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
+        large = written(sizes.select(F.col("mask").alias("of_mask"), F.col("value").alias("of_value")), "large")
+        split = not large.isEmpty()
+        small = rows.join(large, same, "left_anti") if split else rows
         small = small.repartition("mask", "value").sortWithinPartitions("mask", "value")
-        links.append(arrow_map(small, _indexed(limit), "a long, b long"))
-        masks = [m for (m,) in large.select("_mask").distinct().collect()]  # few: blocks of blocks, not of rows
-        rows = rows.join(large, same, "left_semi")
+        links.append(arrow_map(small.select("mask", "value", "print"), _indexed(limit), "a long, b long"))
+        if not split:
+            break
+        counted = rows.join(large, same).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), ones.alias("ones"))
+        wider = arrow_map(counted, _split(limit), "of_mask long, of_value long, wider long")
+        # Widened in another order, two buckets may become one.
+        rows = rows.join(wider, same).select("print", F.col("wider").alias("mask")).distinct()
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _options(wider: dict[int, list[int]]) -> Column:
-    out = None
-    for mask, blocks in wider.items():
-        values = F.array(*[F.lit(_signed(b % (1 << BITS))).cast("long") for b in blocks])
-        out = F.when(F.col("mask") == mask, values) if out is None else out.when(F.col("mask") == mask, values)
-    return out
-
-
 def near_duplicates(documents: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     found = written(fingerprints(documents, shingle), "prints")
