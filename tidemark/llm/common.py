@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -9,7 +11,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import new_work_folder
 
@@ -37,20 +41,47 @@ def _ship_code(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
-def arrow_map(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` on the Arrow batches of each partition."""
+def arrow_map(
+    rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    """``work`` on the Arrow batches of each partition. What it keeps in its worker ends with the partition."""
     _ship_code(rows.sparkSession)
-    return rows.mapInArrow(work, schema)
 
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
 
-def written(rows: DataFrame, label: str) -> DataFrame:
+    return rows.mapInArrow(released, schema)
+
+
+def written(rows: DataFrame, label: str, done: Iterable[DataFrame] = ()) -> DataFrame:
     """The rows as a table in the shared folder, which cuts the lineage.
 
-    Lost executors then repeat what comes after it only.
+    Lost executors then repeat what comes after it only. Written tables that nothing after it reads are ``done`` and
+    their folders removed.
     """
     path = new_work_folder(rows.sparkSession, label)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out._tidemark_path = path
+    forget(*done)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the folders of tables that ``written`` made."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_tidemark_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def byte_columns(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +117,18 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 _KEPT: dict[str, tuple[str, object]] = {}
 
 
+def release() -> None:
+    """Gives up what the worker keeps and hands free memory back to the system, for the stages that come after."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def kept_in_worker(kind: str, key: str, build: Callable[[], object]) -> object:
-    """One object of a kind per Python worker, built anew when the key changes."""
+    """One object of a kind per Python worker and partition, built anew when the key changes."""
     if kind not in _KEPT or _KEPT[kind][0] != key:
         _KEPT[kind] = (key, build())
     return _KEPT[kind][1]

@@ -38,4 +38,4 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
-        now = written(_small_star(_large_star(now)), "links")
+        now = written(_small_star(_large_star(now)), "links", done=[now])
