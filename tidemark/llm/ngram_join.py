@@ -45,6 +45,8 @@ HOMES = 8
 #: Shingles of at most so many sets of a group are counted pair by pair.
 LIGHT = 16
 _MATRIX = 1 << 22
+#: Bits of the sketch of a set, at most.
+SKETCH_BITS = 1 << 13
 
 
 class Sets:
@@ -82,6 +84,20 @@ class Sets:
         return out[0], out[1]
 
 
+    def sketches(self) -> pa.ListArray:
+        """For each set the parity, bit by bit, of how many of its shingles fall on the bit.
+
+        A shingle that only one of two sets has changes one bit, so the sets differ in at least as many shingles as their
+        sketches do in bits. A sketch has about a bit a shingle; folded in half it is the sketch of half the bits.
+        """
+        bits = np.clip(1 << np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(np.int64), 64, SKETCH_BITS)
+        ends = np.concatenate(([0], np.cumsum(bits)))
+        at = mixed(self.shingles ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64) & (bits - 1)[self.owner]
+        odd = np.bincount(ends[self.owner] + at, minlength=int(ends[-1])) & 1
+        flat = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+        return pa.ListArray.from_arrays(pa.array((ends // 64).astype(np.int32)), pa.array(flat))
+
+
 _COUNTED = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("repeated", pa.int64())])
 
 
@@ -172,7 +188,8 @@ def _keys(sets: Sets, order: _Order, boundary: int, threshold: tuple[int, int])
 
 
 _SKETCH = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
+    + [("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
 )
 
 
@@ -181,17 +198,23 @@ def _sketches(documents: DataFrame, order: _Order, boundary: int, threshold: tup
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            data, bounds = byte_columns(rows.column(1))
+            data, bounds = byte_columns(rows.column(2))
             for i, j in slices(bounds):
                 sets = Sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle)
                 owners, keys = _keys(sets, spread.value, boundary, threshold)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=j - i)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
                 s1, s2 = sets.signatures()
-                yield batch(_SKETCH, (rows.column(0).slice(i, j - i), sets.sizes, s1, s2, lists))
+                own = [rows.column(c).slice(i, j - i) for c in (0, 1)]
+                yield batch(_SKETCH, (*own, sets.sizes, s1, s2, lists, sets.sketches()))
+
+    return arrow_map(_texts(documents), sketch, "doc_id long, t long, n long, s1 long, s2 long, keys array<long>, sketch array<long>")
+
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return arrow_map(rows, sketch, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+def _texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, t, text): t is a hash that tells the texts of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def _shared(n: int, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -248,24 +271,41 @@ def _met(sets: Sets, threshold: tuple[int, int]) -> np.ndarray:
     return _roots(near)
 
 
-def _plausible(n: np.ndarray, first: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
-    """For each set the least it is connected to by pairs that may be similar, from sizes and first shingles alone.
-
-    Of two similar sets the one whose first shingles end earlier in the order has all of them in common with the first
-    shingles of the other, but for those it may lack.
-    """
+def _plausible(n: np.ndarray, sketches: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
+    """For each set the least it is connected to by pairs that may be similar, from sizes and sketches alone."""
     num, den = threshold
-    lengths = np.array([len(x) for x in first])
-    owner = np.repeat(np.arange(len(n)), lengths)
-    inter = _shared(len(n), owner, np.concatenate(first))
-    spare = lengths - n
+    width = np.array([len(x) for x in sketches])
+    folded = {}
+    for w in np.unique(width).tolist():
+        wide = width >= w
+        rows = np.zeros((len(n), w), np.uint64)
+        rows[wide] = [np.bitwise_xor.reduce(x.view(np.uint64).reshape(-1, w), axis=0) for x, y in zip(sketches, wide, strict=True) if y]
+        folded[w] = rows
     near = np.zeros((len(n), len(n)), bool)
     for a in range(0, len(n), 256):
         x, y = n[a : a + 256, None], n[None, :]
-        least = -(-num * (x + y) // (num + den))
-        needed = np.minimum(spare[a : a + 256, None], spare[None, :]) + least
-        near[a : a + 256] = (inter[a : a + 256] >= needed) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
-    return _roots(near)
+        i, j = np.nonzero(den * np.minimum(x, y) >= num * np.maximum(x, y))
+        i, j = i[i + a < j] + a, j[i + a < j]
+        least = np.minimum(width[i], width[j])
+        for w, rows in folded.items():
+            of = np.flatnonzero(least == w)
+            for k in range(0, len(of), _MATRIX // 64 // w + 1):
+                p, q = i[of[k : k + _MATRIX // 64 // w + 1]], j[of[k : k + _MATRIX // 64 // w + 1]]
+                differ = np.bitwise_count(rows[p] ^ rows[q]).sum(axis=1, dtype=np.int64)
+                close = (num + den) * differ <= (den - num) * (n[p] + n[q])
+                near[p[close], q[close]] = True
+    return _roots(near | near.T)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """In how many bits two sketches differ, or null where one is more than twice as wide as the other."""
+
+    def half(a: Column) -> Column:
+        n = (F.size(a) / 2).cast("int")
+        return F.zip_with(F.slice(a, 1, n), F.slice(a, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+
+    x, y = (F.when(F.size(p) == 2 * F.size(q), half(p)).otherwise(p) for p, q in ((x, y), (y, x)))
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -301,15 +341,15 @@ def _sublists(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             rows = pa.Table.from_batches(group).combine_chunks()
             order = np.argsort(rows["member"].to_numpy(), kind="stable")
             member, n = rows["member"].to_numpy()[order], rows["n"].to_numpy()[order]
-            flat, ends = rows["first"].chunk(0).flatten().to_numpy(), rows["first"].chunk(0).offsets.to_numpy()
-            first = [flat[ends[k] - ends[0] : ends[k + 1] - ends[0]] for k in order.tolist()]
-            root = _plausible(n, first, threshold)
+            flat, ends = rows["sketch"].chunk(0).flatten().to_numpy(), rows["sketch"].chunk(0).offsets.to_numpy()
+            sketches = [flat[ends[k] - ends[0] : ends[k + 1] - ends[0]] for k in order.tolist()]
+            root = _plausible(n, sketches, threshold)
             several = np.bincount(root, minlength=len(n))[root] > 1
             member, hub = member[several], member[root][several]
             yield batch(_SUBLIST, (*[np.full(len(member), k) for k in key], hub, member))
 
     order = lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return arrow_map(order.select("key", "i", "j", "member", "n", "first"), part, "key long, i int, j int, hub long, member long")
+    return arrow_map(order.select("key", "i", "j", "member", "n", "sketch"), part, "key long, i int, j int, hub long, member long")
 
 
 def _scanned(members: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
@@ -366,16 +406,16 @@ def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], bloc
     """(member, kind, key, i, j): which sets are compared where.
 
     Short lists give pairs that may be similar by their sizes and by the places of the shared shingle: what stands before
-    the first shared shingle of a similar pair is no more than the pair may differ by. Of these, pairs that share too few
-    of their first shingles are dropped. Long lists are parted by
-    their members' first shingles; those with the same members once. Pairs and lists that share members form clusters. A cluster is compared as a whole, once,
+    the first shared shingle of a similar pair is no more than the pair may differ by. Of these, pairs whose sketches
+    differ in more bits than similar sets may in shingles are dropped. Long lists are parted by their members' sketches
+    in the same way; those with the same members once. Pairs and lists that share members form clusters. A cluster is compared as a whole, once,
     if that sends its sets to fewer places than its pairs and lists would; else it is compared by homes.
     """
     num, den = threshold
-    posted = classes.select(F.col("rep").alias("member"), "n", F.posexplode("keys").alias("at", "key"))
+    posted = classes.select(F.col("node").alias("member"), "n", F.posexplode("keys").alias("at", "key"))
     posts, lack = den * F.col("n") >= num * (boundary + 1), F.col("n") - F.ceil(num * F.col("n") / den)
     placed = posts & (F.col("at") <= lack)
-    begins = classes.select("rep", "n", posts.alias("posts"), F.slice("keys", 1, lack.cast("int") + 1).alias("first"))
+    sketched = classes.select("node", "n", "sketch")
     posted = posted.withColumns({"at": F.when(placed, F.col("at")).otherwise(0), "placed": placed})
     lists = posted.groupBy(F.col("key").alias("of")).agg(
         F.count(F.lit(1)).alias("members"),
@@ -395,31 +435,26 @@ def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], bloc
         & (F.col("at") + F.col("_at") <= both - 2 * F.ceil(num * both / (num + den)))
     )
     pairs = short.join(other, may_match).select(F.col("member").alias("a"), F.col("_member").alias("b")).distinct()
-    # As in _plausible: enough of the first shingles must be shared. Sets that post none are too small for this to matter.
-    x, y = (begins.select(*[F.col(c).alias(f"{side}_{c}") for c in begins.columns]) for side in ("x", "y"))
-    pairs = pairs.join(x, F.col("a") == F.col("x_rep")).join(y, F.col("b") == F.col("y_rep"))
-    least = F.ceil(num * (F.col("x_n") + F.col("y_n")) / (num + den))
-    needed = F.least(F.size("x_first") - F.col("x_n"), F.size("y_first") - F.col("y_n")) + least
-    enough = F.size(F.array_intersect("x_first", "y_first")) >= needed
-    pairs = written(pairs.where(~F.col("x_posts") | ~F.col("y_posts") | enough).select("a", "b"), "pairs")
+    x, y = (sketched.select(*[F.col(c).alias(f"{side}_{c}") for c in sketched.columns]) for side in ("x", "y"))
+    pairs = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+    far = (num + den) * _apart(F.col("x_sketch"), F.col("y_sketch")) > (den - num) * (F.col("x_n") + F.col("y_n"))
+    pairs = written(pairs.where(~F.coalesce(far, F.lit(False))).select("a", "b"), "pairs")
     long = listed.where(F.col("members") > SHORT_LIST)
     once = long.groupBy("members", "who", "hub").agg(F.min("key").alias("of"))
     long = long.join(once.select("of"), F.col("key") == F.col("of"))
     blocks = _blocks(F.col("members"), F.col("shingles"), block_sets)
     long = _dealt(long.select("member", F.col("placed").cast("int").alias("kind"), "key", blocks.alias("blocks")))
-    parts = _sublists(long.where("kind = 1").join(begins, F.col("member") == F.col("rep")), threshold)
-    pairs_of_two = long.where("kind = 0").join(
-        listed.groupBy(F.col("key").alias("of")).agg(F.min("hub").alias("hub")), F.col("key") == F.col("of")
-    )
-    long = parts.unionByName(pairs_of_two.select("key", "i", "j", "hub", "member"))
-    long = written(long.select("member", "hub", F.xxhash64("key", "i", "j", "hub").alias("key")), "long")
+    # The lists of a key's postings and of its subsets, kind 1 and 0, are parted in the same way.
+    long = long.withColumn("key", F.xxhash64("kind", "key")).drop("kind")
+    parts = _sublists(long.join(sketched, F.col("member") == F.col("node")), threshold)
+    long = written(parts.select("member", "hub", F.xxhash64("key", "i", "j", "hub").alias("key")), "long", done=[listed])
     ends = pairs.select(F.explode(F.array("a", "b")).alias("member"), F.xxhash64("a", "b").alias("key"))
     places = ends.withColumn("kind", F.lit(2)).unionByName(long.drop("hub").withColumn("kind", F.lit(1)))
     places = places.withColumn("blocks", F.lit(1))
     clusters = components(pairs.unionByName(long.select(F.col("member").alias("a"), F.col("hub").alias("b"))))
     sets = places.groupBy("member").agg(F.sum("blocks").alias("sent"))
     sets = sets.join(clusters, F.col("member") == F.col("node"), "left")
-    sets = sets.join(classes.select("rep", "n"), F.col("member") == F.col("rep"))
+    sets = sets.join(classes.select("node", "n").withColumnRenamed("node", "_node"), F.col("member") == F.col("_node"))
     sets = sets.select("member", "n", "sent", F.coalesce("root", "member").alias("cluster"))
     sizes = sets.groupBy(F.col("cluster").alias("of")).agg(
         F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.sum("sent").alias("sent")
@@ -445,7 +480,7 @@ def _by_home(places: DataFrame) -> DataFrame:
     homes = places.join(lengths, F.col("key") == F.col("of"))
     homes = homes.groupBy("member").agg(F.max(F.struct("length", "key")).getField("key").alias("home"))
     homed = places.join(homes.withColumnRenamed("member", "_member"), F.col("member") == F.col("_member")).select("member", "key", "home")
-    homed = written(homed, "homes")
+    homed = written(homed, "homes", done=[places])
     met = homed.select(F.col("key").alias("of"), F.col("home").alias("other")).distinct()
     many = met.groupBy("of").agg(F.count(F.lit(1)).alias("homes"))
     met = met.join(many.withColumnRenamed("of", "_of"), F.col("of") == F.col("_of")).where(F.col("homes") <= HOMES)
@@ -457,6 +492,48 @@ def _by_home(places: DataFrame) -> DataFrame:
     return together.distinct().unionByName(alone.select("member", F.lit(1).alias("kind"), "key"))
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row per distinct set: s1, s2, n, keys, sketch, the first of its texts (rep, t) and a node that is its own.
+
+    The node is the doc_id, but where a doc_id is the least of several classes all but one of them have a hash instead.
+    """
+    first = F.min(F.struct("doc_id", "t"))
+    classes = rows.groupBy("s1", "s2", "n").agg(first.alias("first"), *[F.any_value(c).alias(c) for c in ("keys", "sketch")])
+    classes = classes.select("s1", "s2", "n", "keys", "sketch", F.col("first.doc_id").alias("rep"), F.col("first.t").alias("t"))
+    classes = written(classes, "classes")
+    own = F.struct("s1", "s2", "n")
+    clashes = classes.groupBy(F.col("rep").alias("of")).agg(F.count(F.lit(1)).alias("classes"), F.min(own).alias("lead"))
+    clashes = written(clashes.where("classes > 1"), "clashes")
+    classes = classes.join(clashes, F.col("rep") == F.col("of"), "left")
+    plain = F.col("lead").isNull() | (own == F.col("lead"))
+    node = F.when(plain, F.col("rep")).otherwise(F.xxhash64("rep", "s1", "s2", "n"))
+    return classes.withColumn("node", node).drop("of", "classes", "lead")
+
+
+def _linked(
+    documents: DataFrame, threshold: tuple[int, int], boundary: int | None, block_sets: int, shingle: int
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, n, node, group) per row, and links (a, b) between nodes.
+
+    The node of a row's set is null where it links with nothing. Links connect the nodes of similar sets.
+    """
+    shingles, counts, repeated = shingle_statistics(documents, shingle)
+    if boundary is None:
+        boundary = cost_boundary(repeated, threshold)
+    sketches = written(_sketches(documents, _Order(shingles, counts), boundary, threshold, shingle), "sketches")
+    classes = _classes(sketches.where("n > 0 and doc_id is not null"))
+    members = _members(classes, boundary, threshold, block_sets)
+    at = classes.select("node", F.col("rep").alias("of_doc"), F.col("t").alias("of_t"))
+    members = members.join(at, F.col("member") == F.col("node")).drop("node")
+    texts = _texts(documents).join(members, (F.col("doc_id") == F.col("of_doc")) & (F.col("t") == F.col("of_t")))
+    links = written(_scanned(texts.drop("doc_id").withColumnRenamed("member", "doc_id"), threshold, shingle), "links")
+    nodes = classes.select("s1", "s2", "n", "node", "rep")
+    rows = sketches.select("doc_id", "t", "n", "s1", "s2").join(nodes, ["s1", "s2", "n"], "left")
+    apart = (F.col("n") == 0) | F.col("doc_id").isNull()
+    rows = rows.select("doc_id", "t", "n", F.when(~apart, F.col("node")).alias("node"))
+    return written(rows, "nodes", done=[sketches]), links
+
+
 def similar_documents(
     documents: DataFrame,
     threshold: tuple[int, int] = THRESHOLD,
@@ -465,29 +542,39 @@ def similar_documents(
     shingle: int = SHINGLE,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    shingles, counts, repeated = shingle_statistics(documents, shingle)
-    if boundary is None:
-        boundary = cost_boundary(repeated, threshold)
-    sketches = written(_sketches(documents, _Order(shingles, counts), boundary, threshold, shingle), "sketches")
-    some = sketches.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = written(classes, "classes")
-    members = _members(classes, boundary, threshold, block_sets)
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    links = _scanned(texts.join(members, F.col("doc_id") == F.col("member")), threshold, shingle)
-    roots = components(links)
-    found = sketches.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
-    found = found.join(roots, F.col("rep") == F.col("node"), "left")
-    apart = (F.col("n") == 0) | F.col("doc_id").isNull()
-    component = F.when(apart, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    rows, links = _linked(documents, threshold, boundary, block_sets, shingle)
+    # Rows of one doc_id are one document, so their sets are linked.
+    own = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    own = own.where("least < most").select(F.col("doc_id").alias("of"), "least")
+    own = rows.join(own, F.col("doc_id") == F.col("of")).where("node > least")
+    roots = components(links.unionByName(own.select(F.col("least").alias("a"), F.col("node").alias("b"))))
+    rows = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    rows = rows.select("doc_id", "n", F.coalesce("root", "node").alias("group"))
+    least = rows.where("group is not null").groupBy(F.col("group").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(least, F.col("group") == F.col("of"), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each group of similar ones, that of the smallest doc_id; repeated rows of it become one."""
-    found = similar_documents(documents, threshold, shingle=shingle)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_td_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_td_gone"), "left_anti")
+    """One row of each group of similar texts, that of the smallest doc_id, then of the smallest hash of the text.
+
+    Rows are judged by their texts: of two rows of one doc_id that are not similar both stay, also if other documents are
+    similar to one of them. Rows of one doc_id and one text become one. Rows without words or doc_id stay.
+    """
+    rows, links = _linked(documents, threshold, None, BLOCK_SETS, shingle)
+    roots = components(links).withColumnRenamed("node", "_node")
+    rows = rows.where("node is not null").groupBy("doc_id", "t", "node").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("group", F.coalesce("root", "node"))
+    picked = rows.groupBy(F.col("group").alias("of")).agg(F.min(F.struct("doc_id", "t")).alias("pick"))
+    rows = rows.join(picked, F.col("group") == F.col("of"))
+    judged = rows.select(F.col("doc_id").alias("of_doc"), F.col("t").alias("of_t"), (F.struct("doc_id", "t") == F.col("pick")).alias("stays"), "copies")
+    judged = written(judged.where("not stays or copies > 1"), "judged", done=[])
+    text = F.xxhash64(F.col("row.text").cast("string"))
+    docs = documents.select(F.struct("*").alias("row")).withColumns({"doc": F.col("row.doc_id").cast("long"), "of": text})
+    same = (F.col("doc") == F.col("of_doc")) & (F.col("of") == F.col("of_t"))
+    single = docs.join(judged, same, "left_anti")
+    repeated = docs.join(judged.where("stays"), same).dropDuplicates(["doc", "of"])
+    return single.select("row.*").unionByName(repeated.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
