@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tests.llm.conftest import odd_texts
+from tests.llm.conftest import odd_texts, prose
 from tidemark.llm import line_dedup, ngram_join, suffix_dedup, suffix_sort
 from tidemark.llm.components import components
 
@@ -32,9 +32,21 @@ def roots(nodes, links):
     return root
 
 
-def shingles(text):
+def shingles(text, n=3):
     w = re.findall(SOLID, re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-    return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def one_of_each(rows, n, percent):
+    """Rows (doc_id, text) of which one of each group of similar texts stays, by comparing all."""
+    known = sorted({(i, t) for i, t in rows if i is not None and shingles(t, n)})
+    sets = [shingles(t, n) for _, t in known]
+    links = [
+        (a, b) for b in range(len(known)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
+    root = roots(range(len(known)), links)
+    rest = [(i, t) for i, t in rows if i is None or not shingles(t, n)]
+    return sorted([row for k, row in enumerate(known) if root[k] == k] + rest, key=repr)
 
 
 @pytest.mark.parametrize("options", [{}, {"boundary": 40, "block_sets": 2}])
@@ -49,11 +61,42 @@ def test_similar_documents(odd, options):
 
 
 def test_one_of_similar_stays(odd, none):
+    odd = odd.withColumnsRenamed({"key": "doc", "rank": "row", "n_words": "copies"})
     left = ngram_join.keep_one(odd)
     assert left.columns == odd.columns
-    assert {4, 5, 7, 9}.isdisjoint(r.doc_id for r in left.collect())
-    assert left.where("doc_id is null").count() == 2 and left.where("doc_id in (0, 1, 2, 3)").count() == 4
-    assert ngram_join.similar_documents(none).count() == 0
+    assert rows_of(left.select("doc_id", "text")) == one_of_each(odd_texts(), 3, 90)
+    assert {r.doc for r in left.collect()} == {"k"}
+    assert ngram_join.similar_documents(none).count() == 0 and ngram_join.keep_one(none).count() == 0
+
+
+def test_rows_stay_by_their_texts_not_their_ids(spark):
+    a, b, c, d = (prose(k, 60) for k in (31, 32, 33, 34))
+    rows = [(18, a), (18, b), (3, b), (20, c), (20, d), (2, d), (1, c + " x"), (7, a.upper()), (9, prose(35, 60)), (9, prose(35, 60))]
+    rows += [(9, prose(36, 60)), (None, a), (None, a), (5, ""), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    expected = one_of_each(rows, 3, 90)
+    assert (3, b) in expected and (7, a.upper()) in expected and sum(i == 9 for i, _ in expected) == 2
+    assert rows_of(ngram_join.keep_one(frame)) == expected
+    # as documents, rows of one id are linked: 18 and 7 by a, 18 and 3 by b
+    found = dict(ngram_join.similar_documents(frame).select("doc_id", "component_id").collect())
+    assert found[18] == found[7] == found[3] == 3 and found[20] == found[2] == found[1] == 1 and found[9] == 9
+
+
+def test_sketches_prune_nothing_similar():
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(700)]
+    texts = [" ".join(base[: r.randrange(1, 700)]) for _ in range(60)] + [" ".join(r.sample(base, 650)) for _ in range(10)]
+    raw = [t.encode() for t in texts]
+    sets = ngram_join.Sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    sketches = [np.array(x, np.int64) for x in sets.sketches().to_pylist()]
+    exact = [shingles(t) for t in texts]
+    for threshold in ((90, 100), (80, 100), (50, 100)):
+        num, den = threshold
+        close = lambda a, b: den * len(exact[a] & exact[b]) >= num * len(exact[a] | exact[b])
+        root = roots(range(len(texts)), [(a, b) for b in range(len(texts)) for a in range(b) if close(a, b)])
+        found = ngram_join._plausible(sets.sizes, sketches, threshold)
+        assert all(found[a] == found[root[a]] for a in range(len(texts)))
+    assert len(set(ngram_join._plausible(sets.sizes, sketches, (90, 100))[60:].tolist())) == 10  # shuffled words share nothing
 
 
 def test_no_link_is_lost_by_the_order_or_the_boundary():
@@ -161,29 +204,29 @@ def test_two_stage_order(seed):
 
 
 def cut_lines(texts, min_words):
-    """Texts without later copies, by comparing all runs; equal rows are one document."""
-    from_run, out = {}, {}
-    def key(t):
-        return (t[0] is not None, t[0] or 0)
-    for text in sorted(set(texts), key=key):
+    """Texts without later copies, by comparing all runs of enough words; equal rows are one document."""
+    seen, out = {}, {}
+    for text in sorted(set(texts), key=lambda t: (t[0] is not None, t[0] or 0)):
         lines = (text[1] or "").split("\n")
-        worded = [(n, x) for n, x in enumerate(lines) if re.search(SOLID, x)]
+        worded = [(n, x, len(re.findall(SOLID, x))) for n, x in enumerate(lines) if re.search(SOLID, x)]
         gone = set()
         for k in range(len(worded)):
+            run = hashlib.sha256()
+            n = 0
             for z in range(k, len(worded)):
-                if sum(len(re.findall(SOLID, x)) for _, x in worded[k : z + 1]) >= min_words:
-                    run = tuple(x for _, x in worded[k : z + 1])
-                    if from_run.setdefault(run, (text, k)) != (text, k):
-                        gone |= set(range(worded[k][0], worded[z][0] + 1))
-                    break
+                run.update(worded[z][1].encode() + b"\n")
+                n += worded[z][2]
+                if n >= min_words and seen.setdefault(run.digest(), (text, k)) != (text, k):
+                    gone |= set(range(worded[k][0], worded[z][0] + 1))
         out[text] = text[1] if not gone else "\n".join(x for n, x in enumerate(lines) if n not in gone)
     return sorted(((t[0], out[t]) for t in texts), key=repr)
 
 
 def test_repeated_lines(odd, none):
-    found = line_dedup.dedup_lines(odd)
-    assert rows_of(found.select("doc_id", "text")) == cut_lines(odd_texts(), 20)
-    assert found.columns == [*odd.columns, "_runs", "_lines"]
+    found = line_dedup.dedup_lines(odd.withColumnsRenamed({"key": "runs", "rank": "row"}))
+    assert rows_of(found.select("row.doc_id", "text")) == cut_lines(odd_texts(), 20)
+    assert found.select("row.*").columns == [*odd.columns[:6], "runs", "component_id", "row"]
+    assert set(map(tuple, found.select("row.runs", "row.n_words").distinct().collect())) == {("k", 7)}
     assert line_dedup.dedup_lines(none).count() == 0
 
 
@@ -197,23 +240,7 @@ def test_repeated_lines_need_many_doublings(spark):
         k = r.randrange(40)
         texts.append((i, "\n".join(a[k : k + 22] + [f"own{i}"] + b + [""] * (i % 3) + a[:25])))
     rows = spark.createDataFrame(texts, "doc_id LONG, text STRING")
-    assert rows_of(line_dedup.dedup_lines(rows).select("doc_id", "text")) == cut_lines(texts, 20)
-
-
-def cut_whole_runs(texts, min_words):
-    """As cut_lines, by all runs of enough words from each line and not the shortest only."""
-    seen, out = {}, []
-    for i, text in sorted(texts):
-        lines = text.split("\n")
-        worded = [(n, x) for n, x in enumerate(lines) if re.search(SOLID, x)]
-        gone = set()
-        for k in range(len(worded)):
-            for z in range(k, len(worded)):
-                run = tuple(x for _, x in worded[k : z + 1])
-                if sum(len(re.findall(SOLID, x)) for x in run) >= min_words and seen.setdefault(run, (i, k)) != (i, k):
-                    gone |= set(range(worded[k][0], worded[z][0] + 1))
-        out.append((i, "\n".join(x for n, x in enumerate(lines) if n not in gone)))
-    return out
+    assert rows_of(line_dedup.dedup_lines(rows).select("row.doc_id", "text")) == cut_lines(texts, 20)
 
 
 def test_repeated_runs_go_whole(spark):
@@ -228,9 +255,14 @@ def test_repeated_runs_go_whole(spark):
     pool = [line(n) for n in (1, 1, 2, 3, 5, 8, 13, 19, 20, 45) for _ in range(2)]
     for i in range(4, 24):
         k = r.randrange(len(pool) - 12)
-        texts.append((i, "\n".join([line(4), *pool[k : k + r.randrange(3, 12)], "", line(7), *r.sample(pool, 5), *pool[k + 2 : k + 9]])))
-    expected = cut_whole_runs(texts, 20)
-    assert b not in expected[1][1] and e not in expected[2][1] and expected != cut_lines(texts, 20)
+        lines = [line(4), *pool[k : k + r.randrange(3, 12)], "", line(7), *r.sample(pool, 5), *pool[k + 2 : k + 9]]
+        texts.append((i, "\n".join(x for own in lines for x in (*[" "] * r.randrange(-2, 3), own))))
+    texts += [(24, "\n".join((a, line(5), pool[-1], "", "", pool[-2])))]
+    texts += [(25, "\n".join((line(8), pool[-1], "", "", " ", pool[-2], line(3)))), (26, "\n".join((pool[-2], "", pool[-1], a)))]
+    expected = dict(cut_lines(texts, 20))
+    assert b not in expected[2] and e not in expected[3] and len(expected[25].split("\n")) == 2
     rows = spark.createDataFrame(texts, "doc_id LONG, text STRING").repartition(3)
-    assert rows_of(line_dedup.dedup_lines(rows).select("doc_id", "text")) == sorted(expected, key=repr)
-    assert rows_of(line_dedup.dedup_lines(rows, whole=False).select("doc_id", "text")) == cut_lines(texts, 20)
+    found = line_dedup.dedup_lines(rows)
+    assert rows_of(found.select("row.doc_id", "text")) == sorted(expected.items(), key=repr)
+    for x in found.collect():  # runs are maximal: none begins where another ends
+        assert all(p.end + 1 < q.start for p, q in zip(x.runs, x.runs[1:]))

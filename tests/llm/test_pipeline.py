@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from scripts.check_oracle import rows_of as sql_rows
 from tests.llm.conftest import odd_texts
-from tests.llm.test_dedup import cut_lines, roots, shingles
+from tests.llm.test_dedup import cut_lines, one_of_each
 from tests.llm.test_text import SOLID, base_rules, buckets, contamination, log_ratio_table
 from tidemark.llm import quality_rules, registry
 
@@ -43,12 +43,13 @@ def expected_rows(items):
         if b[0] >= 50 and 100 * b[4] <= 50 * b[0] and mean >= quality_rules.THRESHOLD:
             kept.append((i, t))
     cut = [(i, t) for i, t in cut_lines(kept, 20) if re.search(SOLID, t)]
-    sets = [(i, shingles(t)) for i, t in cut if i is not None]
-    links = [(a, b) for a, s in sets for b, t in sets if a < b and 100 * len(s & t) >= 90 * len(s | t)]
-    root = roots({i for i, _ in sets}, links)
-    one = [(i, t) for i, t in cut if root.get(i, i) == i]
-    bad = {i for i, n, h, _ in contamination(one, items) if h and 20 * h >= n}
-    return [(i, t) for i, t in one if i not in bad], (kept, cut, one)
+    one = one_of_each(cut, 5, 80)
+    clean = []
+    for i, t in one:
+        ((_, n, h, _),) = contamination([(i, t)], items)
+        if not (h and 20 * h >= n):
+            clean.append((i, t))
+    return clean, (kept, cut, one)
 
 
 def test_pipeline(spark, tables):

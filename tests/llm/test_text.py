@@ -167,10 +167,14 @@ def test_contamination(odd, none, spark, block):
     if block > 500:
         assert decontaminate.find_contamination(odd, bench.where("false")).where("n_hit > 0").count() == 0
         assert decontaminate.find_contamination(none, bench).count() == 0
-        left = decontaminate.drop_contaminated(odd, bench)
-        assert left.columns == odd.columns
-        bad = {i for i, n, h, _ in expected if h and 20 * h >= n}
-        assert {r.doc_id for r in left.collect()} == {i for i, _ in odd_texts()} - bad
+    for more in ([], [(99, texts[0][200:500])], [(None, texts[0][200:500])]):  # of rows of one id, or of none, each by its text
+        rows = odd_texts() + more
+        frame = odd.withColumnsRenamed({"key": "row", "rank": "hit"})
+        frame = frame.unionByName(spark.createDataFrame([(*m, "x") for m in more], "doc_id LONG, text STRING, row STRING"), True)
+        left = decontaminate.drop_contaminated(frame, bench, block_bytes=block)
+        assert left.columns == frame.columns
+        clean = [(i, t) for i, t in rows for _, n, h, _ in contamination([(i, t)], items) if not (h and 20 * h >= n)]
+        assert rows_of(left.select("doc_id", "text")) == sorted(clean, key=repr)
 
 
 # languages
@@ -252,12 +256,14 @@ def test_quality_rules(spark, odd, none):
     assert {r.log_ratio for r in quality_rules.judge(odd, labels.where("false")).collect()} == {0.0}
 
 
-def test_long_texts_count_windows_alike(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, prose(1, 400) + " " + prose(1, 150)), (2, "a b " * 90)], "doc_id LONG, text STRING")
-    counts = lambda: rows_of(quality_rules.measured(rows).select("doc_id", "_base.n_repeat_words"))
-    packed = counts()
-    monkeypatch.setattr(quality_rules, "_SHORT", 16)  # the way of very long texts
-    assert counts() == packed == [(i, base_rules(t)[4]) for i, t in rows.collect()]
+def test_windows_are_compared_by_their_words(spark):
+    rows = spark.createDataFrame([(1, prose(1, 120) + " " + prose(1, 50)), (2, "a b " * 40), (3, "a b c a b"), (4, "")], "doc_id LONG, text STRING")
+    words = quality_rules.word_list(quality_rules.F.col("text"))
+    one = lambda *_: quality_rules.F.lit(1).cast("long")  # noqa: E731 (every hash collides)
+    two = lambda a, b, c: quality_rules.F.length(a) % 2
+    for hashed in (quality_rules.F.xxhash64, one, two):
+        got = rows.select("doc_id", quality_rules.repeated_words(words, hashed)).collect()
+        assert sorted(map(tuple, got)) == [(i, base_rules(t)[4]) for i, t in rows.collect()]
 
 
 def test_classifier(spark, odd, none):

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, batch, byte_columns, kept_in_worker, table, written
@@ -74,9 +74,6 @@ def _automaton(keys: list[bytes], owners: list[list[int]]) -> ahocorasick.Automa
     return found
 
 
-_HITS = "_hit array<int>, _items array<long>"
-
-
 def _scanned(documents: DataFrame, keys: list[bytes], owners: list[list[int]]) -> DataFrame:
     """Adds hit word numbers and items of one block to those found before."""
     spread = documents.sparkSession.sparkContext.broadcast((keys, owners))
@@ -107,12 +104,12 @@ def _scanned(documents: DataFrame, keys: list[bytes], owners: list[list[int]]) -
                 hits.append(np.union1d(np.asarray(old_hits, np.int32), np.asarray(now, np.int32)).astype(np.int32))
                 items.append(sorted(own))
             schema = pa.schema(
-                [("doc_id", pa.int64()), ("text", rows.schema.field(1).type), ("n_words", pa.int64())]
-                + [("_hit", pa.list_(pa.int32())), ("_items", pa.list_(pa.int64()))]
+                [rows.schema.field(0), rows.schema.field(1), ("n_words", pa.int64())]
+                + [("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))]
             )
             yield batch(schema, (rows.column(0), rows.column(1), n_words, hits, items))
 
-    return arrow_map(documents, scan, f"doc_id long, text string, n_words long, {_HITS}")
+    return arrow_map(documents, scan, documents.schema)
 
 
 def _spans(raw: bytes, hit: list[int]) -> list[dict]:
@@ -124,10 +121,8 @@ def _spans(raw: bytes, hit: list[int]) -> list[dict]:
     return [{"start": int(heads[s]) - 1, "end": int(heads[e - 1])} for s, e in points]
 
 
-_FOUND = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.int64()))]
-    + [("hit_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-)
+_FOUND = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.int64()))]
+_FOUND += [("hit_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
 
 
 def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,42 +132,58 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = [
             _spans(data[bounds[i] : bounds[i + 1]].tobytes(), h) if h else [] for i, h in enumerate(hits)
         ]
-        yield batch(_FOUND, (rows.column(0), rows.column(2), [len(h) for h in hits], rows.column(4), spans))
+        schema = pa.schema([rows.schema.field(0), *_FOUND])
+        yield batch(schema, (rows.column(0), rows.column(2), [len(h) for h in hits], rows.column(4), spans))
 
 
-def find_contamination(
-    documents: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, item_ids (sorted), hit_spans (code point offsets, end exclusive)."""
+def _scanned_by_all(documents: DataFrame, row: Column, items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(row, text, n_words, hit, items): hit word numbers and items of all blocks, next to a column of the caller's."""
     cut = item_windows(items, window).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("owners"))
     cut = written(cut.withColumn("size", F.length("window") + 8 * F.size("owners")), "windows")
     total = cut.agg(F.sum("size")).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     rows = documents.select(
-        F.col("doc_id").cast("long"),
-        F.col("text").cast("string"),
+        row.alias("row"),
+        F.col("text").cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("_hit"),
-        F.array().cast("array<long>").alias("_items"),
+        F.array().cast("array<int>").alias("hit"),
+        F.array().cast("array<long>").alias("items"),
     )
+    last = None
     for k in range(blocks):
         own = cut.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).select("window", "owners").toArrow()
         rows = _scanned(rows, own["window"].to_pylist(), own["owners"].to_pylist())
         if k + 1 < blocks:
-            rows = written(rows, "scanned")
+            rows = last = written(rows, "scanned", done=[last] if last else [])
+    return rows
+
+
+def find_contamination(
+    documents: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, item_ids (sorted), hit_spans (code point offsets, end exclusive)."""
+    rows = _scanned_by_all(documents, F.col("doc_id").cast("long"), items, window, block_bytes)
     spans = "array<struct<start:int,end:int>>"
-    return arrow_map(rows, _mapped, f"doc_id long, n_words long, n_hit long, item_ids array<long>, hit_spans {spans}")
+    found = arrow_map(rows, _mapped, f"row long, n_words long, n_hit long, item_ids array<long>, hit_spans {spans}")
+    return found.withColumnRenamed("row", "doc_id")
 
 
-def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
+def contaminated(n_hit: Column, n_words: Column) -> Column:
     """At least one word in twenty lies in a benchmark window."""
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
 
+def drop_contaminated(documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without contaminated ones; the columns stay.
 
-def drop_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without contaminated ones; the columns stay. Rows without a doc_id stay unless judged by none."""
-    judged = find_contamination(documents, items).where(contaminated()).select(F.col("doc_id").alias("_td_bad"))
-    return documents.join(judged.distinct(), documents["doc_id"].eqNullSafe(F.col("_td_bad")), "left_anti")
+    Every row is judged by its own text, whatever its doc_id: of rows of one id, or of none, only those that are
+    contaminated go.
+    """
+    others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    rows = _scanned_by_all(documents, F.struct(F.lit(0).alias("_"), *others), items, WINDOW, block_bytes)
+    kept = rows.where(~contaminated(F.size("hit"), F.col("n_words")))
+    text = F.col("text").cast(documents.schema["text"].dataType)
+    return kept.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +195,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
-        contaminated().alias("contaminated"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 

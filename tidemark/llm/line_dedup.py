@@ -11,8 +11,8 @@ Rule: a run of lines repeats if it has ``MIN_WORDS`` words or more and the same
 further up in the document); all judged on the input. It is enough to look at the shortest such run from each line and
 the shortest such run up to each line: a repeated run is covered by those within it. Neither has more than ``MIN_WORDS``
 lines, so ranks are needed up to that many lines only. Lines without a word take no part; those inside a deleted run go
-with it. The SQL of op7 knows the shortest runs from each line only, which leaves the end of a repeated run where the last
-lines are short; its query keeps to that (``whole=False``), the pipeline does not.
+with it. Two lines that repeat together are covered together by a shortest run, unless each has words enough by itself;
+such pairs are looked up too where wordless lines stand between them.
 
 Scale: a round shuffles only suffixes that are not alone, a few numbers each. Ranks come from a range-partitioned sort of
 distinct pairs with counts and a running sum over partitions, so a line that a third of all documents share is one row
@@ -20,7 +20,8 @@ there. The first of an interval is a partial aggregate. Texts are shuffled once,
 
 Defined results: null texts stay null, empty texts stay empty. Rows of one doc_id with different texts stand in order of
 the hash of the text; fully equal rows are one document, and each is returned cut the same way. A null doc_id comes
-first. Lines end at \\n; what is left is joined by \\n. Other columns stay. No rows give no rows.
+first. Lines end at \\n; what is left is joined by \\n. The input row is kept as one column, so its other columns stay
+and may have any name. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, batch, byte_columns, range_hashes, slices, table, words, written
+from tidemark.llm.common import arrow_map, batch, byte_columns, forget, let, range_hashes, slices, table, words, written
 
 MIN_WORDS = 20
 _LINES = pa.schema(
@@ -41,7 +42,7 @@ _LINES = pa.schema(
 )
 
 
-def _line_rows(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, min_words: int, whole: bool) -> pa.RecordBatch:
+def _line_rows(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, min_words: int) -> pa.RecordBatch:
     starts, _, _ = words(data, bounds)
     breaks = np.flatnonzero(data == 10)
     heads = np.unique(np.concatenate((bounds[:-1], breaks + 1)))
@@ -60,7 +61,9 @@ def _line_rows(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, min_w
     after = np.searchsorted(owner, owner, side="right")
     need = np.where(at + need <= after, need, 0)
     # Runs of need lines are the shortest from here. Longer ones of up to most lines are the shortest up to their last line.
-    most = np.searchsorted(total, total[1:] + min_words) - 1 - at if whole else need
+    most = np.searchsorted(total, total[1:] + min_words) - 1 - at
+    parted = np.append(number[1:] > number[:-1] + 1, False)
+    most = np.where(parted, np.maximum(most, 2), most)
     most = np.maximum(np.minimum(most, after - at), need)
     several = np.where(need > 0, most - need + 1, 0)
     offsets = np.append(0, np.cumsum(several))
@@ -73,10 +76,10 @@ def _line_rows(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, min_w
     return batch(_LINES, (docs, subs, *(pa.array(x).cast(f.type) for x, f in zip(numbers, list(_LINES)[2:-1], strict=True)), ends))
 
 
-def line_sequences(documents: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
+def line_sequences(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Lines with a word: doc, sub, k (place in the sequence), line (number in the text), id, need (how many lines from
     here make ``min_words``, 0 if too few follow) and ends (numbers of the last lines of the runs of need, need + 1 and so
-    on lines from here that are to be looked up; only that of need lines if not ``whole``)."""
+    on lines from here that are to be looked up)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -84,7 +87,7 @@ def line_sequences(documents: DataFrame, min_words: int = MIN_WORDS, whole: bool
             for i, j in slices(bounds):
                 if bounds[j] > bounds[i]:
                     part = data[bounds[i] : bounds[j]]
-                    yield _line_rows(rows.slice(i, j - i), part, bounds[i : j + 1] - bounds[i], min_words, whole)
+                    yield _line_rows(rows.slice(i, j - i), part, bounds[i : j + 1] - bounds[i], min_words)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), _sub(), F.col("text").cast("string"))
     return arrow_map(rows, cut, "doc long, sub long, k int, line int, id long, need int, ends array<int>")
@@ -141,17 +144,21 @@ def _later(suffixes: DataFrame, h: int) -> DataFrame:
     return wanted.join(first, same).where(place != F.col("first")).select("doc", "sub", "line", "end")
 
 
-def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
+def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, sub, runs): the maximal runs of later copies in each text that has any, as line numbers, end included."""
-    lines = written(line_sequences(documents, min_words, whole), "lines")
-    suffixes = written(_doubled(lines, ["id"]).distinct(), "suffixes")
-    spans, h = _later(suffixes, 1), 1
+    lines = written(line_sequences(documents, min_words), "lines")
+    suffixes = written(_doubled(lines, ["id"]).distinct(), "suffixes", done=[lines])
+    found, h = [written(_later(suffixes, 1), "spans")], 1
     longest = F.max(F.col("need") + F.size("ends") - 1)
     while (suffixes.agg(longest).first()[0] or 0) >= 2 * h:
         pairs = _ahead(suffixes, suffixes, F.lit(h)).withColumnRenamed("rank", "here")
         h *= 2
-        suffixes = written(_doubled(pairs, ["here", "next"]), "suffixes")
-        spans = spans.unionByName(_later(suffixes, h))
+        suffixes = written(_doubled(pairs, ["here", "next"]), "suffixes", done=[suffixes])
+        found.append(written(_later(suffixes, h), "spans"))
+    forget(suffixes)
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
     own = Window.partitionBy("doc", "sub").orderBy("line", "end")
     reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("opens", (F.col("line") > F.coalesce(reached, F.lit(-2)) + 1).cast("int"))
@@ -160,31 +167,45 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS, whole: bool
     return runs.groupBy("doc", "sub").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
-    """The documents with later copies cut out of ``text``, and the columns _runs (what was cut) and _lines (how many
-    lines there were; 0 for null)."""
-    runs = repeated_runs(documents, min_words, whole).select(F.col("doc").alias("_doc"), F.col("sub").alias("_of"), F.col("runs").alias("_runs"))
-    rows = documents.withColumn("_sub", _sub())
-    rows = rows.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_sub") == F.col("_of")), "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    left = F.filter(parts, lambda _, i: ~F.exists("_runs", lambda r: (r["start"] <= i) & (i <= r["end"])))
-    cut = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    rows = rows.withColumns({"text": cut, "_lines": F.coalesce(F.size(parts), F.lit(0))})
-    return rows.select(*documents.columns, F.coalesce("_runs", F.array().cast("array<struct<start:int,end:int>>")).alias("_runs"), "_lines")
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, text, runs, n_lines): each document as it was, its text without later copies, what was cut (numbers of the
+    first and last lines) and how many lines there were (0 for null)."""
+    runs = repeated_runs(documents, min_words).select(F.col("doc").alias("of_doc"), F.col("sub").alias("of_sub"), "runs")
+    rows = documents.select(F.struct("*").alias("row"))
+    text = F.col("row.text").cast("string")
+    rows = rows.withColumns({"doc": F.col("row.doc_id").cast("long"), "sub": F.xxhash64(text)})
+    rows = rows.join(runs, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("sub") == F.col("of_sub")), "left")
+    parts = F.split(text, "\n", -1)
+
+    def between(lines: Column) -> Column:
+        """What stands before each run and after the last."""
+
+        def piece(k: Column) -> Column:
+            begin = F.coalesce(F.get(F.col("runs"), k - 1)["end"] + 1, F.lit(0))
+            end = F.coalesce(F.get(F.col("runs"), k)["start"], F.size(lines))
+            return F.slice(lines, begin + 1, end - begin)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), piece))
+
+    cut = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(let(parts, between), "\n"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    n_lines = F.greatest(F.coalesce(F.size(parts), F.lit(0)), F.lit(0))
+    return rows.select("row", cut.alias("text"), F.coalesce("runs", none).alias("runs"), n_lines.alias("n_lines"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)
-    removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
     return found.select(
-        "doc_id",
-        F.greatest("_lines", F.lit(0)).cast("long").alias("n_lines"),
+        "row.doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
         removed.cast("long").alias("n_removed"),
-        F.size("_runs").cast("long").alias("n_runs"),
+        F.size("runs").cast("long").alias("n_runs"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
+#: A run from a to z is looked up if it has words enough, and z or a cannot go without it having too few, or z is next to a.
 SQL = f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
 l AS (
@@ -194,10 +215,11 @@ f AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k,
     sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM l WHERE w > 0),
 e AS (
-  SELECT a.doc_id, a.k, a.line, min(b.k) AS z FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + {MIN_WORDS}
-    AND b.upto - a.upto + a.w >= {MIN_WORDS} GROUP BY ALL),
+  SELECT a.doc_id, a.k, a.line, b.k AS z
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + {MIN_WORDS} AND b.upto - a.upto + a.w >= {MIN_WORDS}
+    AND (b.upto - b.w - a.upto + a.w < {MIN_WORDS} OR b.upto - a.upto < {MIN_WORDS} OR b.k = a.k + 1)),
 r AS (
-  SELECT e.doc_id, e.k, e.line, max(f.line) AS final, list(f.s ORDER BY f.k) AS run
+  SELECT e.doc_id, e.k, e.z, e.line, max(f.line) AS final, list(f.s ORDER BY f.k) AS run
   FROM e JOIN f ON e.doc_id = f.doc_id AND f.k BETWEEN e.k AND e.z GROUP BY ALL),
 c AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS copy FROM r),
 gone AS (SELECT DISTINCT doc_id, line + j AS line FROM c, unnest(range(0, final - line + 1)) AS t(j) WHERE copy > 1),

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import let, table
 
 BUCKETS = 1 << 16
 #: Labelled documents the trusted model is fitted on, those of the smallest hashes.
@@ -35,46 +35,46 @@ _WHITE = r"[\x20\x09-\x0D]+"
 _SOLID = r"[^\x20\x09-\x0D]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def word_list(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _WHITE), lambda w: w != "")
 
 
-#: Windows of a text with fewer words than this are sorted as one number: 49 bits of hash, then 15 of position.
-_SHORT = 1 << 15
+def repeated_words(words: Column, hashed: Callable[..., Column] = F.xxhash64) -> Column:
+    """Words that lie in a 3-word window found twice or more among these words.
 
+    Windows are sorted by a hash and their place, and count as equal only where their words are.
+    """
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more among these words."""
+    def positions(w: Column) -> Column:
+        """Positions of the windows that occur again, in order; equal windows sort near each other."""
+        window = lambda i: F.slice(w, i + 1, 3)
+        numbered = F.transform(
+            F.sequence(F.lit(0), F.size(w) - 3),
+            lambda i: F.struct(hashed(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
+        )
 
-    def window(w: Column, i: Column) -> Column:
-        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        def again(s: Column) -> Column:
+            def met(a: Column, b: Column) -> Column:
+                same = (a["h"] == b["h"]) & (window(a["i"]) == window(b["i"]))
+                return F.coalesce(same, F.lit(False))
 
-    def positions(w: Column, number, hash_of, place_of) -> Column:
-        """Positions of the windows that occur again, in order; equal windows sort side by side."""
-        numbered = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: number(window(w, i), i))
-        again = lambda s: F.filter(
-            s,
-            lambda a, k: F.coalesce(hash_of(F.get(s, k - 1)) == hash_of(a), F.lit(False))
-            | F.coalesce(hash_of(F.get(s, k + 1)) == hash_of(a), F.lit(False)),
-        )
-        return F.sort_array(F.transform(let(F.sort_array(numbered), again), place_of))
+            # Beside it stands an equal window, or windows of its hash that are others: then all of that hash are compared.
+            def crowd(a: Column) -> Column:
+                others = F.filter(s, lambda b: (b["h"] == a["h"]) & (b["i"] != a["i"]))
+                return F.exists(others, lambda b: window(a["i"]) == window(b["i"]))
+
+            def mixed(a: Column, k: Column) -> Column:
+                before, after = F.get(s, k - 1), F.get(s, k + 1)
+                return F.coalesce(before["h"] == a["h"], F.lit(False)) | F.coalesce(after["h"] == a["h"], F.lit(False))
+
+            return F.filter(
+                s, lambda a, k: met(F.get(s, k - 1), a) | met(F.get(s, k + 1), a) | (mixed(a, k) & crowd(a))
+            )
+
+        return F.sort_array(F.transform(let(F.sort_array(numbered), again), lambda x: x["i"]))
 
     def found(w: Column) -> Column:
-        short = positions(
-            w,
-            lambda h, i: h.bitwiseAND(F.lit(-_SHORT).cast("long")).bitwiseOR(i.cast("long")),
-            lambda x: F.shiftright(x, 15),
-            lambda x: x.bitwiseAND(F.lit(_SHORT - 1).cast("long")).cast("int"),
-        )
-        long = positions(
-            w, lambda h, i: F.struct(h.alias("h"), i.alias("i")), lambda x: x["h"], lambda x: x["i"]
-        )
-        return F.when(F.size(w) < 3, F.array().cast("array<int>")).when(F.size(w) < _SHORT, short).otherwise(long)
+        return F.when(F.size(w) < 3, F.array().cast("array<int>")).otherwise(positions(w))
 
     start = F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(F.lit(3), i - acc["at"])).alias("n"))
@@ -88,22 +88,21 @@ def repeated_lines(text: Column) -> Column:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """The documents with their _words and, as one column _base, the figures of the base rules."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.withColumn("_words", word_list(text))
-    n_words, n_repeat = F.size("_words").cast("long"), repeated_words(F.col("_words"))
+    """(row, words, base, failed): the input row as one column, its words, the figures of the base rules, the verdict."""
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = documents.select(F.struct("*").alias("row")).withColumn("words", word_list(text))
     rows = rows.withColumn(
-        "_base",
+        "base",
         F.struct(
-            n_words.alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+            F.size("words").cast("long").alias("n_words"),
+            F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             repeated_lines(text).alias("n_dup_lines"),
-            n_repeat.alias("n_repeat_words"),
+            repeated_words(F.col("words")).alias("n_repeat_words"),
         ),
     )
-    failed = (F.col("_base.n_words") < 50) | (100 * F.col("_base.n_repeat_words") > 50 * F.col("_base.n_words"))
-    return rows.withColumn("_failed", failed)
+    failed = (F.col("base.n_words") < 50) | (100 * F.col("base.n_repeat_words") > 50 * F.col("base.n_words"))
+    return rows.withColumn("failed", failed)
 
 
 def ngram_buckets(words: Column) -> Column:
@@ -147,26 +146,26 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> list[float]:
 
 
 def _judged(documents: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """The documents with _base, _failed, _ratio (mean log ratio) and _kept."""
+    """(row, base, failed, ratio, kept): the ratio is the mean log ratio."""
     numbers = ",".join(map(repr, log_ratios(documents, labels)))
     ratios = F.split(F.lit(numbers), ",").cast("array<double>")  # folded into one constant
     ratio = let(
-        ngram_buckets(F.col("_words")),
+        ngram_buckets(F.col("words")),
         lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(F.size(g), F.lit(1)),
     )
-    rows = measured(documents).withColumn("_ratio", ratio).drop("_words")
-    return rows.withColumn("_kept", ~F.col("_failed") & (F.col("_ratio") >= threshold))
+    rows = measured(documents).withColumn("ratio", ratio).drop("words")
+    return rows.withColumn("kept", ~F.col("failed") & (F.col("ratio") >= threshold))
 
 
 def judge(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, the figures of the base rules, base_failed, log_ratio (per n-gram), kept."""
     rows = _judged(documents.select("doc_id", "text"), labels, threshold)
-    return rows.select("doc_id", "_base.*", F.col("_failed").alias("base_failed"), F.col("_ratio").alias("log_ratio"), F.col("_kept").alias("kept"))
+    return rows.select("row.doc_id", "base.*", F.col("failed").alias("base_failed"), F.col("ratio").alias("log_ratio"), "kept")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The kept documents with their own columns."""
-    return _judged(documents, labels, threshold).where("_kept").select(*documents.columns)
+    """The kept documents with their own columns, whatever their names."""
+    return _judged(documents, labels, threshold).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
