@@ -10,6 +10,10 @@ All stages but the last return the columns of documents.
    of five words have a Jaccard index of 0.8 or more; the query of op1 has three words and 0.9.
 4. decontaminate: documents that hold benchmark windows go.
 5. bpe: token ids of what is left.
+
+Stages judge rows, not ids: of rows that share a doc_id, or have none, each goes or stays by its own text; equal rows of
+one doc_id become one in stage 3, and rows without a doc_id are near copies of nothing. Null and empty texts fail the
+rules of stage 1. Other columns stay, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +35,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(docs)
-    touched = F.size("_runs") > 0
+    touched = F.size("runs") > 0
     cut = cut.where(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        length = F.when(touched, F.length("text")).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        length = F.when(touched, F.length("text")).otherwise(F.col("row.n_chars"))
+        new["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
