@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -52,6 +53,18 @@ def test_chunks_are_reused_and_joins_repaired(monkeypatch):
     assert encoder.reused > 1000
 
 
+def test_one_long_pre_token_takes_linear_time(monkeypatch):
+    """Splits of a text without boundaries add up to a few times its length."""
+    r, split = random.Random(4), []
+    encoder = bpe.ChunkEncoder(BYTES)
+    plain = encoder.split
+    monkeypatch.setattr(encoder, "split", lambda text: split.append(len(text)) or plain(text))
+    text = "so " + "".join(r.choice("acgt") for _ in range(2_000_000)) + " it ends, 'tis so"
+    ids = encoder.encode(text.encode())
+    assert sum(split) < 8 * len(text) and encoder.decode(ids).decode() == text
+    assert ids == bpe.ChunkEncoder(BYTES, chunk_reuse=False).encode(text.encode())
+
+
 def test_shared_passages_are_cut_alike():
     shared = prose(40, 800).encode()
     a, b = (bpe.cuts(np.frombuffer(x.encode() + shared, np.uint8)) - len(x) for x in ("short", "another start, longer"))

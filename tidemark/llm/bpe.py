@@ -6,7 +6,8 @@ may differ from those of the whole text, so each join is repaired: splitting sta
 join, at a boundary known to be right, and goes on until one of its boundaries is also a boundary of the next chunk on
 its own. From there on both agree, as the splitting pattern looks back at nothing. A token never crosses a pre-token.
 
-Scale: documents stay in their task, nothing is shuffled, and caches have a fixed number of entries. Chunks are shared
+Scale: documents stay in their task, nothing is shuffled, and caches have a fixed number of entries of bounded length. A
+single pre-token of any length takes linear time: its open end is split again only when it has doubled. Chunks are shared
 by the documents of one worker: sharing them over the cluster would shuffle all text and all ids once more.
 
 Exactness: characters up to U+02FF are split here, checked one by one in a test; text with others is split by the
@@ -30,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from tidemark.llm.common import arrow_map, _BYTES, batch, byte_columns, kept_in_worker, mixed, slices, table
 
@@ -40,8 +41,10 @@ OPEN = 2
 HEAD = 8
 #: A cut follows one of so many characters on average.
 CHUNK_BYTES = 512
-PARTS_KEPT = 1 << 17
+#: Entries of the caches of a worker, and how long a text may be that is kept.
+PARTS_KEPT = 1 << 16
 CHUNKS_KEPT = 1 << 14
+LONGEST_KEPT = 1 << 12
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -79,7 +82,6 @@ class _Kept(dict):
 class ChunkEncoder:
     def __init__(self, path: str, chunk_reuse: bool = True) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -88,10 +90,11 @@ class ChunkEncoder:
         self.special_ids = {s: array("I", [i]).tobytes() for s, i in special.items()}
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.unsafe = regex.compile("[^\u0000-˿]")
-        self.parts: dict[str, bytes] = {}
+        self.parts: _Kept = _Kept(PARTS_KEPT)
         self.chunks, self.chunk_reuse = _Kept(CHUNKS_KEPT), chunk_reuse
         self.reused = 0
         letters = _letters()
+        self.letters = [letter for letter, _ in sorted(letters.items(), key=lambda x: x[1])]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.spelled = [b""] * self.tokenizer.get_vocab_size()
         for token, i in vocabulary.items():
@@ -106,19 +109,18 @@ class ChunkEncoder:
         return self.findall(text)
 
     def ids_of(self, parts: list[str]) -> bytes:
-        known = self.parts
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            out = []
-            for p in parts:
-                if (ids := known.get(p)) is None:
-                    if len(known) >= PARTS_KEPT:
-                        known.clear()
-                    letters = "".join(x for x, _ in self.bytes_as_letters.pre_tokenize_str(p))
-                    known[p] = ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-                out.append(ids)
-            return b"".join(out)
+        out = list(map(self.parts.get, parts))
+        if None in out:
+            letters, tokenize = self.letters, self.tokenizer.model.tokenize
+            for k, p in enumerate(parts):
+                if out[k] is None and (ids := self.parts.find(p)) is None:
+                    spelled = "".join([letters[b] for b in p.encode()])
+                    ids = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+                    if len(p) <= LONGEST_KEPT:
+                        self.parts.keep(p, ids)
+                if out[k] is None:
+                    out[k] = ids
+        return b"".join(out)
 
     def _chunk(self, raw: bytes) -> tuple[str, list[str], bytes, str]:
         """Text, first pre-tokens, ids of those between them and the open end, and the open end."""
@@ -128,7 +130,8 @@ class ChunkEncoder:
             closed = max(0, len(parts) - OPEN)
             head = parts[: min(HEAD, closed)]
             found = (text, head, self.ids_of(parts[len(head) : closed]), "".join(parts[closed:]))
-            self.chunks.keep(raw, found)
+            if len(raw) <= LONGEST_KEPT:
+                self.chunks.keep(raw, found)
         else:
             self.reused += 1
         return found
@@ -140,7 +143,18 @@ class ChunkEncoder:
             return
         at = [0, *cuts(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]
         left = ""  # begins at a boundary of the whole text; its end is open
+        more, size, wait = [], 0, 0  # what follows it unsplit, until so many characters have come
         for a, b in zip(at, at[1:]):
+            if wait:
+                more.append(raw[a:b].decode())
+                size += len(more[-1])
+                if size < wait:
+                    continue
+                again = self.split(left + "".join(more))
+                yield self.ids_of(again[:-OPEN])
+                left = "".join(again[-OPEN:])
+                more, size, wait = [], 0, self._wait(left)
+                continue
             text, head, middle, end = self._chunk(raw[a:b])
             if not left:
                 yield self.ids_of(head)
@@ -163,7 +177,13 @@ class ChunkEncoder:
                 again = self.split(left + text)
                 yield self.ids_of(again[:-OPEN])
                 left = "".join(again[-OPEN:])
-        yield self.ids_of(self.split(left))
+                wait = self._wait(left)
+        yield self.ids_of(self.split(left + "".join(more)))
+
+    @staticmethod
+    def _wait(left: str) -> int:
+        """An open end of several chunks is split again when as much has come again, so that all splits take linear time."""
+        return len(left) if len(left) > 4 * CHUNK_BYTES else 0
 
     def encode(self, raw: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -177,8 +197,8 @@ class ChunkEncoder:
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids as UTF-8; bytes that are no character read as U+FFFD."""
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in array("I", ids)]).decode("utf-8", "replace").encode()
+        raw = b"".join(map(self.spelled.__getitem__, array("I", ids)))
+        return raw if raw.isascii() else raw.decode("utf-8", "replace").encode()
 
 
 def _letters() -> dict[str, int]:
