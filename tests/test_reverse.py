@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import conflict as cf
 from tidemark.operators import reverse as rv
-from tidemark.operators.running import find_chunks
+from tidemark.operators import running
 
 CHANGES = "k STRING, seq BIGINT, val BIGINT, version BIGINT"
 TARGET = "k STRING, val BIGINT, keep STRING, version BIGINT"
@@ -61,15 +61,15 @@ def data(seed, n=1500, keys=60, nulls=0.1, hot=0.4):
 
 
 @pytest.mark.parametrize("policy, sot", ROUNDS)
-@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
-def test_fold(spark, policy, sot, hot_rows):
-    for seed, nulls in ((1, 0.0), (2, 0.1)) if hot_rows > 50 else ((3, 0.02), (4, 0.1)):
+@pytest.mark.parametrize("cuts", [1, 20])
+def test_fold(spark, policy, sot, cuts):
+    for seed, nulls in ((1, 0.0), (2, 0.1)) if cuts == 1 else ((3, 0.02), (4, 0.1)):
         changes, target, ledger = data(seed, nulls=nulls)
         c, t, l = (
             spark.createDataFrame(rows, schema)
             for rows, schema in ((changes, CHANGES), (target, TARGET), (ledger, LEDGER))
         )
-        decided = rv.decide(c, t, l, ["k"], ["seq"], "version", policy, sot, hot_rows=hot_rows)
+        decided = rv.decide(c, t, l, ["k"], ["seq"], "version", policy, sot, cuts=cuts)
         want, advanced = fold(changes, target, ledger, policy, sot)
         got = {(r["k"], r["seq"]): r["action"] for r in decided.collect()}
         assert got == want
@@ -80,12 +80,52 @@ def test_fold(spark, policy, sot, hot_rows):
 def test_hot_keys_are_cut(spark):
     changes, _, _ = data(5)
     c = spark.createDataFrame(changes, CHANGES)
-    chunks = find_chunks(c, ["k"], ["seq"], hot_rows=50)
-    parts = chunks.assign(c).filter("k = 'hot'").groupBy("_chunk").count().collect()
+    cuts = running.find_cuts(c, ["k"], ["seq"], 20)
+    parts = cuts.assign(c).filter("k = 'hot'").groupBy("_part").count().collect()
     total = sum(r["count"] for r in parts)
-    assert len(chunks.hot) == 1 and len(parts) > 10
-    assert max(r["count"] for r in parts) < total / 5
-    assert find_chunks(c, ["k"], ["seq"], hot_rows=10_000) is None
+    assert len(parts) > 6 and max(r["count"] for r in parts) < total / 4
+    assert sum(len(r["_cuts"]) for r in cuts.at.collect()) <= 20
+
+
+ORDERS = {
+    "distinct": lambda r, i: (float(i), r.randrange(9)),
+    "ties": lambda r, i: (1.0, 1),
+    "odd": lambda r, i: (r.choice([None, float("nan"), float("-inf"), -0.5, 2.0, float(i % 7)]), r.choice([None, 1, 2])),
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+@pytest.mark.parametrize("policy, sot", ROUNDS)
+def test_scan_of_one_key_with_most_rows(spark, kind, policy, sot):
+    """Ties, nulls and NaN in the order, null keys, one key with most rows: as stepping through them in order."""
+    rng = random.Random(len(kind))
+    rows = []
+    for i in range(1200):
+        key = rng.choice(["hot"] * 8 + ["a", "b", None])
+        rows.append((key, *ORDERS[kind](rng, i), i, rng.choice([None, *range(30)]) if i % 5 else 3))
+    c = spark.createDataFrame(rows, "k STRING, at DOUBLE, then INT, val BIGINT, version BIGINT").repartition(3)
+    target = [("hot", 0, "x", 4), ("b", 0, "x", None)]
+    t = spark.createDataFrame(target, TARGET)
+    l = spark.createDataFrame([("hot", 2), ("a", 5)], LEDGER)
+    ordered = c.withColumn("tie", running.tie(c.columns)).orderBy("k", "at", "then", "tie").collect()
+    steps = [(r["k"] or "", n, r["val"], r["version"]) for n, r in enumerate(ordered)]
+    want, _ = fold(steps, target, [("hot", 2), ("a", 5)], policy, sot)
+    by_value = {val: want[k, n] for k, n, val, _ in steps}
+    for cuts in (1, 15):
+        got = rv.decide(c, t, l, ["k"], ["at", "then"], "version", policy, sot, cuts=cuts).collect()
+        assert len(got) == len(rows) and {r["val"]: r["action"] for r in got} == by_value
+
+
+def test_scan_is_one_plan_and_moves_rows_once(spark):
+    """Finding cuts runs no job, and the scan adds no shuffle of the rows to that of the join before it."""
+    changes, target, ledger = data(6)
+    c, t, l = (spark.createDataFrame(rows, schema) for rows, schema in ((changes, CHANGES), (target, TARGET), (ledger, LEDGER)))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("cuts", "cuts")
+    decided = rv.decide(c, t, l, ["k"], ["seq"], "version")
+    assert not tracker.getJobIdsForGroup("cuts")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert decided.count() == len(changes)
 
 
 def decide_one(spark, version, row=None, last=None, policy="last_write_wins", sot="postgres"):

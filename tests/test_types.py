@@ -135,8 +135,8 @@ def test_history_numbers_changes_only(spark):
     lists = {1: ["a", "b"], 2: ["a", "b"], 3: ["a", "b", "c"], 4: ["a", "c"], 5: ["a", "c"]}
     rows = [("t", s, i, n, "text") for s, names in lists.items() for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "table STRING, snapshot INT, position INT, name STRING, pg_type STRING")
-    for hot_rows in (1_000_000, 1):
-        got = catalog.schema_history(df, hot_rows=hot_rows).orderBy("snapshot").collect()
+    for cuts in (None, 1, 100):
+        got = catalog.schema_history(df, cuts=cuts).orderBy("snapshot").collect()
         assert [r["schema_version"] for r in got] == [1, 1, 2, 3, 3]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.type_map import constant_map, map_types
-from tidemark.operators.running import HOT_ROWS, Measure, find_chunks, running_before
+from tidemark.operators.running import Measure, find_cuts, running_before
 
 # Lake type, catalogue type name, type name in field JSON.
 DESCRIPTORS = (
@@ -201,7 +201,7 @@ def lossy_report(columns: DataFrame, table: Sequence[str] = ("table",)) -> DataF
 
 
 def schema_history(
-    snapshots: DataFrame, table: Sequence[str] = ("table",), hot_rows: int = HOT_ROWS
+    snapshots: DataFrame, table: Sequence[str] = ("table",), cuts: int | None = None
 ) -> DataFrame:
     """Number the column lists a table had; a snapshot without change keeps its number.
 
@@ -209,13 +209,10 @@ def schema_history(
     """
     columns = F.sort_array(F.collect_list(F.struct("position", "name", "pg_type")))
     lists = snapshots.groupBy(*table, "snapshot").agg(F.sha2(F.to_json(columns), 256).alias("_list"))
-    chunks = find_chunks(snapshots, table, ["snapshot"], hot_rows)
-    if chunks:
-        lists = chunks.assign(lists)
+    ranges = find_cuts(lists, table, ["snapshot"], cuts)
     before = {"_before": Measure("last", F.col("_list"))}
-    seen = running_before(lists, table, ["snapshot"], before, chunks)
+    seen = running_before(ranges.assign(lists), ranges, before)
     seen = seen.withColumn("changed", ~F.col("_list").eqNullSafe(F.col("_before")))
-    earlier = {"_earlier": Measure("count", F.col("changed"))}
-    counted = running_before(seen, table, ["snapshot"], earlier, chunks)
+    counted = running_before(seen, ranges, {"_earlier": Measure("count", F.col("changed"))})
     number = F.coalesce("_earlier", F.lit(0)) + F.col("changed").cast("bigint")
     return counted.select(*table, "snapshot", "changed", number.cast("bigint").alias("schema_version"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import conflict as cf
 from tidemark.operators.collapse import latest_per_key
 from tidemark.operators.merge import UPSERT, apply_changes
-from tidemark.operators.running import HOT_ROWS, Measure, find_chunks, running_before
+from tidemark.operators.running import PART, Measure, find_cuts, running_before
 
 # Action names and the texts of the audit log.
 APPLY = "apply"
@@ -40,14 +40,14 @@ def decide(
     policy: str = cf.LAST_WRITE_WINS,
     source_of_truth: str = cf.POSTGRES,
     ledger_version: str = "lake_version",
-    hot_rows: int = HOT_ROWS,
+    cuts: int | None = None,
 ) -> DataFrame:
     """Add ``action`` and ``reason`` to every change.
 
     ``target`` is the operational table, ``ledger`` the last applied version of
-    each key; ``seq`` orders the changes of a key totally. The first column of
-    ``seq`` must be numeric or a time. ``version`` is the column both sides carry
-    their version in, or None.
+    each key; ``seq`` orders the changes of a key, and where it ties a hash of the
+    whole change does. ``version`` is the column both sides carry their version in,
+    or None. ``cuts`` is into how many ranges all changes are cut for the scan.
 
     With v the version of a change, p that of the row and l that of the ledger at
     the start: an absent row takes the first change not covered by l; after that
@@ -63,17 +63,14 @@ def decide(
     row_state = target.select(*same_keys, F.lit(True).alias("_ex"), p.cast("bigint").alias("_p"))
     applied = ledger.select(*same_keys, F.col(ledger_version).cast("bigint").alias("_l"))
 
-    rows, on = changes.withColumn("_v", v.cast("bigint")), list(keys)
-    chunks = find_chunks(changes, keys, seq, hot_rows)
-    if chunks:
-        rows = chunks.assign(rows)
-        row_state, applied = chunks.replicate(row_state), chunks.replicate(applied)
-        on.append("_chunk")
-    rows = rows.join(row_state, on, "left").join(applied, on, "left")
+    ranges = find_cuts(changes, keys, seq, cuts)
+    rows = ranges.assign(changes.withColumn("_v", v.cast("bigint")))
+    on = [*keys, PART]
+    rows = rows.join(ranges.replicate(row_state), on, "left").join(ranges.replicate(applied), on, "left")
     rows = rows.withColumn("_ex", F.coalesce("_ex", F.lit(False)))
 
     def running(frame: DataFrame, **measures: Measure) -> DataFrame:
-        return running_before(frame, keys, seq, measures, chunks)
+        return running_before(frame, ranges, measures)
 
     lake_wins = policy == cf.MERGE or (
         policy == cf.SOURCE_OF_TRUTH and source_of_truth == cf.LAKEHOUSE

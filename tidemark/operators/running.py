@@ -1,11 +1,14 @@
-"""Running values over the earlier rows of a key, also when one key is huge.
-
-A window sorts all rows of a key in one task. Where a key holds a large share of
-the rows, its rows are cut into chunks at quantiles of the order column: each
-chunk is scanned by its own task and starts from the values carried over from the
-chunks before it. The result is the same as without cuts, except where a cut key
-has NaN in its leading order column: its carried values are lost. At most
-``MAX_HOT`` keys are cut, and none whose leading order column ties throughout.
+"""Running values over the earlier rows of a key: a segmented prefix scan.
+
+A window sorts all rows of a key in one task. Here the rows are cut into ranges of
+(key, order): cuts are quantiles of a small sample, so a key with a large share of
+the rows has many of them, at ties too, and most keys have none. Every range of a
+key is scanned by its own task, and what a range hands on to the later ones of its
+key is one row of totals. Cuts change where a row is scanned and never a value.
+
+Order is the given columns, nulls first and NaN last, then a hash of the whole
+row: rows that differ have one order, wherever they come from, and rows that do
+not differ may stand either way round.
 """
 
 from __future__ import annotations
@@ -13,20 +16,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A key is cut when it has more rows than this.
-HOT_ROWS = 1_000_000
-# Bounds of what the driver learns about hot keys: so many keys and cuts.
-MAX_HOT = 256
-MAX_CHUNKS = 4096
-# Keys followed by the frequency sketch; it misses none above 1/75,000 of all rows.
-TRACKED = 100_000
+#: Rows of the sample for each cut, those of the smallest hashes.
+SAMPLED = 64
 
-CHUNK = "_chunk"
+PART, TIE = "_part", "_tie"
+_CUTS = "_cuts"
 
 
 @dataclass(frozen=True)
@@ -38,99 +36,104 @@ class Measure:
 
 
 @dataclass(frozen=True)
-class Chunks:
-    """The hot keys of a change set and where to cut them."""
+class Cuts:
+    """Where the rows of a key are cut.
 
-    keys: tuple[str, ...]
-    hot: tuple[int, ...]
-    cuts: tuple[float, ...]
-    order: str
+    ``at`` has one row per cut key: its cuts in order, as structs of the order
+    columns and the tie. All keys together have as many cuts as were asked for.
+    """
 
-    @property
-    def is_hot(self) -> Column:
-        return F.xxhash64(*self.keys).isin(*self.hot)
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    row: tuple[str, ...]
+    at: DataFrame
+
+    def _with_cuts(self, rows: DataFrame) -> DataFrame:
+        named = self.at.withColumnsRenamed({k: f"_of_{k}" for k in self.keys})
+        same = F.lit(True)
+        for k in self.keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        # As many rows at most as there are cuts, whatever the input.
+        return rows.join(F.broadcast(named), same, "left").drop(*[f"_of_{k}" for k in self.keys])
 
     def assign(self, rows: DataFrame) -> DataFrame:
-        """Add the chunk of each row, 0 for the keys that are not cut."""
-        edges = [float("-inf"), *self.cuts, float("inf")]
-        cutter = Bucketizer(splits=edges, inputCol="_at", outputCol="_cut", handleInvalid="keep")
-        # Nulls come first in the window, hence into the first chunk.
-        at = F.coalesce(F.col(self.order).cast("double"), F.lit(float("-inf")))
-        placed = cutter.transform(rows.withColumn("_at", at))
-        chunk = F.when(self.is_hot, F.col("_cut").cast("int")).otherwise(0)
-        return placed.withColumn(CHUNK, chunk).drop("_at", "_cut")
+        """Add the tie of each row and its range among those of its key."""
+        place = F.struct(*self.order, TIE)
+        passed = F.filter(_CUTS, lambda cut: cut <= place)
+        part = F.coalesce(F.size(passed), F.lit(0))
+        return self._with_cuts(rows.withColumn(TIE, tie(self.row))).withColumn(PART, F.greatest(part, F.lit(0)))
 
     def replicate(self, lookup: DataFrame) -> DataFrame:
-        """Give a lookup row to every chunk of its key."""
-        every = F.sequence(F.lit(0), F.lit(len(self.cuts)))
-        chunks = F.when(self.is_hot, every).otherwise(F.array(F.lit(0)))
-        return lookup.withColumn(CHUNK, F.explode(chunks))
+        """Give a lookup row to every range of its key."""
+        last = F.greatest(F.coalesce(F.size(_CUTS), F.lit(0)), F.lit(0))
+        every = F.explode(F.sequence(F.lit(0), last))
+        return self._with_cuts(lookup).withColumn(PART, every).drop(_CUTS)
+
 
+def tie(columns: Sequence[str]) -> Column:
+    """What orders rows that are equal in the order columns."""
+    return F.xxhash64(*columns)
 
-def find_chunks(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
-) -> Chunks | None:
-    """The keys with more than ``hot_rows`` rows, or None.
 
-    One pass over the key columns with a mergeable frequency sketch; a second
-    one, over the rows of hot keys only, gives the quantiles. Keys are told apart
-    by hash: a collision cuts one more key and changes no result.
+def find_cuts(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: int | None = None
+) -> Cuts:
+    """Cuts of the rows, as many as the session has shuffle partitions unless given.
+
+    The sample is a fixed number of rows a cut, whatever the size of the input;
+    Spark keeps no more of any task.
     """
-    sketch = rows.select(F.xxhash64(*keys).alias("_key")).agg(
-        F.expr(f"approx_top_k(_key, {MAX_HOT}, {TRACKED})").alias("_top")
-    )
-    top = sketch.first()["_top"] or []
-    hot = {row["item"]: row["count"] for row in top if row["count"] > hot_rows}
-    if not hot:
-        return None
-    n = min(MAX_CHUNKS, max(2, -(-max(hot.values()) // max(1, hot_rows // 2))))
-    of_hot = rows.filter(F.xxhash64(*keys).isin(*hot))
-    leading = order[0]
-    cuts = of_hot.select(F.col(leading).cast("double").alias("_at")).approxQuantile(
-        "_at", [i / n for i in range(1, n)], 0.25 / n
+    cuts = cuts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = tuple(f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString())
+    place = [*keys, *order, TIE]
+    sample = rows.withColumn(TIE, tie(whole)).select(*place)
+    sample = sample.orderBy(F.xxhash64(*place)).limit(cuts * SAMPLED)
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*place))
+    picked = sample.withColumn("_number", number).filter(F.col("_number") % SAMPLED == 0)
+    at = picked.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(*order, TIE))).alias(_CUTS)
     )
-    return Chunks(tuple(keys), tuple(hot), tuple(sorted(set(cuts))), leading)
+    return Cuts(tuple(keys), tuple(order), whole, at)
 
 
 def running_before(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    measures: Mapping[str, Measure],
-    chunks: Chunks | None = None,
+    rows: DataFrame, cuts: Cuts, measures: Mapping[str, Measure]
 ) -> DataFrame:
     """Add each measure taken over the rows of the key before the current one.
 
-    With ``chunks`` the rows must have their chunk assigned.
+    The rows must have their range assigned.
     """
-    parts = [*keys, CHUNK] if chunks else list(keys)
+    order = [*cuts.order, TIE]
     before = (
-        Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*cuts.keys, PART)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = rows.select("*", *[_over(m, before).alias(n) for n, m in measures.items()])
-    if not chunks:
-        return local
-    carried = _carry(rows.filter(chunks.is_hot), keys, order, measures)
-    joined = local.join(carried, [*keys, CHUNK], "left")
+    carried = _carry(rows.filter(F.col(_CUTS).isNotNull()), cuts, order, measures)
+    same = F.col(PART) == F.col(f"_of_{PART}")
+    for k in cuts.keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    # One row a range of a cut key: at most two a cut.
+    joined = local.join(F.broadcast(carried), same, "left")
     result = {
         n: _combine(m.kind, F.col(f"_carry_{n}"), F.col(n)) for n, m in measures.items()
     }
-    return joined.withColumns(result).drop(*[f"_carry_{n}" for n in measures])
+    return joined.withColumns(result).select(*local.columns)
 
 
 def _carry(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Mapping[str, Measure]
+    rows: DataFrame, cuts: Cuts, order: Sequence[str], measures: Mapping[str, Measure]
 ) -> DataFrame:
-    """The measures over all chunks of a key before the given one."""
-    totals = rows.groupBy(*keys, CHUNK).agg(
+    """The measures over all ranges of a key before the given one."""
+    totals = rows.groupBy(*cuts.keys, PART).agg(
         *[_total(m, order).alias(f"_carry_{n}") for n, m in measures.items()]
     )
     before = (
-        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*cuts.keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     )
     return totals.select(
-        *keys,
-        CHUNK,
+        *[F.col(k).alias(f"_of_{k}") for k in (*cuts.keys, PART)],
         *[
             _fold(m.kind, F.col(f"_carry_{n}")).over(before).alias(f"_carry_{n}")
             for n, m in measures.items()

@@ -200,6 +200,15 @@ def lake_changes(spark: SparkSession, sf_dir: str, unversioned: bool = False) ->
     )
 
 
+def hot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D. The changes with two thirds of them on one account, in an order with ties, nulls and NaN."""
+    seq = F.col("seq")
+    at = F.when(seq % 7 == 0, F.lit(None)).when(seq % 11 == 0, float("nan")).otherwise((seq % 100) / 4)
+    rows = lake_changes(spark, sf_dir, unversioned=True)
+    hot = F.when(seq % 3 != 0, F.lit(1).cast("bigint")).otherwise(F.col("c_custkey"))
+    return rows.withColumns({"c_custkey": hot, "at": at.cast("double")})
+
+
 def second_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D. The accounts later on: some gone, some changed, some new."""
     rows = account_rows(spark, sf_dir)
@@ -259,11 +268,11 @@ def registered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F. Three snapshots of E: 10, 10 and 15 columns of each table."""
+    """F. Five snapshots of E: the first 10 columns of each table twice, 15 of them, and all columns twice."""
     rows = catalog_rows(spark, sf_dir)
-    width = F.when(F.col("snapshot") == 3, 15).otherwise(10)
-    every = rows.withColumn("snapshot", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
-    return every.filter(F.col("position") < width)
+    width = F.when(F.col("snapshot") < 3, 10).when(F.col("snapshot") == 3, 15)
+    every = rows.withColumn("snapshot", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])))
+    return every.filter(width.isNull() | (F.col("position") < width))
 
 
 def database_catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

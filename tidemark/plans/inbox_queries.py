@@ -126,6 +126,21 @@ def _decision(policy: str, sot: str, unversioned: bool):
     return query
 
 
+def reverse_sync_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of all changes on one key, scanned in ranges."""
+    decided = reverse.decide(
+        fx.hot_changes(spark, sf_dir),
+        fx.account_target(spark, sf_dir),
+        fx.account_ledger(spark, sf_dir),
+        ["c_custkey"],
+        ["at", "seq"],
+        "version",
+        "last_write_wins",
+        "lakehouse",
+    )
+    return decided.select("c_custkey", "seq", "action", "reason")
+
+
 def apply_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reverse.report(_decide(spark, sf_dir, conflict.LAST_WRITE_WINS, conflict.POSTGRES))
 
@@ -181,7 +196,9 @@ WHERE n.op IS NULL OR n.op = 'upsert'
 """
 
 
-def fold_sql(policy: str, sot: str, unversioned: bool) -> str:
+def fold_sql(
+    policy: str, sot: str, unversioned: bool, key: str = "o_custkey", order: str = "o_orderkey"
+) -> str:
     """Fixture D judged change by change, in the order of arrival."""
     version = "epoch_us(o_orderdate)"
     if unversioned:
@@ -206,8 +223,8 @@ def fold_sql(policy: str, sot: str, unversioned: bool) -> str:
     }[policy]
     return f"""
 WITH RECURSIVE ch AS (
-  SELECT o_custkey AS k, o_orderkey AS seq, {version} AS v, CAST(o_totalprice AS DECIMAL(18,2)) AS bal,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i
+  SELECT {key} AS k, o_orderkey AS seq, {version} AS v, CAST(o_totalprice AS DECIMAL(18,2)) AS bal,
+         row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i
   FROM orders),
 st AS (
   SELECT k, CAST(0 AS BIGINT) AS i, c.c_custkey IS NOT NULL AND k % 3 <> 0 AS ex,
@@ -232,6 +249,15 @@ decided AS (SELECT * FROM st WHERE i > 0)
 """
 
 
+HOT_SQL = fold_sql(
+    "last_write_wins",
+    "lakehouse",
+    True,
+    key="CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE o_custkey END",
+    order="""CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN CAST('NaN' AS DOUBLE)
+             ELSE (o_orderkey % 100) / 4 END NULLS FIRST, o_orderkey""",
+)
+
 _VARIANTS = {
     "reverse_sync": ("last_write_wins", "postgres", False),
     "reverse_sync_tie_lake": ("last_write_wins", "lakehouse", True),
@@ -255,6 +281,7 @@ QUERIES = {
     "conflict_resolve": conflict_resolve,
     "conflict_merge": conflict_merge,
     **{name: _decision(*v) for name, v in _VARIANTS.items()},
+    "reverse_sync_hot": reverse_sync_hot,
     "apply_report": apply_report,
     "reverse_apply": reverse_apply,
     "reverse_apply_merge": reverse_apply_merge,
@@ -349,6 +376,7 @@ SELECT k AS c_custkey, 'postgres' AS winner, greatest(pg_bal, bal) AS c_acctbal,
         name: fold_sql(*v) + "SELECT k AS c_custkey, seq, action, reason FROM decided"
         for name, v in _VARIANTS.items()
     },
+    "reverse_sync_hot": HOT_SQL + "SELECT k AS c_custkey, seq, action, reason FROM decided",
     "apply_report": fold_sql("last_write_wins", "postgres", False) + """
 SELECT action, count(*) AS changes, count(*) FILTER (action LIKE 'apply%') AS applied FROM decided GROUP BY action
 """,

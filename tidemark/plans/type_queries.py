@@ -364,8 +364,8 @@ SELECT tbl AS "table", count(*) AS n_lossy,
 FROM mc WHERE lossy GROUP BY tbl
 """,
     "schema_history": CATALOG_SQL + """
-, s AS (SELECT tbl, name, position, pg_type, snapshot FROM col, (VALUES (1), (2), (3)) v(snapshot)
-        WHERE position < CASE WHEN snapshot = 3 THEN 15 ELSE 10 END),
+, s AS (SELECT tbl, name, position, pg_type, snapshot FROM col, (VALUES (1), (2), (3), (4), (5)) v(snapshot)
+        WHERE position < CASE WHEN snapshot < 3 THEN 10 WHEN snapshot = 3 THEN 15 ELSE 20 END),
 l AS (SELECT tbl, snapshot, string_agg(position || name || pg_type, ',' ORDER BY position) AS cols FROM s GROUP BY ALL),
 c AS (SELECT *, cols IS DISTINCT FROM lag(cols) OVER (PARTITION BY tbl ORDER BY snapshot) AS changed FROM l)
 SELECT tbl AS "table", snapshot, changed,
