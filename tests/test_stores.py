@@ -1,10 +1,13 @@
 """Feeds, inboxes and keyed tables: redelivery, lost progress, crashes, streams."""
 
 import json
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import offsets as intervals
 from tidemark.operators.merge import UPSERT
 from tidemark.sources import adapters, cdc, feed, ledger
 from tidemark.sources.inbox_store import Inbox
@@ -55,6 +58,43 @@ def test_files_of_interleaved_offsets_lose_nothing(spark, folder):
     assert offsets(spark, f"{folder}/feed") == list(range(400))
 
 
+def test_append_reads_no_stored_data(spark, folder):
+    """What is new is told by the ledger alone, also for late, missing and repeated offsets."""
+    feed.append(batch(spark, 0, 2, 4, 9, 13), folder)
+    kept = {p: p.read_bytes() for p in Path(folder, "data").rglob("*.parquet")}
+    for p in kept:
+        p.write_bytes(b"not to be read")
+    assert feed.append(batch(spark, 1, 2, 2, 4, 6, 7, 13, 14, 14), folder) == 1
+    assert feed.append(batch(spark, 0, 1, 2, 4, 6, 7, 9, 13, 14), folder) is None
+    for p, data in kept.items():
+        p.write_bytes(data)
+    assert offsets(spark, folder) == [0, 1, 2, 4, 6, 7, 9, 13, 14]
+    done = sorted((r["partition"], r["min_offset"], r["max_offset"]) for r in feed.committed_offsets(spark, folder).collect())
+    assert done == [(0, k, k) for k in (0, 2, 4, 6, 14)] + [(1, k, k) for k in (1, 7, 9, 13)]
+    assert [r["rows"] for r in feed.read_history(spark, folder).orderBy("version").collect()] == [5, 4]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_are_the_set_of_offsets(spark, seed, monkeypatch):
+    monkeypatch.setattr(intervals, "BLOCK", 8)
+    r = random.Random(seed)
+    logs = [("t", 0), ("t", 1), ("u", 0)]
+    pick = lambda n: [(*r.choice(logs), r.randrange(-20, 120), "x") for _ in range(n)]
+    schema = "topic STRING, partition INT, offset BIGINT, value STRING"
+    old, new = pick(150), pick(120) + [(None, 0, 5, "x"), ("v", 0, 5, "x")]
+    done = intervals.merged(
+        intervals.islands(spark.createDataFrame(old[:70], schema)).unionByName(
+            intervals.islands(spark.createDataFrame(old[70:], schema))
+        )
+    ).collect()
+    covered = {(i["topic"], i["partition"], o) for i in done for o in range(i["min_offset"], i["max_offset"] + 1)}
+    assert covered == {x[:3] for x in old}
+    for a in done:  # intervals neither overlap nor touch
+        assert not any(a[:2] == b[:2] and a != b and b["min_offset"] <= a["max_offset"] + 1 and a["min_offset"] <= b["max_offset"] + 1 for b in done)
+    left = intervals.drop_covered(spark.createDataFrame(new, schema), spark.createDataFrame(done))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(x) for x in new if x[:3] not in covered)
+
+
 def test_rejects_and_tombstones_count_as_seen(spark, folder):
     values = {1: None, 3: '{"__op":"c"}', 4: "{bad"}
     feed.append(batch(spark, 0, 1, 2, 3, 4, values=values), folder)

@@ -2,8 +2,8 @@
 
 ``<root>/data/version=v/status=s/project=p/table=t``: one dataset for all tables
 and, under another status, for the rejected messages and tombstones. Every ledger
-entry carries the offset marks of all topic partitions, so finding them reads one
-small version and not the history.
+entry carries the committed offsets of all topic partitions as intervals, so what is
+new in a batch is told by one small version and not by the history.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import collapse, envelope
+from tidemark.operators import collapse, envelope, offsets
 from tidemark.sources import ledger
 
-ENTRY = "topic STRING, partition INT, max_offset BIGINT, rows BIGINT, commit_ts TIMESTAMP"
+ENTRY = "topic STRING, partition INT, min_offset BIGINT, max_offset BIGINT, rows BIGINT, commit_ts TIMESTAMP"
 STORED = (
     "topic STRING, partition INT, offset BIGINT, reason STRING, _op STRING, _ts_ms BIGINT, "
     "_deleted BOOLEAN, data STRING, version BIGINT, status STRING, project STRING, table STRING"
@@ -24,12 +24,21 @@ ACCEPTED, REJECTED, EMPTY = "accepted", "rejected", "tombstone"
 
 def offset_marks(spark: SparkSession, root: str) -> DataFrame:
     """The committed offset of every topic partition."""
-    return _marks_of(spark, root, ledger.last_version(spark, root, ENTRY))
+    return _marks(committed_offsets(spark, root))
 
 
-def _marks_of(spark: SparkSession, root: str, version: int) -> DataFrame:
+def committed_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """The offsets done: topic, partition, min_offset, max_offset; intervals never touch."""
+    return _intervals(spark, root, ledger.last_version(spark, root, ENTRY))
+
+
+def _intervals(spark: SparkSession, root: str, version: int) -> DataFrame:
     entry = ledger.entries(spark, root, ENTRY).filter(F.col("version") == version)
-    return entry.select("topic", "partition", "max_offset")
+    return entry.select("topic", "partition", "min_offset", "max_offset")
+
+
+def _marks(intervals: DataFrame) -> DataFrame:
+    return intervals.groupBy("topic", "partition").agg(F.max("max_offset").alias("max_offset"))
 
 
 def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool = False) -> int | None:
@@ -38,13 +47,16 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool =
     Every offset seen counts as done, also those of rejects and tombstones, and
     an offset that occurs twice in the batch is appended once. ``ordered`` says
     that the source delivers a topic partition in offset order, so that the
-    marks alone tell what is new; else offsets are compared one by one.
+    marks alone tell what is new; else offsets are compared with the intervals.
     """
     spark = messages.sparkSession
     last = ledger.last_version(spark, root, ENTRY)
-    version, old = last + 1, _marks_of(spark, root, last)
-    once = collapse.one_per_offset(messages)
-    fresh = collapse.drop_committed(once, old) if ordered else collapse.drop_stored(once, _committed(spark, root))
+    version, done = last + 1, _intervals(spark, root, last)
+    if ordered:
+        fresh = collapse.drop_committed(messages, _marks(done))
+    else:
+        fresh = offsets.drop_covered(messages, done)
+    fresh = collapse.one_per_offset(fresh)
     rows = envelope.normalize(fresh, prefix)
     status = (
         F.when(F.col("reason").isNull(), ACCEPTED)
@@ -59,17 +71,21 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool =
     written = ledger.read_or_empty(spark, path, STORED.replace("version BIGINT, ", ""))
     if not written.inputFiles():
         return None
-    new = written.groupBy("topic", "partition").agg(
-        F.max("offset").alias("_new"), F.count_if(F.col("status") == ACCEPTED).alias("_rows")
+    covered = offsets.merged(done.unionByName(offsets.islands(written)))
+    accepted = written.groupBy("topic", "partition").agg(
+        F.max("offset").alias("_last"), F.count_if(F.col("status") == ACCEPTED).alias("_rows")
     )
-    marks = old.join(new, ["topic", "partition"], "full_outer").select(
+    # The rows of a topic partition are noted once, where its last new offset lies.
+    within = F.col("_last").between(F.col("min_offset"), F.col("max_offset"))
+    entry = covered.join(accepted, ["topic", "partition"], "left").select(
         "topic",
         "partition",
-        F.greatest("max_offset", "_new").alias("max_offset"),
-        F.coalesce("_rows", F.lit(0)).alias("rows"),
+        "min_offset",
+        "max_offset",
+        F.when(within, F.col("_rows")).otherwise(0).alias("rows"),
         F.current_timestamp().alias("commit_ts"),
     )
-    ledger.commit(marks, root, version)
+    ledger.commit(entry, root, version)
     return version
 
 
