@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.offsets import OFFSET
-
 # Feed order: change time, then position in the log where times are equal.
 FEED_ORDER = ("_ts_ms", "partition", "offset")
 
@@ -54,22 +52,11 @@ def high_water(messages: DataFrame) -> DataFrame:
     return messages.groupBy("topic", "partition").agg(F.max("offset").alias("max_offset"))
 
 
-def one_per_offset(messages: DataFrame) -> DataFrame:
-    """Each message once, whatever was delivered again within the rows.
-
-    Only offsets are shuffled; of the messages those whose offset occurs twice are.
-    """
-    twice = messages.groupBy(*OFFSET).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    single = messages.join(twice, list(OFFSET), "left_anti")
-    again = messages.join(twice, list(OFFSET), "left_semi").dropDuplicates(list(OFFSET))
-    return single.select(*messages.columns).unionByName(again.select(*messages.columns))
-
-
 def drop_committed(messages: DataFrame, marks: DataFrame) -> DataFrame:
     """Messages above the committed offset of their topic partition.
 
     Only for sources that deliver a topic partition in offset order, as a broker
-    does; of any other source it would lose what arrives late (``offsets.drop_covered``).
+    does; of any other source it would lose what arrives late (``offsets.fresh``).
     ``marks`` has one row per topic partition. No side is hinted: Spark
     broadcasts the marks while their size allows it and splits skewed topic
     partitions otherwise.

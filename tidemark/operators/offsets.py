@@ -6,29 +6,33 @@ and missing offsets make more, and what fills a gap joins them again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LOG = ("topic", "partition")
 OFFSET = (*LOG, "offset")
 #: Offsets that are compared together: a block of them meets half as many intervals at most.
-BLOCK = 4096
+BLOCK = 256
+#: Blocks of a short interval.
+REACH = 64
 
 
-def islands(messages: DataFrame) -> DataFrame:
-    """The maximal runs of consecutive offsets: topic, partition, min_offset, max_offset.
+def islands(messages: DataFrame, **counts: Column) -> DataFrame:
+    """The maximal runs of consecutive offsets within blocks: topic, partition, min_offset, max_offset, and counts.
 
-    Runs are found block by block, so that a topic partition with most of the rows is
-    spread, and joined where blocks meet.
+    Block by block, so that a topic partition with most of the rows is spread; ``merged``
+    joins the runs where blocks meet. ``counts`` are aggregates over each run.
     """
     block = F.floor(F.col("offset") / BLOCK)
-    rows = messages.select(*OFFSET).filter(F.col("offset").isNotNull()).withColumn("_block", block)
+    rows = messages.filter(F.col("offset").isNotNull()).withColumn("_block", block)
     number = F.dense_rank().over(Window.partitionBy(*LOG, "_block").orderBy("offset"))
     runs = rows.withColumn("_run", F.col("offset") - number).groupBy(*LOG, "_block", "_run").agg(
-        F.min("offset").alias("min_offset"), F.max("offset").alias("max_offset")
+        F.min("offset").alias("min_offset"),
+        F.max("offset").alias("max_offset"),
+        *[c.alias(n) for n, c in counts.items()],
     )
-    return merged(runs)
+    return runs.drop("_block", "_run")
 
 
 def merged(intervals: DataFrame) -> DataFrame:
@@ -43,20 +47,42 @@ def merged(intervals: DataFrame) -> DataFrame:
     ).drop("_set")
 
 
-def drop_covered(messages: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Messages whose offset lies in no interval of their topic partition.
+def fresh(messages: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Each message once whose offset lies in no interval of its topic partition.
 
-    A range join by blocks of offsets: each block of the messages gets the intervals
-    that reach into it, so messages meet few of them and move only if these are many.
+    A range join by blocks of offsets: a block of the messages gets the intervals that
+    reach into it, and a mark if an offset occurs twice in it. Offsets are shuffled for
+    that; payloads move only if blocks are many, and those of marked blocks to be told
+    apart.
     """
     block = F.floor(F.col("offset") / BLOCK)
-    needed = messages.select(*LOG, block.alias("_block")).distinct()
-    begin = F.col("_block") * BLOCK
-    reaches = (F.col("min_offset") < begin + BLOCK) & (F.col("max_offset") >= begin)
-    near = needed.join(intervals.select(*LOG, "min_offset", "max_offset"), list(LOG)).filter(reaches)
-    done = near.groupBy(*LOG, "_block").agg(
+    offset = F.col("offset")
+    again = F.count(offset) > F.size(F.collect_set(offset))  # of a block's offsets at most
+    blocks = messages.groupBy(*LOG, block.alias("_block")).agg(again.alias("_again"))
+    known = blocks.join(_done(blocks, intervals), [*LOG, "_block"], "left")
+    covered = F.exists("_done", lambda i: offset.between(i["min_offset"], i["max_offset"]))
+    rows = messages.withColumn("_block", block)
+    on = [*LOG, "_block"]
+    single = rows.join(known, on, "left").filter(
+        ~F.coalesce(F.col("_again"), F.lit(False)) & ~F.coalesce(covered, F.lit(False))
+    )
+    several = rows.join(known.filter("_again"), on).filter(~covered).dropDuplicates(list(OFFSET))
+    return single.select(*messages.columns).unionByName(several.select(*messages.columns))
+
+
+def _done(blocks: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The intervals that reach into each block, where there are any."""
+    first, last = (F.floor(F.col(c) / BLOCK) for c in ("min_offset", "max_offset"))
+    # A short one is looked up by its blocks; long ones are few and compared by range.
+    long = last - first > REACH
+    short = intervals.filter(~long).withColumn("_block", F.explode(F.sequence(first, last)))
+    wide = intervals.filter(long).select(
+        *[F.col(c).alias(f"_{c}") for c in LOG], "min_offset", "max_offset"
+    )
+    reaches = F.col("_block").between(first, last)
+    same = (F.col("topic") == F.col("_topic")) & (F.col("partition") == F.col("_partition")) & reaches
+    columns = [*LOG, "_block", "min_offset", "max_offset"]
+    near = blocks.join(wide, same).select(*columns)
+    return short.select(*columns).unionByName(near).groupBy(*LOG, "_block").agg(
         F.collect_list(F.struct("min_offset", "max_offset")).alias("_done")
     )
-    rows = messages.withColumn("_block", block).join(done, [*LOG, "_block"], "left")
-    covered = F.exists("_done", lambda i: F.col("offset").between(i["min_offset"], i["max_offset"]))
-    return rows.filter(~F.coalesce(covered, F.lit(False))).select(*messages.columns)

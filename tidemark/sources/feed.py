@@ -52,11 +52,9 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool =
     spark = messages.sparkSession
     last = ledger.last_version(spark, root, ENTRY)
     version, done = last + 1, _intervals(spark, root, last)
-    if ordered:
-        fresh = collapse.drop_committed(messages, _marks(done))
-    else:
-        fresh = offsets.drop_covered(messages, done)
-    fresh = collapse.one_per_offset(fresh)
+    # An ordered source has delivered all there is below its mark.
+    known = done.withColumn("min_offset", F.lit(-(2**63))) if ordered else done
+    fresh = offsets.fresh(messages, known)
     rows = envelope.normalize(fresh, prefix)
     status = (
         F.when(F.col("reason").isNull(), ACCEPTED)
@@ -71,10 +69,9 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool =
     written = ledger.read_or_empty(spark, path, STORED.replace("version BIGINT, ", ""))
     if not written.inputFiles():
         return None
-    covered = offsets.merged(done.unionByName(offsets.islands(written)))
-    accepted = written.groupBy("topic", "partition").agg(
-        F.max("offset").alias("_last"), F.count_if(F.col("status") == ACCEPTED).alias("_rows")
-    )
+    runs = offsets.islands(written, rows=F.count_if(F.col("status") == ACCEPTED))
+    covered = offsets.merged(done.unionByName(runs.drop("rows")))
+    accepted = runs.groupBy("topic", "partition").agg(F.max("max_offset").alias("_last"), F.sum("rows").alias("_rows"))
     # The rows of a topic partition are noted once, where its last new offset lies.
     within = F.col("_last").between(F.col("min_offset"), F.col("max_offset"))
     entry = covered.join(accepted, ["topic", "partition"], "left").select(
