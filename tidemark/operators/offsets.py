@@ -60,12 +60,11 @@ def fresh(messages: DataFrame, intervals: DataFrame) -> DataFrame:
     again = F.count(offset) > F.size(F.collect_set(offset))  # of a block's offsets at most
     blocks = messages.groupBy(*LOG, block.alias("_block")).agg(again.alias("_again"))
     known = blocks.join(_done(blocks, intervals), [*LOG, "_block"], "left")
-    covered = F.exists("_done", lambda i: offset.between(i["min_offset"], i["max_offset"]))
+    within = F.exists("_done", lambda i: offset.between(i["min_offset"], i["max_offset"]))
+    covered = F.coalesce(within, F.lit(False))
     rows = messages.withColumn("_block", block)
     on = [*LOG, "_block"]
-    single = rows.join(known, on, "left").filter(
-        ~F.coalesce(F.col("_again"), F.lit(False)) & ~F.coalesce(covered, F.lit(False))
-    )
+    single = rows.join(known, on, "left").filter(~F.coalesce("_again", F.lit(False)) & ~covered)
     several = rows.join(known.filter("_again"), on).filter(~covered).dropDuplicates(list(OFFSET))
     return single.select(*messages.columns).unionByName(several.select(*messages.columns))
 
