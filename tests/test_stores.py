@@ -7,9 +7,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import infer
 from tidemark.operators import offsets as intervals
 from tidemark.operators.merge import UPSERT
-from tidemark.sources import adapters, cdc, feed, ledger
+from tidemark.sources import adapters, cdc, feed, ledger, views
 from tidemark.sources.inbox_store import Inbox
 from tidemark.sources.keyed import KeyedTable
 from tidemark.streaming import current, forward, reverse
@@ -140,6 +141,42 @@ def test_scan_by_name_evolves_its_columns(spark, folder):
     assert "PartitionFilters" in plan and "project" in plan.split("PartitionFilters")[1]
 
 
+def test_views_of_all_tables_without_columns(spark, folder):
+    """Types widen over commits; odd names, clashes with marks and with each other; columns without values are left out."""
+    def send(*docs, topic=TOPIC):
+        first = send.next
+        send.next += len(docs)
+        rows = [(topic, 0, first + i, json.dumps(d)) for i, d in enumerate(docs)]
+        return feed.append(spark.createDataFrame(rows, cdc.MESSAGE_SCHEMA), folder)
+
+    send.next = 0
+    assert views.register_views(spark, folder) == []
+    send({"id": 1, "n": 1, "x": None, "op": "a", "_op": 5, "Id": "big"}, {"id": 2, "n": 2, "m": 1})
+    assert views.register_views(spark, folder) == ["proj_p_t"]
+    first = spark.table("proj_p_t")
+    assert [c for c in first.columns if c not in views.MARKS] == ["Id", "_op_", "id_", "m", "n", "op"]
+    assert dict(first.dtypes)["n"] == "bigint"
+    state = Path(folder, "columns", "ledger")
+    assert len(list(state.glob("version=*"))) == 1
+    send({"id": 3, "n": 2.5, "m": "one", "x": True, "it's \"odd\"": [1], "a.b['c']\\": 8}, {"id": 4, "o": {"b": 1, "a": None}})
+    send({"a": 10.25}, {"a": 1e300}, {"a": 7}, topic="cdc.p.proj_p.u")
+    assert views.register_views(spark, folder, "p") == ["proj_p_t", "proj_p_u"]
+    got = spark.table("proj_p_t").orderBy("_offset")
+    types = dict(got.dtypes)
+    assert types["n"].startswith("decimal") and types["m"] == types["o"] == "string" and types["x"] == "boolean"
+    assert [(r["id_"], r["n"] and float(r["n"]), r["m"], r["x"], r["_op_"], r["op"]) for r in got.collect()] == [
+        (1, 1.0, None, None, 5, "a"), (2, 2.0, "1", None, None, None), (3, 2.5, "one", True, None, None), (4, None, None, None, None, None)
+    ]
+    assert [r["it's \"odd\""] for r in got.collect()] == [None, None, "[1]", None]
+    assert [r["a.b['c']\\"] for r in got.collect()] == [None, None, 8, None]
+    assert [r["o"] for r in got.collect()][-1] == '{"a":null,"b":1}'
+    assert [r["a"] for r in spark.sql("SELECT a FROM proj_p_u ORDER BY _offset").collect()] == [10.25, 1e300, 7.0]
+    # states of single commits merge to the state of all rows
+    rows = feed.read_feed(spark, folder)
+    whole = infer.column_types(infer.merge_states(infer.column_state(rows)))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, views.columns(spark, folder).collect()))
+
+
 def test_stream_survives_a_lost_checkpoint(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "feed")
     for i, part in enumerate([(0, 1, 2), (3, 4, 5), (2, 6)]):

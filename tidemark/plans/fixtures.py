@@ -209,6 +209,34 @@ def hot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"c_custkey": hot, "at": at.cast("double")})
 
 
+def shop_deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """B. Two tables of a project in two deliveries; the second brings columns the first has not."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key, cust = F.col("o_orderkey"), F.col("c_custkey")
+    price, balance = (F.col(c).cast("decimal(18,2)") for c in ("o_totalprice", "c_acctbal"))
+    order = [key.alias("id"), F.col("o_custkey").alias("cust"), price.alias("total"), F.col("o_orderstatus").alias("op")]
+    nested = F.struct(F.col("o_orderpriority").alias("p"), F.array(key, F.lit(1)).alias("n")).alias("tags")
+    late = [key.cast("string").alias("version"), (key % 5 == 0).alias("offset"), nested]
+    customer = [cust.alias("id"), F.col("c_name").alias("name")]
+
+    def sent(rows: DataFrame, name: str, offset: Column, columns: list[Column]) -> DataFrame:
+        return rows.select(
+            F.lit(f"cdc.shop.proj_shop.{name}").alias("topic"),
+            F.lit(0).alias("partition"),
+            offset.cast("bigint").alias("offset"),
+            F.to_json(F.struct(*columns, F.lit("c").alias("__op"), F.lit(0).alias("__ts_ms"))).alias("value"),
+        )
+
+    return [
+        sent(orders.filter(key % 2 == 0), "orders", key, order).unionByName(
+            sent(customers.filter(cust % 3 != 0), "customers", cust, customer)
+        ),
+        sent(orders.filter(key % 2 == 1), "orders", key, order + late).unionByName(
+            sent(customers.filter(cust % 3 == 0), "customers", cust, [*customer, balance.alias("balance")])
+        ),
+    ]
+
+
 def second_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D. The accounts later on: some gone, some changed, some new."""
     rows = account_rows(spark, sf_dir)

@@ -11,7 +11,7 @@ from tidemark.plans import fixtures as fx
 from tidemark.plans.feed_queries import MESSAGES_SQL
 from tidemark.plans.inbox_queries import CHANGES_SQL
 from tidemark.session import new_work_folder
-from tidemark.sources import cdc, feed
+from tidemark.sources import cdc, feed, views
 from tidemark.sources.inbox_store import Inbox
 from tidemark.sources.keyed import KeyedTable
 from tidemark.streaming import current, forward, reverse
@@ -78,6 +78,28 @@ def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ({whole}) GROUP BY project, _op ORDER BY project, _op""")
 
 
+def feed_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of one project by name, without a column list; columns came with the second commit."""
+    root = new_work_folder(spark, "shop-feed")
+    for delivery in fx.shop_deliveries(spark, sf_dir):
+        feed.append(delivery, root)
+        views.register_views(spark, root, "shop")
+    return spark.sql("""
+        SELECT o.id, o.cust, o.op, o.version, o.offset, o.tags, CAST(o.total AS DECIMAL(18,2)) AS total, c.name,
+               CAST(c.balance AS DECIMAL(18,2)) AS balance, o._version AS order_since, c._version AS customer_since
+        FROM proj_shop_orders o LEFT JOIN proj_shop_customers c ON o.cust = c.id""")
+
+
+def feed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the same tables, from states merged commit by commit."""
+    root = new_work_folder(spark, "shop-feed")
+    for delivery in fx.shop_deliveries(spark, sf_dir):
+        feed.append(delivery, root)
+        found = views.columns(spark, root)
+    kind = F.regexp_replace("type", r"\d+,", "")  # digits depend on the values
+    return found.select("table", "name", "since", kind.alias("type"))
+
+
 def forward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three deliveries as a file stream, the checkpoint being lost once."""
     source, root = new_work_folder(spark, "log"), new_work_folder(spark, "stream-feed")
@@ -149,6 +171,8 @@ QUERIES = {
     "feed_append": feed_append,
     "feed_rejects": feed_rejects,
     "feed_scan": feed_scan,
+    "feed_views": feed_views,
+    "feed_columns": feed_columns,
     "forward_stream": forward_stream,
     "feed_bounded": feed_bounded,
     "incremental_state": incremental_state,
@@ -177,6 +201,25 @@ SELECT topic, part AS partition, off AS "offset", reason, version FROM del WHERE
 SELECT project, n_op AS op, count(*) AS changes, count(DISTINCT user_id) AS accounts,
        CAST(sum(CAST(amount AS DECIMAL(10,2))) AS DECIMAL(20,2)) AS amount
 FROM feed GROUP BY project, n_op
+""",
+    "feed_views": """
+SELECT o_orderkey AS id, o_custkey AS cust, o_orderstatus AS op,
+       CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_orderkey AS VARCHAR) END AS version,
+       CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 5 = 0 END AS "offset",
+       CASE WHEN o_orderkey % 2 = 1 THEN '{"n":[' || o_orderkey || ',1],"p":"' || o_orderpriority || '"}' END AS tags,
+       CAST(o_totalprice AS DECIMAL(18,2)) AS total, c_name AS name,
+       CASE WHEN c_custkey % 3 = 0 THEN CAST(c_acctbal AS DECIMAL(18,2)) END AS balance,
+       o_orderkey % 2 AS order_since, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey IS NOT NULL THEN 0 END AS customer_since
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+""",
+    "feed_columns": """
+WITH c(tbl, name, since, type) AS (VALUES
+  ('orders', 'id', 0, 'BIGINT'), ('orders', 'cust', 0, 'BIGINT'), ('orders', 'total', 0, 'DECIMAL(2)'),
+  ('orders', 'op', 0, 'STRING'), ('orders', 'version', 1, 'STRING'), ('orders', 'offset', 1, 'BOOLEAN'),
+  ('orders', 'tags', 1, 'STRING'), ('customers', 'id', 0, 'BIGINT'), ('customers', 'name', 0, 'STRING'),
+  ('customers', 'balance', 1, 'DECIMAL(2)'))
+SELECT tbl AS "table", name, since, type FROM c
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 2 = 1 AND tbl = 'orders') OR tbl = 'customers'
 """,
     "forward_stream": MESSAGES_SQL + """
 SELECT project, 'accounts' AS "table", part AS partition, off AS "offset", n_op AS op, ts_ms, deleted = 'true' AS deleted, data
