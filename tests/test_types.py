@@ -179,6 +179,32 @@ def test_uuid_time_and_arrays(spark):
     assert one(spark, '{"a,b",c,NULL,"NULL"}', lambda c: en.array_1d(c, "STRING")) == ["a,b", "c", None, "NULL"]
 
 
+def test_elements_are_coded_as_their_type(spark):
+    """Every dimension, the element's own encoding, JSON and literal forms, quotes, escapes and odd spaces."""
+    cases = [
+        ("integer[][]", "{{1,2},{NULL,3}}", [[1, 2], [None, 3]]),
+        ("integer[][]", "[[1,2],null,[]]", [[1, 2], None, []]),
+        ("integer[][]", "{1, 2}", [[1, 2]]),  # fewer dimensions than declared
+        ("integer[]", "{{{1},{2}},{{3},{4}}}", [1, 2, 3, 4]),
+        ("integer[][]", "{{{1},{2}},{{3},{4}}}", [[1, 2], [3, 4]]),
+        ("interval[]", '{"1 day","00:00:01.5",NULL,soon}', [86400000000, 1500000, None, None]),
+        ("money[]", '{"$1,234.50","($2.00)"}', [Decimal("1234.50"), Decimal("-2.00")]),
+        ("bytea[]", r'{"\\x00ff",NULL}', [bytearray(b"\x00\xff"), None]),
+        ("bytea[]", r'["\\x00ff"]', [bytearray(b"\x00\xff")]),
+        ("uuid[]", "{A0EEBC999C0B4EF8BB6D6BB9BD380A11}", ["a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"]),
+        ("jsonb[]", r'{"{\"b\": 1, \"a\": [2]}"}', ['{"a":[2],"b":1}']),
+        ("jsonb[]", '[{"b": 1, "a": "x,y"}, [1]]', ['{"a":"x,y","b":1}', "[1]"]),
+        ("text[]", r'{"a\"b","c\\d", e f ,"NULL","","{x,y}"}', ['a"b', "c\\d", "e f", "NULL", "", "{x,y}"]),
+        ("numeric(4,1)[]", "{1.25,x,-3}", [Decimal("1.3"), None, Decimal("-3.0")]),
+        ("boolean[]", "{t,f,true,NULL}", [True, False, True, None]),
+        ("text[][][]", "{{{a}}}", [[["a"]]]),
+        ("integer[]", "{}", []), ("integer[][]", "{}", [[]]), ("integer[]", "nope", None), ("integer[]", None, None),
+    ]
+    for pg_type, text, want in cases:
+        feed = spark.createDataFrame([(json.dumps({"c": text}) if text is not None else "{}",)], "data STRING")
+        assert typed.typed_feed(feed, [("c", pg_type)]).first()["c"] == want, (pg_type, text)
+
+
 def test_encode_by_type(spark):
     def enc(text, encoding, lake, **kw):
         return one(spark, text, lambda c: en.encode(c, encoding, lake, **kw))

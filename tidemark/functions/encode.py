@@ -6,6 +6,7 @@ Every function gives null for text it cannot read, so that a cast can be counted
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -25,7 +26,9 @@ ISO = (
 )
 CLOCK = r"^([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?([+-]\d{2}(:?\d{2})?)?$"
 UUID = r"^\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?$"
-ARRAY_TOKEN = r'"(?:[^"\\]|\\.)*"|[^{},"]+'
+ARRAY_PART = r'(?s)"(?:[^"\\]|\\.)*"|[{},]|[^{},"]+'
+#: Dimensions of the database's arrays.
+MAX_DIMS = 6
 EPOCH_UNITS = {"seconds": 1_000_000, "millis": 1_000, "micros": 1}
 
 
@@ -132,33 +135,75 @@ def instant(text: Column, epoch_unit: str | None = None) -> Column:
     return F.timestamp_micros(text.try_cast("bigint") * EPOCH_UNITS[epoch_unit])
 
 
-def array_1d(text: Column, element: str) -> Column:
-    """A flat array from JSON or from the database's ``{...}`` form.
-
-    Inner dimensions are flattened; an unquoted NULL is a missing element.
-    """
+def array_json(text: Column) -> Column:
+    """An array as JSON text: JSON as it is, the database's ``{...}`` form with its elements as JSON strings."""
     t = F.trim(text)
-    flat = F.from_json(t, f"array<{element}>")
-    nested = F.flatten(F.from_json(t, f"array<array<{element}>>"))
-    tokens = F.regexp_extract_all(t, F.lit(ARRAY_TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(t, F.lit(ARRAY_PART), F.lit(0))
+
+    def quoted(inner: Column) -> Column:
+        escaped = F.regexp_replace(inner, r'([\\\\"])', r"\\$1")
+        return F.concat(F.lit('"'), escaped, F.lit('"'))
 
-    def value(token: Column) -> Column:
+    def part(token: Column) -> Column:
         bare = F.trim(token)
-        inner = F.regexp_replace(F.regexp_replace(bare, r'^"|"$', ""), r"\\(.)", "$1")
-        return F.when(F.upper(bare) != "NULL", inner).try_cast(element)
+        inner = F.regexp_replace(F.substring(bare, F.lit(2), F.length(bare) - 2), r"(?s)\\(.)", "$1")
+        return (
+            F.when(bare == "{", "[").when(bare == "}", "]").when(bare == ",", ",").when(bare == "", "")
+            .when(F.upper(bare) == "NULL", "null")
+            .when(bare.startswith('"'), quoted(inner))
+            .otherwise(quoted(bare))
+        )
 
-    literal = F.transform(tokens, value)
-    return (
-        F.when(t.rlike(r"^\[\s*\["), nested)
-        .when(t.startswith("["), flat)
-        .when(t.rlike(r"^\{.*\}$"), literal)
-    )
+    literal = F.array_join(F.transform(tokens, part), "")
+    return F.when(t.startswith("["), t).when(t.rlike(r"(?s)^\{.*\}$"), literal)
+
+
+def array_of(text: Column, dims: int, element: Callable[[Column], Column]) -> Column:
+    """An array of so many dimensions, each element coded from its own text.
+
+    The text may have up to ``MAX_DIMS`` dimensions: inner ones more than declared are
+    flattened, and missing ones are wrapped, so that no element is lost.
+    """
+    def coded(json: Column) -> Column:
+        depth = F.length(F.regexp_replace(F.regexp_extract(json, r"^(?:\s*\[)+", 0), r"[^\[]", ""))
+        out = None
+        for k in range(1, MAX_DIMS + 1):
+            found = F.from_json(json, "array<" * k + "string" + ">" * k, {"allowUnquotedControlChars": "true"})
+            for _ in range(k - dims):
+                found = _inside(found, dims - 1, F.flatten)
+            found = _inside(found, min(k, dims), element)
+            for _ in range(dims - k):
+                found = F.when(found.isNotNull(), F.array(found))
+            out = F.when(depth == k, found) if out is None else out.when(depth == k, found)
+        return out
+
+    return bind(array_json(text), coded)
+
+
+def _inside(value: Column, levels: int, work: Callable[[Column], Column]) -> Column:
+    return F.transform(value, lambda x: _inside(x, levels - 1, work)) if levels else work(value)
+
+
+def array_1d(text: Column, element: str) -> Column:
+    """A flat array from JSON or from the database's ``{...}`` form, elements being cast.
+
+    Inner dimensions are flattened; an unquoted NULL is a missing element.
+    """
+    return array_of(text, 1, lambda x: x.try_cast(element))
 
 
 def encode(
-    text: Column, encoding: str, lake_type: str, pg_type: str = "", epoch_unit: str | None = None
+    text: Column,
+    encoding: str,
+    lake_type: str,
+    pg_type: str = "",
+    epoch_unit: str | None = None,
+    element: str = "native",
 ) -> Column:
-    """The lake value of a raw text under the encoding its type is mapped with."""
+    """The lake value of a raw text under the encoding its type is mapped with.
+
+    ``element`` is the encoding of an array's elements.
+    """
     if encoding == "json-text":
         # json keeps its text, jsonb has one canonical form.
         return F.when(canonical_json(text).isNotNull(), text) if pg_type == "json" else canonical_json(text)
@@ -173,7 +218,10 @@ def encode(
     if encoding == "time-text":
         return time_text(text)
     if encoding == "array-1d":
-        return array_1d(text, lake_type.removeprefix("ARRAY<").removesuffix(">"))
+        dims = (len(lake_type) - len(lake_type.replace("ARRAY<", ""))) // len("ARRAY<")
+        lake = lake_type[len("ARRAY<") * dims : len(lake_type) - dims]
+        pg = re.sub(r"[\s\[\]]+$", "", pg_type)
+        return array_of(text, dims, lambda x: encode(x, element, lake, pg, epoch_unit))
     if encoding in ("cidr-text", "inet-text", "macaddr-text", "tsvector-text"):
         return F.trim(text)
     if encoding in ("decimal-clamped", "decimal-default"):

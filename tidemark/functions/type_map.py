@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -233,9 +234,12 @@ def declare(spark: SparkSession, columns: Sequence[tuple[str, str]]) -> list:
     One table has at most 1,600 columns, so this is small wherever it runs.
     """
     rows = [(i, name, pg_type) for i, (name, pg_type) in enumerate(columns)]
-    mapped = map_types(local_rows(spark, rows, "position INT, name STRING, pg_type STRING"))
-    found = sorted(mapped.collect(), key=lambda r: r["position"])
+    # The same types without dimensions say how elements are coded.
+    rows += [(-1 - i, name, re.sub(r"(\s*\[\s*\])+\s*$", "", pg_type)) for i, name, pg_type in rows]
+    mapped = map_types(local_rows(spark, rows, "position INT, name STRING, pg_type STRING")).collect()
+    element = {-1 - r["position"]: r["encoding"] for r in mapped if r["position"] < 0}
+    found = sorted((r for r in mapped if r["position"] >= 0), key=lambda r: r["position"])
     bad = [f"{r['name']} ({r['pg_type']}): {r['unmapped']}" for r in found if r["unmapped"]]
     if bad:
         raise ValueError("no lake type for " + ", ".join(bad))
-    return found
+    return [r.asDict() | {"element": element[r["position"]]} for r in found]

@@ -27,7 +27,7 @@ def typed_feed(
 
 def _typed(d, epoch_unit: str | None) -> Column:
     raw = F.col(f"_raw.{d['name']}")
-    value = encode(raw, d["encoding"], d["lake_type"], d["pg_type"], epoch_unit)
+    value = encode(raw, d["encoding"], d["lake_type"], d["pg_type"], epoch_unit, d["element"])
     return value.alias(d["name"])
 
 

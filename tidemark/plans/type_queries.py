@@ -63,6 +63,36 @@ def encode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.raw_values(spark, sf_dir).select("o_orderkey", "encoding", "raw", stored.alias("stored"))
 
 
+def _nested(rows: Column, work) -> Column:
+    return F.transform(rows, lambda row: F.transform(row, work))
+
+
+def encode_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts as elements: each in a database literal of two dimensions, in JSON, and next to a missing one."""
+    raw, encoding, even = F.col("raw"), F.col("encoding"), F.col("o_orderkey") % 2 == 0
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(raw, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    literal = F.concat(F.lit("{{"), quoted, F.lit(",NULL},{null,"), quoted, F.lit("}}"))
+    text = F.when(even, literal).otherwise(F.concat(F.lit("["), quoted, F.lit(",null]")))
+    rows = fx.raw_values(spark, sf_dir).filter(encoding != "array-1d").withColumn("text", text)
+    lake = {
+        "interval-micros": "LONG", "money-decimal": "DECIMAL(19,2)", "uuid-text": "STRING",
+        "json-text": "STRING", "decimal-clamped": "DECIMAL(38,5)", "decimal-default": "DECIMAL(38,18)",
+        "utc-instant": "TIMESTAMP", "time-text": "STRING",
+    }
+    flat, nested = F.lit(None).cast("string"), F.lit(None).cast("string")
+
+    def shown(name: str):
+        return lambda x: (F.unix_micros(x) if name == "utc-instant" else x).cast("string")
+
+    for name, lake_type in lake.items():
+        one = en.encode(F.col("text"), "array-1d", f"ARRAY<{lake_type}>", element=name)
+        two = en.encode(F.col("text"), "array-1d", f"ARRAY<ARRAY<{lake_type}>>", element=name)
+        flat = F.when(encoding == name, F.to_json(F.transform(one, shown(name)))).otherwise(flat)
+        both = _nested(two, shown(name))
+        nested = F.when(encoding == name, F.to_json(both)).otherwise(nested)
+    return rows.select("o_orderkey", "encoding", flat.alias("flat"), nested.alias("nested"))
+
+
 def decode_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals as the database reads them back."""
     values = fx.raw_values(spark, sf_dir).filter(F.col("encoding") == "interval-micros")
@@ -137,6 +167,7 @@ QUERIES = {
     "map_types_reverse": map_types_reverse,
     "roundtrip_types": roundtrip_types,
     "encode_values": encode_values,
+    "encode_arrays": encode_arrays,
     "decode_intervals": decode_intervals,
     "catalog_descriptor": catalog_descriptor,
     "schema_drift": schema_drift,
@@ -387,3 +418,15 @@ UNION ALL SELECT 'props', 'json', 'STRING', count(*), 0, 0 FROM v
 UNION ALL SELECT 'extra', 'integer', 'INTEGER', count(*) FILTER (cls = 'extra'), count(*) FILTER (cls = 'extra'), 0 FROM v
 """,
 }
+_SCALARS = ORACLE["encode_values"]
+ORACLE["encode_arrays"] = """
+WITH v AS (""" + _SCALARS + """),
+e AS (
+  SELECT o_orderkey, encoding,
+         CASE WHEN stored IS NULL THEN 'null' ELSE '"' || replace(replace(stored, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' END AS x
+  FROM v WHERE encoding <> 'array-1d')
+SELECT o_orderkey, encoding,
+       CASE WHEN o_orderkey % 2 = 0 THEN '[' || x || ',null,null,' || x || ']' ELSE '[' || x || ',null]' END AS flat,
+       CASE WHEN o_orderkey % 2 = 0 THEN '[[' || x || ',null],[null,' || x || ']]' ELSE '[[' || x || ',null]]' END AS nested
+FROM e
+"""
