@@ -205,6 +205,28 @@ def test_elements_are_coded_as_their_type(spark):
         assert typed.typed_feed(feed, [("c", pg_type)]).first()["c"] == want, (pg_type, text)
 
 
+def test_report_compares_values_not_spellings(spark):
+    same = [
+        ("double precision", "1.50"), ("double precision", "1e3"), ("double precision", "-0.0"), ("real", "+2.5"), ("integer", "007"),
+        ("numeric(10,2)", "12.3400"), ("numeric", "1.10"), ("numeric(40,5)", "-7"), ("timestamptz", "2024-01-01T00:00:00Z"),
+        ("timestamptz", "2024-01-01 00:00:00.1234560+02"), ("timestamp", "2024-01-01T10:00:00"), ("date", "2024-01-01"),
+        ("date", "2024-01-01 00:00:00"), ("jsonb", '{"b": 1, "a": 2}'), ("boolean", "t"), ("money", "$1,234.50"), ("text", " x "),
+        ("uuid", "{A0EEBC999C0B4EF8BB6D6BB9BD380A11}"), ("interval", "1 day 00:00:01.500000"), ("numeric(4,1)[]", "{1.20,-3}"),
+    ]
+    lost = [
+        ("numeric", "1.1234567890123456789"), ("numeric(38,2)", "1" * 30 + ".239"), ("numeric(10,2)", "0.001"),
+        ("double precision", "0.1234567890123456789012"), ("double precision", "123456789012345678901"), ("real", "0.123456789"),
+        ("timestamptz", "2024-01-01 00:00:00.1234567Z"), ("timestamp", "2024-01-01 10:00:00+02"), ("date", "2024-01-01 10:00:00"),
+        ("money", "$1.239"), ("numeric(4,1)[]", "{1.2,NULL,1.25}"), ("numeric(4,1)[][]", "{{1.2},{1.25}}"),
+    ]
+    for cases, want in ((same, 0), (lost, 1)):
+        columns = [(f"c{i}", t) for i, (t, _) in enumerate(cases)]
+        data = json.dumps({f"c{i}": x for i, (_, x) in enumerate(cases)})
+        for r in typed.cast_report(spark.createDataFrame([(data,)], "data STRING"), columns).collect():
+            case = cases[int(r["name"][1:])]
+            assert (r["present"], r["nulled"], r["altered"]) == (1, 0, want), case
+
+
 def test_encode_by_type(spark):
     def enc(text, encoding, lake, **kw):
         return one(spark, text, lambda c: en.encode(c, encoding, lake, **kw))

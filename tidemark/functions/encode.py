@@ -184,6 +184,12 @@ def _inside(value: Column, levels: int, work: Callable[[Column], Column]) -> Col
     return F.transform(value, lambda x: _inside(x, levels - 1, work)) if levels else work(value)
 
 
+def element_of(lake_type: str, pg_type: str) -> tuple[int, str, str]:
+    """The dimensions of an array type, and both types of its elements."""
+    dims = lake_type.count("ARRAY<")
+    return dims, lake_type[len("ARRAY<") * dims : len(lake_type) - dims], re.sub(r"[\s\[\]]+$", "", pg_type)
+
+
 def array_1d(text: Column, element: str) -> Column:
     """A flat array from JSON or from the database's ``{...}`` form, elements being cast.
 
@@ -218,9 +224,7 @@ def encode(
     if encoding == "time-text":
         return time_text(text)
     if encoding == "array-1d":
-        dims = (len(lake_type) - len(lake_type.replace("ARRAY<", ""))) // len("ARRAY<")
-        lake = lake_type[len("ARRAY<") * dims : len(lake_type) - dims]
-        pg = re.sub(r"[\s\[\]]+$", "", pg_type)
+        dims, lake, pg = element_of(lake_type, pg_type)
         return array_of(text, dims, lambda x: encode(x, element, lake, pg, epoch_unit))
     if encoding in ("cidr-text", "inet-text", "macaddr-text", "tsvector-text"):
         return F.trim(text)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.encode import encode
+from tidemark.functions.encode import array_of, element_of, encode
 from tidemark.functions.type_map import declare
 
 
@@ -68,9 +68,50 @@ def cast_report(
 
 
 def _altered(raw: Column, new: Column, d) -> Column:
-    if d["lake_type"].startswith("DECIMAL"):
-        exact = raw.try_cast("decimal(38,18)")
-        return F.coalesce(exact != new, F.lit(False))
-    if d["encoding"] == "array-1d":
-        return F.lit(False)
-    return new.cast("string") != raw
+    """Whether the value read from a text is another one than the text says."""
+    if d["encoding"] != "array-1d":
+        return altered(raw, new, d["encoding"], d["lake_type"])
+    dims, lake, pg = element_of(d["lake_type"], d["pg_type"])
+
+    def one(text: Column) -> Column:
+        value = encode(text, d["element"], lake, pg)
+        return value.isNotNull() & altered(text, value, d["element"], lake)
+
+    flags = array_of(raw, 1, one)  # all dimensions flattened
+    return F.coalesce(F.exists(flags, lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+
+
+def altered(raw: Column, new: Column, encoding: str, lake_type: str) -> Column:
+    """Compares values and not spellings; ``new`` is the value read from ``raw``.
+
+    Numbers are the same if their significant digits are: reading one keeps its size but
+    for rounding, which changes digits. Times are the same if no digits below the
+    microsecond, no time of day of a date and no offset of a local time were lost.
+    """
+    text = F.trim(raw)
+    if encoding == "money-decimal":
+        return _digits(F.regexp_replace(text, "[^0-9.]", "")) != _digits(new.cast("string"))
+    if encoding == "interval-micros" or lake_type.startswith("TIMESTAMP"):
+        below = text.rlike(r"[.,]\d{6}\d*[1-9]")
+        offset = text.rlike(r"(?i)(z|[+-]\d{2}(:?\d{2})?)$") & text.rlike(":")
+        return below | offset if lake_type == "TIMESTAMP_NTZ" else below
+    if lake_type == "DATE":
+        return text.rlike(r"^[+-]?\d+-\d+-\d+[T ].*[1-9]")
+    if lake_type.startswith("DECIMAL") or lake_type in _NUMBERS:
+        return _digits(text) != _digits(new.cast("string"))
+    if encoding == "native" and lake_type == "STRING":
+        return raw != new
+    # Booleans, bytes, JSON, identifiers and addresses have one value per text they are read from.
+    return F.lit(False)
+
+
+_NUMBERS = ("BYTE", "SHORT", "INTEGER", "INT", "LONG", "BIGINT", "FLOAT", "DOUBLE")
+
+
+def _digits(number: Column) -> Column:
+    """Sign and significant digits of a number as written, or the text where it is none."""
+    pattern = r"^([+-]?)0*(\d*)\.?(\d*)(?:[eE][+-]?\d+)?$"
+    sign = F.when(number.startswith("-"), "-").otherwise("")
+    digits = F.concat(F.regexp_extract(number, pattern, 2), F.regexp_extract(number, pattern, 3))
+    kept = F.regexp_replace(F.regexp_replace(digits, "^0+", ""), "0+$", "")
+    return F.when(number.rlike(pattern), F.concat(F.when(kept == "", "").otherwise(sign), kept)).otherwise(number)
