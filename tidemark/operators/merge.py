@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 UPSERT = "upsert"
@@ -37,6 +37,16 @@ def apply_changes(
     return joined.filter(F.col("_op").isNull() | upserted).select(*columns)
 
 
+def observed(changes: DataFrame, op: str = "op") -> tuple[DataFrame, Observation]:
+    """The changes, and their upserts and deletes as counted by the pass that writes them.
+
+    The counts are there once an action over the changes has ended; no pass is added.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.col(op) == kind).alias(f"{kind}s") for kind in (UPSERT, DELETE)]
+    return changes.observe(seen, *counts), seen
+
+
 def snapshot_diff(
     old: DataFrame, new: DataFrame, keys: Sequence[str], version: int
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.render import render_row
 from tidemark.operators import collapse, conflict, inbox, merge, reverse
 from tidemark.plans import fixtures as fx
-from tidemark.session import new_work_folder
+from tidemark.session import local_rows, new_work_folder
 from tidemark.sources.inbox_store import Inbox
 from tidemark.sources.keyed import KeyedTable
 
@@ -54,6 +54,34 @@ def merge_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read(spark)
 
 
+def apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upserts and deletes that merges into two stored tables applied, counted while they were staged."""
+    accounts = fx.account_rows(spark, sf_dir)
+    diff = merge.snapshot_diff(accounts, fx.second_snapshot(spark, sf_dir), KEY, version=1)
+    orders = KeyedTable(
+        new_work_folder(spark, "orders"),
+        "l_orderkey BIGINT, status STRING, l_extendedprice DECIMAL(18,2), l_partkey BIGINT",
+        ("l_orderkey",),
+        buckets=8,
+    )
+    customers = KeyedTable(
+        new_work_folder(spark, "customers"),
+        "c_custkey BIGINT, c_mktsegment STRING, c_acctbal DECIMAL(18,2)",
+        ("c_custkey",),
+        buckets=8,
+    )
+    upsert = F.lit(merge.UPSERT).alias("op")
+    steps = [
+        ("orders", orders, fx.order_target(spark, sf_dir).select("*", upsert)),
+        ("customer", customers, accounts.select("*", upsert)),
+        ("orders", orders, _net(spark, sf_dir)),
+        ("customer", customers, inbox.net_change(diff, KEY, KEY)),
+    ]
+    done = [(name, table.merge_counted(changes)) for name, table, changes in steps]
+    rows = [(name, c["version"], c["upserts"], c["deletes"]) for name, c in done]
+    return local_rows(spark, rows, "table STRING, version BIGINT, upserts BIGINT, deletes BIGINT")
+
+
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = fx.account_rows(spark, sf_dir), fx.second_snapshot(spark, sf_dir)
     return merge.snapshot_diff(old, new, KEY, version=1)
@@ -275,6 +303,7 @@ QUERIES = {
     "change_missing_key": change_missing_key,
     "merge_apply": merge_apply,
     "merge_store": merge_store,
+    "apply_counts": apply_counts,
     "snapshot_diff": snapshot_diff,
     "inbox_write": inbox_write,
     "reverse_render": reverse_render,
@@ -318,6 +347,14 @@ FROM ranked WHERE rn = 1
     "change_missing_key": CHANGES_SQL + "SELECT * FROM ch WHERE l_orderkey IS NULL",
     "merge_apply": MERGE_SQL,
     "merge_store": MERGE_SQL,
+    "apply_counts": NET_SQL + """
+SELECT 'orders' AS "table", CAST(0 AS BIGINT) AS version, count(*) AS upserts, CAST(0 AS BIGINT) AS deletes FROM orders
+UNION ALL SELECT 'customer', 0, count(*), 0 FROM customer
+UNION ALL SELECT 'orders', 1, count(*) FILTER (op = 'upsert'), count(*) FILTER (op = 'delete') FROM net
+UNION ALL SELECT 'customer', 1,
+  count(*) FILTER (c_custkey % 13 = 0) + count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 11 = 0),
+  count(*) FILTER (c_custkey % 7 = 0) FROM customer
+""",
     "snapshot_diff": _ACCOUNTS_SQL + """
 , later AS (
   SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 11 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.merge import apply_changes
+from tidemark.operators.merge import apply_changes, observed
 from tidemark.session import local_rows
 from tidemark.sources import ledger
 
@@ -69,8 +69,9 @@ class KeyedTable:
         combine: Callable[[DataFrame, DataFrame], DataFrame],
         source: str = "",
         source_version: int = -1,
+        counts: dict[str, int] | None = None,
     ) -> int:
-        """Commit ``combine(rows of the touched buckets, changes)``.
+        """Commit ``combine(rows of the touched buckets, changes)``; ``counts`` takes those of ``observed``.
 
         The changes are staged first: that cuts their lineage, tells the touched
         buckets from file names, and runs the collapse once.
@@ -79,7 +80,11 @@ class KeyedTable:
         last, entry = self._newest(spark)
         version = last + 1
         staged = f"{self.root}/staged/version={version}"
+        if counts is not None:
+            changes, seen = observed(changes)
         _write_buckets(self._bucket(changes), staged)
+        if counts is not None:
+            counts.update(seen.get)
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.schema.fields)
         batch = ledger.read_or_empty(spark, staged, f"{ddl}, bucket INT")
         touched = ledger.partition_values(batch, "bucket")
@@ -103,6 +108,17 @@ class KeyedTable:
         ledger.commit(local_rows(spark, rows, ENTRY), self.root, version)
         return version
 
+    def merge_counted(self, changes: DataFrame, source: str = "", source_version: int = -1) -> dict[str, int]:
+        """``merge``, with how many upserts and deletes it applied.
+
+        The counts come from the pass that stages the changes.
+        """
+        counts: dict[str, int] = {}
+        version = self.rewrite(
+            changes, lambda rows, new: apply_changes(rows, new, self.keys), source, source_version, counts
+        )
+        return {"version": version} | counts
+
     def merge(self, changes: DataFrame, source: str = "", source_version: int = -1) -> int:
         """Apply upserts and deletes (column ``op``), at most one per key."""
         return self.rewrite(

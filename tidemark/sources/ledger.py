@@ -20,6 +20,8 @@ from tidemark.session import local_rows
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A dataset with a declared schema, empty before the first write."""
+    if not _exists(spark, path):
+        return local_rows(spark, [], schema)
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -28,6 +30,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system, so that no query fails where listeners are told of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def entries(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return read_or_empty(spark, f"{root}/ledger", f"version BIGINT, {schema}")
 
