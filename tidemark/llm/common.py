@@ -117,11 +117,19 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 _KEPT: dict[str, tuple[str, object]] = {}
 
 
+#: What a worker keeps over partitions: of bounded size, and needed by every one.
+_SMALL = "powers"
+_SMALL_ITEMS = 1 << 21
+
+
 def release() -> None:
     """Gives up what the worker keeps and hands free memory back to the system, for the stages that come after."""
-    _KEPT.clear()
+    dropped = [k for k, (_, kept) in _KEPT.items() if k != _SMALL or len(kept[0]) > _SMALL_ITEMS]
+    for kind in dropped:
+        del _KEPT[kind]
+    if dropped:
+        gc.collect()
     pa.default_memory_pool().release_unused()
-    gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
