@@ -1,5 +1,6 @@
 """Feeds, inboxes and keyed tables: redelivery, lost progress, crashes, streams."""
 
+import itertools
 import json
 import random
 from pathlib import Path
@@ -7,12 +8,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import infer
+from tidemark.operators import inbox, infer
 from tidemark.operators import offsets as intervals
 from tidemark.operators.merge import UPSERT
 from tidemark.sources import adapters, cdc, feed, ledger, views
 from tidemark.sources.inbox_store import Inbox
-from tidemark.sources.keyed import KeyedTable
+from tidemark.sources.keyed import KeyedTable, joined
 from tidemark.streaming import current, forward, reverse
 
 TOPIC = "cdc.p.proj_p.t"
@@ -203,8 +204,8 @@ def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
     t.merge(one)
     got = {r["id"]: r["label"] for r in t.read(spark).collect()}
     assert len(got) == 99 and got[5] == "y" and 6 not in got and got[7] == "x"
-    _, entry = t._newest(spark)
-    assert 0 < sum(r["data_version"] == 1 for r in entry) <= 2
+    _, places, _ = t._newest(spark)
+    assert 0 < sum(v == 1 for v in places.values()) <= 2
 
 
 def test_emptied_table(spark, tmp_path):
@@ -214,6 +215,39 @@ def test_emptied_table(spark, tmp_path):
     assert rows(t.read(spark)) == [] and t.progress(spark, "src") == 4
 
 
+def test_progress_of_several_sources(spark, tmp_path):
+    t = table(str(tmp_path / "t"))
+    rows_of = lambda i: spark.createDataFrame([(i, "a", "upsert")], "id BIGINT, label STRING, op STRING")
+    t.merge(rows_of(1), "s1", 5)
+    t.merge(rows_of(2), "s2", 9)
+    t.merge(rows_of(3))
+    assert (t.progress(spark, "s1"), t.progress(spark, "s2"), t.progress(spark, "s3")) == (5, 9, -1)
+    t.merge(rows_of(4), "s1", 3)
+    assert t.marks(spark) == {"s1": 5, "s2": 9} and t.read(spark).count() == 4
+
+
+def test_marks_join_in_any_order():
+    parts = [{"a": 3}, {"b": 1, "a": 1}, {"b": 7}, {}]
+    for order in itertools.permutations(parts):
+        whole = {}
+        for part in order:
+            whole = joined(whole, part)
+        assert whole == {"a": 3, "b": 7}
+
+
+def test_one_failing_inbox_leaves_the_others_alone(spark, tmp_path):
+    good, bad = make_inbox(spark, str(tmp_path / "good")), make_inbox(spark, str(tmp_path / "bad"))
+    shared = table(str(tmp_path / "t"))
+    other = KeyedTable(str(tmp_path / "other"), "nothing BIGINT", ("nothing",), 2)
+    for box, i in ((good, 1), (bad, 2)):
+        box.insert(spark.createDataFrame([(i, "x")], "id BIGINT, label STRING"))
+    done = reverse.process_all(spark, {"bad": (bad, other), "good": (good, shared)})
+    assert done["good"] == 1 and isinstance(done["bad"], Exception)
+    # The second round takes up where each stopped.
+    assert reverse.process_all(spark, {"good": (good, shared), "mended": (bad, shared)}) == {"good": None, "mended": 1}
+    assert [r[0] for r in rows(shared.read(spark))] == [1, 2]
+
+
 def make_inbox(spark, root):
     box = Inbox(root, ("id",))
     box.create(spark, "id BIGINT, label STRING")
@@ -270,6 +304,88 @@ def test_incremental_state_ignores_late_and_repeated(spark, tmp_path):
     assert live == {1: "v4", 2: "v5"}
 
 
+def test_streamed_state_hands_on_touched_keys_only(spark, tmp_path):
+    columns, root = "id BIGINT, val STRING", str(tmp_path / "log")
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+    gone = {9: json.dumps({"id": 0, "val": "d", "__op": "d", "__ts_ms": 999, "__deleted": "true"})}
+    keyless = {10: json.dumps({"id": None, "val": "n", "__op": "c", "__ts_ms": 1000})}
+
+    def step(rows):
+        rows.write.mode("append").parquet(source)
+        stream = cdc.stream_files(spark, source)
+        current.start_changes(stream, columns, ("id",), root, checkpoint, interval=None).awaitTermination()
+        newest = max(ledger.partition_values(ledger.entries(spark, root, current.ENTRY), "version"))
+        touched = spark.read.parquet(f"{root}/data/version={newest}")
+        return sorted((r["id"], r["val"]) for r in touched.collect())
+
+    assert step(batch(spark, 3, 4, 5)) == [(0, "v3"), (1, "v4"), (2, "v5")]
+    # Each step is a restart: an older change and a repeated one touch their keys and change nothing.
+    assert step(batch(spark, 0, 4)) == [(0, "v3"), (1, "v4")]
+    assert step(batch(spark, 9, 10, values=gone | keyless)) == [(0, "d")]
+    live = lambda: {r["id"]: r["val"] for r in current.live_changes(spark, columns, ("id",), root).collect()}
+    assert live() == {1: "v4", 2: "v5"}
+    current.compact(spark, columns, ("id",), root)
+    assert live() == {1: "v4", 2: "v5"}
+    # A lost checkpoint reads all messages again; a change older than the delete cannot undo it.
+    checkpoint = str(tmp_path / "cp2")
+    step(batch(spark, 6, 7))
+    assert live() == {1: "v7", 2: "v5"}
+
+
+def test_null_keys_of_the_state(spark, tmp_path):
+    keyless = {10: json.dumps({"id": None, "val": "n", "__op": "c", "__ts_ms": 1000})}
+    state = current.state_table(str(tmp_path / "s"), "id BIGINT, val STRING", ("id",), buckets=2)
+    current.fold(batch(spark, 1, 10, values=keyless), "id BIGINT, val STRING", state)
+    assert [r["id"] for r in state.read(spark).collect()] == [1]
+    with pytest.raises(Exception, match="without a value of its key"):
+        current.fold(batch(spark, 10, values=keyless), "id BIGINT, val STRING", state, on_missing_key="fail")
+
+
+def test_versions_of_bounded_size(spark, tmp_path):
+    root = str(tmp_path / "feed")
+    many = batch(spark, *range(40), 7, 7, 39)
+    feed.append(batch(spark, 5, 6), root)
+    assert feed.append_limited(many, root, 9) == [1, 2, 3, 4, 5]
+    assert offsets(spark, root) == list(range(40))
+    sizes = {r["version"]: r["count"] for r in feed.read_feed(spark, root).groupBy("version").count().collect()}
+    assert max(sizes.values()) <= 9 and len(sizes) == 6
+    assert feed.append_limited(many, root, 9) == []
+    with pytest.raises(ValueError):
+        feed.append_limited(many, root, 0)
+    assert feed.append_limited(many.limit(0), root, 9) == []
+
+
+def test_crash_between_two_cuts(spark, tmp_path, monkeypatch):
+    root, taken = str(tmp_path / "feed"), []
+    whole, commit = batch(spark, *range(20)), ledger.commit
+
+    def failing(entry, at, version):
+        if version == 2 and not taken:
+            taken.append(version)
+            raise RuntimeError("lost")
+        commit(entry, at, version)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ledger, "commit", failing)
+        with pytest.raises(RuntimeError):
+            feed.append_limited(whole, root, 6)
+    assert len(offsets(spark, root)) == 12
+    feed.append_limited(whole, root, 6)
+    assert offsets(spark, root) == list(range(20))
+
+
+def test_inbox_with_a_column_op(spark, tmp_path):
+    box = Inbox(str(tmp_path / "box"), ("id",))
+    box.create(spark, "id BIGINT, op STRING")
+    t = KeyedTable(str(tmp_path / "t"), "id BIGINT, op STRING", ("id",), 2)
+    box.insert(spark.createDataFrame([(1, "hello"), (2, "bye")], "id BIGINT, op STRING"))
+    box.delete(spark, F.col("op") == "bye")
+    reverse.process(spark, box, t)
+    assert rows(t.read(spark)) == [(1, "hello")]
+    with pytest.raises(ValueError, match="op"):
+        inbox.net_change(box.changes(spark), ("id",))
+
+
 def test_adapter_options():
     kafka = adapters.kafka_options("h:9092", max_offsets_per_trigger=500)
     assert kafka["startingOffsets"] == "earliest" and kafka["maxOffsetsPerTrigger"] == "500"

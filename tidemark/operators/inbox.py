@@ -16,6 +16,8 @@ from tidemark.operators.merge import DELETE, UPSERT
 
 CHANGE_META = ("_change_type", "_commit_version", "_commit_timestamp")
 PREIMAGE = "update_preimage"
+# What stored tables call the column that says upsert or delete: data has no underscore names.
+MARK = "_change"
 
 
 def changes_since(changes: DataFrame, last_version: int = -1) -> DataFrame:
@@ -28,28 +30,35 @@ def missing_keys(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return changes.filter(_any_null(keys))
 
 
+def with_keys(rows: DataFrame, keys: Sequence[str], on_missing_key: str = "reject") -> DataFrame:
+    """Rows that have a value in every key column; others are left out, or fail the job."""
+    if on_missing_key not in ("reject", "fail"):
+        raise ValueError(f"on_missing_key must be 'reject' or 'fail', not {on_missing_key!r}")
+    if on_missing_key == "fail":
+        failure = F.raise_error(F.lit(f"change without a value of its key {', '.join(keys)}"))
+        return rows.filter(F.when(_any_null(keys), failure.cast("boolean")).otherwise(True))
+    return rows.filter(~_any_null(keys))
+
+
 def net_change(
     changes: DataFrame,
     keys: Sequence[str],
     order: Sequence[str] = (),
     on_missing_key: str = "reject",
     preimage_deletes: bool = False,
+    op: str = "op",
 ) -> DataFrame:
     """The last change of each key as one upsert or delete.
 
     Within a version deletes come first, then ``order``, then the data columns,
     so that the result never depends on arrival. Rows of null keys are left out
     (see ``missing_keys``) or fail the job. With ``preimage_deletes`` an update
-    that moves a row to another key deletes the old key.
+    that moves a row to another key deletes the old key. ``op`` names the column
+    that says upsert or delete; a data column of that name is refused, not overwritten.
     """
-    if on_missing_key not in ("reject", "fail"):
-        raise ValueError(f"on_missing_key must be 'reject' or 'fail', not {on_missing_key!r}")
-    if on_missing_key == "fail":
-        failure = F.raise_error(F.lit(f"change without a value of its key {', '.join(keys)}"))
-        valid = changes.filter(F.when(_any_null(keys), failure.cast("boolean")).otherwise(True))
-    else:
-        valid = changes.filter(~_any_null(keys))
-
+    if op in changes.columns:
+        raise ValueError(f"the changes have a column {op!r}; give another name as op")
+    valid = with_keys(changes, keys, on_missing_key)
     kind = F.col("_change_type")
     removes = kind.isin("delete", PREIMAGE) if preimage_deletes else kind == "delete"
     if not preimage_deletes:
@@ -57,20 +66,20 @@ def net_change(
     data = [c for c in valid.columns if c not in CHANGE_META and c not in keys]
     rows = valid.withColumns(
         {
-            "op": F.when(removes, DELETE).otherwise(UPSERT),
+            op: F.when(removes, DELETE).otherwise(UPSERT),
             "_rank": F.when(removes, 0).otherwise(1),
         }
     )
     rest = [c for c in data if c not in order]
-    ranked = rows.select(*keys, *data, "op", "_commit_version", "_rank")
+    ranked = rows.select(*keys, *data, op, "_commit_version", "_rank")
     last = latest_per_key(ranked, keys, ["_commit_version", "_rank", *order, *rest])
-    return last.select(*keys, "op", *data)
+    return last.select(*keys, op, *data)
 
 
 def table_rows(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of an inbox, from all its changes."""
-    net = net_change(changes, keys, preimage_deletes=True)
-    return net.filter(F.col("op") == UPSERT).drop("op")
+    net = net_change(changes, keys, preimage_deletes=True, op=MARK)
+    return net.filter(F.col(MARK) == UPSERT).drop(MARK)
 
 
 def insert_rows(rows: DataFrame) -> DataFrame:

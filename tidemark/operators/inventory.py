@@ -53,20 +53,35 @@ def reconcile(objects: DataFrame, registered: DataFrame) -> DataFrame:
 
     ``registered`` has schema, table and location. A registration is kept if its
     location still exists, so tables in deeper folders are not dropped and made
-    again each time.
+    again each time. The objects are read once: all steps come from one full outer
+    join of the stored and the registered locations.
     """
-    found = named(table_locations(objects))
-    create = found.join(registered.select("location"), "location", "left_anti")
-    stale = registered.join(found.select("location"), "location", "left_anti")
-    schemas = registered.select("schema").distinct()
-    empty = schemas.join(found.select("schema").distinct(), "schema", "left_anti")
-
-    def step(action: str, rows: DataFrame) -> DataFrame:
-        return rows.select(
-            F.lit(action).alias("action"),
-            "schema",
-            *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("table", "location")],
-        )
+    found = named(table_locations(objects)).withColumnsRenamed({"schema": "_schema", "table": "_table"})
+    both = found.withColumn("_found", F.lit(True)).join(
+        registered.select("schema", "table", "location").withColumn("_known", F.lit(True)), "location", "full_outer"
+    )
+    none = F.lit(None).cast("string")
 
-    steps = step("register", create).unionByName(step("unregister", stale))
-    return steps.unionByName(step("drop_schema", empty))
+    def step(action: str, when: Column, schema: str, table: Column, location: Column) -> Column:
+        row = F.struct(
+            F.lit(action).alias("action"), F.col(schema).alias("schema"), table.alias("table"), location.alias("location"),
+            F.col("_found").isNotNull().alias("stored"),
+        )
+        return F.when(when, row)
+
+    stored, known, location = F.col("_found").isNotNull(), F.col("_known").isNotNull(), F.col("location")
+    # Schemas are marked by either side; one with a registered and no stored table is to go.
+    rows = F.array(
+        step("register", stored & ~known, "_schema", F.col("_table"), location),
+        step("unregister", known & ~stored, "schema", F.col("table"), location),
+        step("drop_schema", stored, "_schema", none, none),
+        F.when(known, F.struct(
+            F.lit("drop_schema").alias("action"), F.col("schema"), none.alias("table"), none.alias("location"),
+            F.lit(False).alias("stored"),
+        )),
+    )
+    steps = both.select(F.explode(F.array_compact(rows)).alias("_s")).groupBy(
+        "_s.action", "_s.schema", "_s.table", "_s.location"
+    ).agg(F.bool_or("_s.stored").alias("_stored"))
+    wanted = (F.col("action") != "drop_schema") | ~F.col("_stored")
+    return steps.filter(wanted).select("action", "schema", "table", "location")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import collapse, envelope, offsets
+from tidemark.operators import envelope, offsets, running
 from tidemark.sources import ledger
 
 ENTRY = "topic STRING, partition INT, min_offset BIGINT, max_offset BIGINT, rows BIGINT, commit_ts TIMESTAMP"
@@ -86,6 +86,37 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool =
     return version
 
 
+def append_limited(
+    messages: DataFrame, root: str, max_records: int, prefix: str = "cdc", ordered: bool = False
+) -> list[int]:
+    """Append a batch as versions of at most ``max_records`` messages each, in the order of offsets.
+
+    For sources that cannot bound a batch themselves. The batch is numbered by a prefix
+    scan and staged once, cut where the numbers say, also inside a file; then every cut
+    is an append of its own. A crash between them is made good by running the batch
+    again: what is committed is not new.
+    """
+    if max_records < 1:
+        raise ValueError(f"max_records must be at least 1, not {max_records}")
+    spark = messages.sparkSession
+    rows = messages.withColumn("_all", F.lit(0))
+    cuts = running.find_cuts(rows, ["_all"], offsets.OFFSET)
+    before = {"_before": running.Measure("count", F.lit(True))}
+    numbered = running.running_before(cuts.assign(rows), cuts, before)
+    piece = F.floor(F.col("_before") / max_records).cast("int").alias("_piece")
+    staged = numbered.select(*messages.columns, piece).hint("rebalance", "_piece")
+    path = f"{root}/staged"
+    staged.write.mode("overwrite").partitionBy("_piece").parquet(path)
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields)
+    batch = ledger.read_or_empty(spark, path, f"{ddl}, _piece INT")
+    versions = []
+    for p in sorted(ledger.partition_values(batch, "_piece")):
+        one = batch.filter(F.col("_piece") == p).drop("_piece")
+        versions.append(append(one, root, prefix, ordered))
+    return [v for v in versions if v is not None]
+
+
 def _committed(spark: SparkSession, root: str) -> DataFrame:
     last = ledger.last_version(spark, root, ENTRY)
     stored = ledger.read_or_empty(spark, f"{root}/data", STORED)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -29,17 +29,39 @@ def process(
     if current <= last:
         return None
     changes = inbox.changes(spark, after=last, upto=current)
-    net = ib.net_change(changes, target.keys, order, preimage_deletes=preimage_deletes)
-    target.merge(net, source=source, source_version=current)
+    net = ib.net_change(changes, target.keys, order, preimage_deletes=preimage_deletes, op=ib.MARK)
+    target.merge(net, source=source, source_version=current, op=ib.MARK)
     return current
 
 
+def process_all(
+    spark: SparkSession,
+    routes: Mapping[str, tuple[Inbox, KeyedTable]],
+    order: Sequence[str] = (),
+    preimage_deletes: bool = False,
+) -> dict[str, int | None | Exception]:
+    """``process`` for every inbox and its table, by name; several inboxes may share a table.
+
+    An inbox that fails stops none of the others; its error is its result, and
+    its progress stays, so the next round tries it again.
+    """
+    done: dict[str, int | None | Exception] = {}
+    for name, (inbox, target) in routes.items():
+        try:
+            done[name] = process(spark, inbox, target, order, preimage_deletes)
+        except Exception as error:  # noqa: BLE001 - handed to the caller
+            done[name] = error
+    return done
+
+
 def start(
     spark: SparkSession,
     inbox: Inbox,
     target: KeyedTable,
     checkpoint: str,
     interval: str | None = "10 seconds",
+    order: Sequence[str] = (),
+    preimage_deletes: bool = False,
 ) -> StreamingQuery:
     """Run ``process`` whenever the inbox has a new commit.
 
@@ -52,7 +74,7 @@ def start(
     def run(batch, _batch_id: int) -> None:
         session = batch.sparkSession
         session.conf.set("spark.sql.adaptive.enabled", "true")
-        process(session, inbox, target)
+        process(session, inbox, target, order, preimage_deletes)
 
     writer = commits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
