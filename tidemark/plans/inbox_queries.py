@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,6 +139,35 @@ def conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled.select("c_custkey", "winner", "merged.*")
 
 
+def _greater_balance(pg: pa.RecordBatch, lake: pa.RecordBatch) -> pa.Table:
+    balance = pc.max_element_wise(pg["c_acctbal"], lake["c_acctbal"])
+    return pa.table({"c_custkey": pg["c_custkey"], "c_acctbal": balance, "version": lake["version"]})
+
+
+def conflict_merge_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge of ``conflict_merge`` by a Python function of two Arrow batches."""
+    lake = collapse.latest_per_key(fx.lake_changes(spark, sf_dir), KEY, SEQ)
+    schema = "c_custkey BIGINT, c_acctbal DECIMAL(18,2), version BIGINT"
+    merged = conflict.merge_with_arrow(fx.account_target(spark, sf_dir), lake, KEY, _greater_balance, schema)
+    return merged.withColumn("winner", F.lit(conflict.POSTGRES))
+
+
+def conflict_merge_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a Python function of two rows."""
+
+    def pick(pg: dict, lake: dict) -> dict:
+        return {
+            "c_custkey": pg["c_custkey"],
+            "c_acctbal": max(pg["c_acctbal"], lake["c_acctbal"]),
+            "version": lake["version"],
+        }
+
+    lake = collapse.latest_per_key(fx.lake_changes(spark, sf_dir), KEY, SEQ)
+    schema = "c_custkey BIGINT, c_acctbal DECIMAL(18,2), version BIGINT"
+    merged = conflict.merge_with_python(fx.account_target(spark, sf_dir), lake, KEY, pick, schema)
+    return merged.withColumn("winner", F.lit(conflict.POSTGRES))
+
+
 def _decide(spark, sf_dir, policy, sot, unversioned=False) -> DataFrame:
     return reverse.decide(
         fx.lake_changes(spark, sf_dir, unversioned),
@@ -309,6 +340,8 @@ QUERIES = {
     "reverse_render": reverse_render,
     "conflict_resolve": conflict_resolve,
     "conflict_merge": conflict_merge,
+    "conflict_merge_arrow": conflict_merge_arrow,
+    "conflict_merge_python": conflict_merge_python,
     **{name: _decision(*v) for name, v in _VARIANTS.items()},
     "reverse_sync_hot": reverse_sync_hot,
     "apply_report": apply_report,
@@ -330,6 +363,10 @@ pr AS (
   FROM lk JOIN customer ON c_custkey = k WHERE rn = 1 AND k % 3 <> 0)
 """
 
+_MERGED_SQL = _PAIRS_SQL.format(version="epoch_us(o_orderdate)", p=fx.ROW_VERSION) + """
+SELECT k AS c_custkey, 'postgres' AS winner, greatest(pg_bal, bal) AS c_acctbal, v AS version FROM pr
+"""
+
 ORACLE = {
     "change_feed_read": CHANGES_SQL + f"SELECT * FROM ch WHERE _commit_version > {SINCE}",
     "net_change": NET_SQL + "SELECT * FROM net",
@@ -406,9 +443,9 @@ SELECT k AS c_custkey,
        CASE WHEN v > p THEN bal ELSE pg_bal END AS c_acctbal
 FROM pr
 """,
-    "conflict_merge": _PAIRS_SQL.format(version="epoch_us(o_orderdate)", p=fx.ROW_VERSION) + """
-SELECT k AS c_custkey, 'postgres' AS winner, greatest(pg_bal, bal) AS c_acctbal, v AS version FROM pr
-""",
+    "conflict_merge": _MERGED_SQL,
+    "conflict_merge_arrow": _MERGED_SQL,
+    "conflict_merge_python": _MERGED_SQL,
     **{
         name: fold_sql(*v) + "SELECT k AS c_custkey, seq, action, reason FROM decided"
         for name, v in _VARIANTS.items()

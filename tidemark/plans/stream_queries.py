@@ -132,7 +132,11 @@ def incremental_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         delivery.write.mode("append").parquet(source)
         stream = cdc.stream_files(spark, source)
         current.start(stream, fx.ACCOUNT_COLUMNS, state, checkpoint, interval=None).awaitTermination()
-    return current.live_rows(spark, state).select(
+    return _account_state(current.live_rows(spark, state))
+
+
+def _account_state(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "project", "user_id",
         F.col("value").try_cast("decimal(10,2)").alias("amount"),
         json_or_text(F.col("props")).alias("props"),
@@ -140,29 +144,71 @@ def incremental_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reverse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C written to an inbox in two commits, each streamed into the target."""
-    columns = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DECIMAL(18,2), l_extendedprice DECIMAL(18,2)"
-    box = Inbox(new_work_folder(spark, "inbox"), ("l_orderkey",))
-    box.create(spark, columns)
+def feed_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in one trigger, as versions of at most a sixth of them (rounded up)."""
+    source, root = new_work_folder(spark, "log"), new_work_folder(spark, "limited-feed")
+    fx.messages(spark, sf_dir).write.parquet(source)
+    most = fx.table(spark, sf_dir, "events").count() // 6 + 1
+    stream, checkpoint = cdc.stream_files(spark, source), new_work_folder(spark, "checkpoint")
+    forward.start(stream, root, checkpoint, interval=None, max_records=most).awaitTermination()
+    return _shown(feed.read_feed(spark, root))
+
+
+def streamed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current state by a streaming aggregation over the three deliveries, the stream being restarted for each."""
+    source, checkpoint = new_work_folder(spark, "log"), new_work_folder(spark, "checkpoint")
+    root, keys = new_work_folder(spark, "state-log"), ("user_id",)
+    for delivery in _deliveries(spark, sf_dir):
+        delivery.write.mode("append").parquet(source)
+        stream = cdc.stream_files(spark, source)
+        current.start_changes(stream, fx.ACCOUNT_COLUMNS, keys, root, checkpoint, interval=None).awaitTermination()
+    return _account_state(current.live_changes(spark, fx.ACCOUNT_COLUMNS, keys, root))
+
+
+_CHANGE_COLUMNS = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DECIMAL(18,2), l_extendedprice DECIMAL(18,2)"
+
+
+def _orders_table(spark: SparkSession, sf_dir: str) -> KeyedTable:
     target = KeyedTable(
         new_work_folder(spark, "target"),
         "l_orderkey BIGINT, status STRING, l_extendedprice DECIMAL(18,2), l_partkey BIGINT",
         ("l_orderkey",), buckets=8,
     )
     target.merge(fx.order_target(spark, sf_dir).withColumn("op", F.lit(merge.UPSERT)))
-    changes = fx.inbox_changes(spark, sf_dir)
-    checkpoint = new_work_folder(spark, "checkpoint")
-    middle = F.col("_commit_version") < 11000
-    for part in (changes.filter(middle), changes.filter(~middle)):
-        # One commit holds many versions of C: keep their net change.
-        net = collapse.latest_per_key(
-            part.filter(F.col("l_orderkey").isNotNull() & (F.col("_change_type") != "update_preimage")),
-            ["l_orderkey"],
-            ["_commit_version", F.when(F.col("_change_type") == "delete", 0).otherwise(1), *fx.CHANGE_ORDER, "l_quantity"],
-        )
-        box.write_changes(spark, net, "merge")
-        reverse.start(spark, box, target, checkpoint, interval=None).awaitTermination()
+    return target
+
+
+def _inbox(spark: SparkSession) -> Inbox:
+    box = Inbox(new_work_folder(spark, "inbox"), ("l_orderkey",))
+    box.create(spark, _CHANGE_COLUMNS)
+    return box
+
+
+def reverse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C whole, in three commits of an inbox: one streamed into the target, then two at once."""
+    box, target = _inbox(spark), _orders_table(spark, sf_dir)
+    changes, checkpoint = fx.inbox_changes(spark, sf_dir), new_work_folder(spark, "checkpoint")
+    day = F.col("_commit_version")
+    early, middle, late = (changes.filter(day < 11000), changes.filter(day.between(11000, 11399)), changes.filter(day >= 11400))
+    for commits in ((early,), (middle, late)):
+        for part in commits:
+            box.write_changes(spark, part, "merge")
+        stream = reverse.start(spark, box, target, checkpoint, interval=None, order=fx.CHANGE_ORDER)
+        stream.awaitTermination()
+    return target.read(spark)
+
+
+def reverse_inboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C parted into two inboxes of one table, read in turn: each goes on from its own mark."""
+    west, east, target = _inbox(spark), _inbox(spark), _orders_table(spark, sf_dir)
+    changes, routes = fx.inbox_changes(spark, sf_dir), {"west": (west, target), "east": (east, target)}
+    early, half = F.col("_commit_version") < 11000, F.col("l_suppkey") % 2 == 0
+    for commits in (((west, half & early), (east, ~half)), ((west, half & ~early),)):
+        for box, part in commits:
+            box.write_changes(spark, changes.filter(part), "merge")
+        for error in reverse.process_all(spark, routes, fx.CHANGE_ORDER).values():
+            if isinstance(error, Exception):
+                raise error
     return target.read(spark)
 
 
@@ -177,8 +223,43 @@ QUERIES = {
     "feed_bounded": feed_bounded,
     "incremental_state": incremental_state,
     "reverse_stream": reverse_stream,
+    "feed_limited": feed_limited,
+    "streamed_state": streamed_state,
+    "reverse_inboxes": reverse_inboxes,
 }
 
+_STATE_SQL = MESSAGES_SQL + """
+, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY project, user_id ORDER BY ts_ms DESC, part DESC, off DESC) AS rn
+  FROM feed)
+SELECT project, user_id, CAST(amount AS DECIMAL(10,2)) AS amount, replace(props, ': ', ':') AS props,
+       CASE WHEN cls = 'extra' THEN 'x' || (event_id % 5) END AS extra, n_op AS op, ts_ms
+FROM ranked WHERE rn = 1 AND deleted = 'false'
+"""
+
+
+def _in_turn_sql(batches: list[tuple[str, str]]) -> str:
+    """D after batches of C in turn, each the changes of a condition by commit: a row that was deleted
+    and comes back has lost its status."""
+    steps = """
+, t0 AS (SELECT o_orderkey AS k, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(NULL AS BIGINT) AS part FROM orders)"""
+    for i, (condition, commit) in enumerate(batches):
+        steps += f"""
+, r{i} AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {commit} DESC,
+     CASE WHEN _change_type = 'delete' THEN 0 ELSE 1 END DESC, l_linenumber DESC,
+     l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn
+  FROM ch WHERE l_orderkey IS NOT NULL AND _change_type <> 'update_preimage' AND {condition}),
+n{i} AS (SELECT l_orderkey AS k, _change_type = 'delete' AS gone, l_extendedprice AS price, l_partkey AS part FROM r{i} WHERE rn = 1),
+t{i + 1} AS (
+  SELECT coalesce(t{i}.k, n{i}.k) AS k, status, coalesce(n{i}.price, t{i}.price) AS price, coalesce(n{i}.part, t{i}.part) AS part
+  FROM t{i} FULL OUTER JOIN n{i} ON t{i}.k = n{i}.k WHERE n{i}.gone IS NULL OR NOT n{i}.gone)"""
+    return CHANGES_SQL + steps + f"""
+SELECT k AS l_orderkey, status, price AS l_extendedprice, part AS l_partkey FROM t{len(batches)}
+"""
+
+
+
 # The version a message lands in: the delivery that brings it first, from 0.
 DELIVERED_SQL = MESSAGES_SQL + """
 , size AS (SELECT count(*) // 3 AS third FROM events),
@@ -229,29 +310,23 @@ FROM feed
 SELECT project, 'accounts' AS "table", part AS partition, off AS "offset", n_op AS op, ts_ms, deleted = 'true' AS deleted, data
 FROM feed
 """,
-    "incremental_state": MESSAGES_SQL + """
-, ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY project, user_id ORDER BY ts_ms DESC, part DESC, off DESC) AS rn
-  FROM feed)
-SELECT project, user_id, CAST(amount AS DECIMAL(10,2)) AS amount, replace(props, ': ', ':') AS props,
-       CASE WHEN cls = 'extra' THEN 'x' || (event_id % 5) END AS extra, n_op AS op, ts_ms
-FROM ranked WHERE rn = 1 AND deleted = 'false'
-""",
-    # Two commits in turn: a row deleted by the first comes back without its status.
-    "reverse_stream": CHANGES_SQL + """
-, ranked AS (
-  SELECT *, _commit_version < 11000 AS early, row_number() OVER (PARTITION BY l_orderkey, _commit_version < 11000
-     ORDER BY _commit_version DESC, CASE WHEN _change_type = 'delete' THEN 0 ELSE 1 END DESC, l_linenumber DESC,
-     l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn
-  FROM ch WHERE l_orderkey IS NOT NULL AND _change_type <> 'update_preimage'),
-n1 AS (SELECT l_orderkey AS k, _change_type = 'delete' AS gone, l_extendedprice AS price, l_partkey AS part FROM ranked WHERE rn = 1 AND early),
-n2 AS (SELECT l_orderkey AS k, _change_type = 'delete' AS gone, l_extendedprice AS price, l_partkey AS part FROM ranked WHERE rn = 1 AND NOT early),
-t0 AS (SELECT o_orderkey AS k, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(NULL AS BIGINT) AS part FROM orders),
-t1 AS (
-  SELECT coalesce(t0.k, n1.k) AS k, status, coalesce(n1.price, t0.price) AS price, coalesce(n1.part, t0.part) AS part
-  FROM t0 FULL OUTER JOIN n1 ON t0.k = n1.k WHERE n1.gone IS NULL OR NOT n1.gone)
-SELECT coalesce(t1.k, n2.k) AS l_orderkey, status, coalesce(n2.price, t1.price) AS l_extendedprice,
-       coalesce(n2.part, t1.part) AS l_partkey
-FROM t1 FULL OUTER JOIN n2 ON t1.k = n2.k WHERE n2.gone IS NULL OR NOT n2.gone
+    "incremental_state": _STATE_SQL,
+    "streamed_state": _STATE_SQL,
+    "feed_limited": MESSAGES_SQL + """
+, cut AS (
+  SELECT *, (row_number() OVER (ORDER BY topic, part, off) - 1) // ((SELECT count(*) FROM events) // 6 + 1) AS version
+  FROM norm)
+SELECT project, 'accounts' AS "table", part AS partition, off AS "offset", version, n_op AS op, ts_ms,
+       deleted = 'true' AS deleted, data
+FROM cut WHERE reason IS NULL
 """,
+    "reverse_stream": _in_turn_sql([
+        ("_commit_version < 11000", "_commit_version < 11000"),
+        ("_commit_version >= 11000", "(_commit_version >= 11400)"),
+    ]),
+    "reverse_inboxes": _in_turn_sql([
+        ("l_suppkey % 2 = 0 AND _commit_version < 11000", "1"),
+        ("l_suppkey % 2 <> 0", "1"),
+        ("l_suppkey % 2 = 0 AND _commit_version >= 11000", "1"),
+    ]),
 }
