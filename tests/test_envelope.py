@@ -84,6 +84,7 @@ def test_reasons(spark):
 def test_all_paths_accept_the_same_texts(spark):
     odd = [
         '{"a":1}x', '{"a":1,"a":2}', '{"a":NaN}', '{"a":Infinity}', "{'a':1}", '{"a":1e400}', '{"a":0012}', '{"a":1',
+        '{"a":{"x":1,"x":2}}', '{"__op":"c","__op":"d","a":1}', '{"a":1}{"b":2}', '{"a":1}]', '{"a":1},{"end":1}]', '{"a":1},{"b":2}',
         '{"a":"\\u00e9"}', "[1]", "5", '"text"', "{}", '{"__op":5,"a":[1,{"c":1.10}],"__deleted":true,"__ts_ms":"12"}',
     ]
     sent = messages(spark, *odd)
@@ -95,6 +96,8 @@ def test_all_paths_accept_the_same_texts(spark):
     reasons = {r["offset"]: r["reason"] for r in envelope.rejects(sent).collect()}
     assert {r["offset"]: r["reason"] for r in rows if r["reason"]} == reasons
     assert all(r["data"] for r in rows if r["reason"] is None)
+    assert {odd[o] for o in accepted} == {'{"a":1e400}', '{"a":"\\u00e9"}', odd[-1]}
+    assert {odd[o] for o, why in reasons.items() if why == "no_data_columns"} == {"{}"}
 
 
 def test_both_readers_agree(spark):

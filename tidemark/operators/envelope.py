@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.json_text import META_PREFIX, has_data_field, is_data_field
+from tidemark.functions.json_text import META_PREFIX, is_data_field
 
 # Reasons a message leads to no feed row.
 BAD_TOPIC = "bad_topic"
@@ -66,22 +66,43 @@ def normalize(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
     ``data`` is the JSON text of the data fields; nested values in it have sorted
     keys and no spaces.
     """
-    parsed = route(messages, prefix).withColumn("_parsed", _fields())
-    has_data = F.exists(F.map_keys("_parsed"), is_data_field)
-    reasoned = parsed.withColumn("reason", _reason(F.col("value"), has_data))
-    fields = F.when(F.col("reason").isNull(), F.col("_parsed"))
-    return _split(reasoned, fields, ["reason"])
+    parsed = _parsed(route(messages, prefix))
+    reasoned = parsed.withColumn("reason", _reason(F.col("value"), _has_data()))
+    return _split(reasoned, F.when(F.col("reason").isNull(), F.col("_fields")), ["reason"])
 
 
 def feed_rows(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
     """Only the messages that lead to a feed row, in the form of ``normalize``."""
-    usable = F.col("project").isNotNull() & has_data_field(F.col("value"))
-    return _split(route(messages, prefix).filter(usable), _fields(), [])
+    usable = F.col("project").isNotNull() & _has_data()
+    return _split(_parsed(route(messages, prefix)).filter(usable), F.col("_fields"), [])
 
 
-def _fields() -> Column:
-    # Strict numbers, as in ``has_data_field``: both must accept the same texts.
-    return F.from_json("value", "map<string,variant>", {"allowNonNumericNumbers": "false"})
+def _parsed(messages: DataFrame) -> DataFrame:
+    """Add ``_fields``, the fields of the message, null unless its text is exactly one JSON object.
+
+    Every reader of messages decides by this parse. Text after the object, single
+    quotes, numbers JSON does not have and fields that occur twice, at any depth, make
+    a message invalid. The parser stops at the end of the object; so that it sees what
+    follows, the text is parsed as the first of two elements, the second of which no
+    text can foresee.
+    """
+    end = F.xxhash64("value")
+    text = F.concat(F.lit("["), F.col("value"), F.lit(',{"end":'), end.cast("string"), F.lit("}]"))
+    strict = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+    parts = F.from_json(text, "array<map<string,variant>>", strict)
+
+    def alone(found: Column) -> Column:
+        names = F.map_keys(F.get(found, 0))
+        last = F.try_variant_get(F.get(found, 1)["end"], "$", "bigint")
+        whole = (F.size(found) == 2) & (last == end) & (F.size(names) == F.size(F.array_distinct(names)))
+        return F.when(whole, F.get(found, 0))
+
+    # A lambda, so that the text is parsed once also where a filter takes this expression.
+    return messages.withColumn("_fields", F.get(F.transform(F.array(parts), alone), 0))
+
+
+def _has_data() -> Column:
+    return F.exists(F.map_keys("_fields"), is_data_field)
 
 
 def _split(messages: DataFrame, fields: Column, extra: list[str]) -> DataFrame:
@@ -108,14 +129,13 @@ def _split(messages: DataFrame, fields: Column, extra: list[str]) -> DataFrame:
 
 def rejects(messages: DataFrame, prefix: str = "cdc") -> DataFrame:
     """Messages that break the contract, with the reason. Tombstones do not."""
-    routed = route(messages, prefix)
-    reasoned = routed.withColumn("reason", _reason(F.col("value"), has_data_field(F.col("value"))))
+    reasoned = _parsed(route(messages, prefix)).withColumn("reason", _reason(F.col("value"), _has_data()))
     bad = F.col("reason").isNotNull() & (F.col("reason") != TOMBSTONE)
     return reasoned.filter(bad).select("topic", "partition", "offset", "reason", "value")
 
 
 def normalize_typed(messages: DataFrame, columns: str, prefix: str = "cdc") -> DataFrame:
-    """Feed rows of messages whose data columns are declared, in one JSON parse.
+    """Feed rows of messages whose data columns are declared.
 
     ``columns`` is a DDL column list. Only declared columns are read from the
     payload, and Catalyst prunes those nobody uses.
@@ -124,8 +144,8 @@ def normalize_typed(messages: DataFrame, columns: str, prefix: str = "cdc") -> D
     schema = f"{columns}, {meta}"
     names = [f.name for f in _ddl(columns)]
     parsed = (
-        route(messages, prefix)
-        .filter(F.col("project").isNotNull() & has_data_field(F.col("value")))
+        _parsed(route(messages, prefix))
+        .filter(F.col("project").isNotNull() & _has_data())
         .withColumn("_row", F.from_json("value", schema))
     )
     return parsed.select(
