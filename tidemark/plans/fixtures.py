@@ -210,7 +210,10 @@ def hot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shop_deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """B. Two tables of a project in two deliveries; the second brings columns the first has not."""
+    """B. Two tables of a project in two deliveries; the second brings columns the first has not.
+
+    A column ``memo`` is null in every message.
+    """
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     key, cust = F.col("o_orderkey"), F.col("c_custkey")
     price, balance = (F.col(c).cast("decimal(18,2)") for c in ("o_totalprice", "c_acctbal"))
@@ -218,13 +221,14 @@ def shop_deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     nested = F.struct(F.col("o_orderpriority").alias("p"), F.array(key, F.lit(1)).alias("n")).alias("tags")
     late = [key.cast("string").alias("version"), (key % 5 == 0).alias("offset"), nested]
     customer = [cust.alias("id"), F.col("c_name").alias("name")]
+    memo, marks = F.lit(None).cast("string").alias("memo"), [F.lit("c").alias("__op"), F.lit(0).alias("__ts_ms")]
 
     def sent(rows: DataFrame, name: str, offset: Column, columns: list[Column]) -> DataFrame:
         return rows.select(
             F.lit(f"cdc.shop.proj_shop.{name}").alias("topic"),
             F.lit(0).alias("partition"),
             offset.cast("bigint").alias("offset"),
-            F.to_json(F.struct(*columns, F.lit("c").alias("__op"), F.lit(0).alias("__ts_ms"))).alias("value"),
+            F.to_json(F.struct(*columns, memo, *marks), {"ignoreNullFields": "false"}).alias("value"),
         )
 
     return [
