@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import odd_texts, prose
 from tidemark.llm import bpe, chat, decontaminate, language_id, quality_classifier, quality_rules, token_counts
+from tidemark.llm.common import mixed, range_hashes
 
 BYTES, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SOLID = r"[^\x20\x09-\x0D]+"
@@ -207,6 +209,47 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in language_id.predict(odd, [], np.zeros((0, language_id.DIMENSIONS))).collect()} == {"und"}
 
 
+def profile(text, vectors):
+    """The bundle of the trigrams of a text, letter by letter."""
+    codes = [0]
+    for c in text or "":
+        code = ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0
+        if code or codes[-1]:
+            codes.append(code)
+    if codes[-1]:
+        codes.append(0)
+    total = np.zeros(language_id.DIMENSIONS)
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        if b:
+            total += np.roll(vectors(a), 2) * np.roll(vectors(b), 1) * vectors(c)
+    return total, any(codes)
+
+
+def test_languages_equal_brute_force(spark, odd):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").unionByName(
+        odd.select("doc_id", quality_rules.F.substring("text", 1, 2500).alias("text"), "lang")
+    )
+    rows, space = table.collect(), language_id.Space()
+    vectors = lambda code: space.letter(code).astype(float)
+    out = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows]
+    profiles = [profile(r.text, vectors) for r in rows]
+    languages = defaultdict(lambda: np.zeros(language_id.DIMENSIONS))
+    for r, held, (v, _) in zip(rows, out, profiles, strict=True):
+        if not held and r.doc_id is not None and r.lang is not None:
+            languages[r.lang] += v
+    names = sorted(languages)
+    want = []
+    for r, held, (v, lettered) in zip(rows, out, profiles, strict=True):
+        cosines = [float(v @ languages[n]) / max(np.linalg.norm(v) * np.linalg.norm(languages[n]), 1e-9) for n in names]
+        best = max(range(len(names)), key=lambda i: (cosines[i], -i))
+        want.append((r.doc_id, held, names[best] if lettered else "und", min(max(cosines[best], 0), 1) if lettered else 0.0))
+    got = language_id.predict(table, *language_id.learn(table)).collect()
+    by = lambda r: (repr(r[:3]), r[3])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=by), sorted(want, key=by), strict=True):
+        assert g[:3] == w[:3] and math.isclose(g[3], w[3], abs_tol=1e-6)
+
+
 def test_vectors_are_bound_and_bundled():
     space = language_id.Space()
     text = "Abc, ab".encode()
@@ -294,6 +337,101 @@ def test_classifier(spark, odd, none):
     assert quality_classifier.score(none, model).count() == 0
 
 
+class BruteQuality:
+    """Co-training on lists of features, one document at a time."""
+
+    def __init__(self, rows, good, aside):
+        self.q = quality_classifier
+        self.rows = [(self.words(t), self.shapes(t), list(m)) for t, m in rows]
+        self.good, self.aside = good, aside
+
+    def bucket(self, word):
+        data = np.frombuffer(word, np.uint8)
+        return int(range_hashes(data, np.array([0]), np.array([len(data)]), lower=True)[0] % np.uint64(self.q.WORDS))
+
+    def split(self, text):
+        return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+
+    def words(self, text):
+        return {self.bucket(w) for w in self.split(text)}
+
+    def shapes(self, text):
+        spread = lambda x: int(mixed(np.array([x], np.uint64))[0] % np.uint64(self.q.WORDS))
+        found = self.split(text)
+        if not found:
+            return set()
+        ends = Counter(int(self.q._ENDING[w[-1]]) for w in found)
+        out = {spread(kind * 8 + sum(n / len(found) >= s for s in self.q._SHARES)) for kind, n in ends.items()}
+        # How many of the words are the first of their kind.
+        distinct = len(self.words(text))
+        return out | {spread(1024 + sum(distinct / len(found) >= s for s in self.q._FRESH))}
+
+    def learn(self, labels):
+        """Weights of both views, each from the documents that a label says it may learn from."""
+        out = []
+        for view, size in ((0, self.q.WORDS), (1, self.q.METAS)):
+            counts, n = np.zeros((2, size)), [0, 0]
+            for (words, shapes, meta), label in zip(self.rows, labels[view], strict=True):
+                if label in (0, 1):
+                    n[label] += 1
+                    for key in words | shapes if view == 0 else meta:
+                        counts[label, key] += 1
+            share = n[1] / sum(n)
+            smooth = self.q.SMOOTH
+            out.append(np.log((counts[1] + smooth * share) / n[1]) - np.log((counts[0] + smooth * (1 - share)) / n[0]))
+        return out
+
+    def bins(self, weights):
+        out = []
+        for words, shapes, meta in self.rows:
+            text = sum(weights[0][k] for k in words - shapes) / math.sqrt(max(len(words), 1)) + sum(weights[0][k] for k in shapes)
+            pair = (text, sum(weights[1][k] for k in meta))
+            reach, n = self.q.REACH, self.q.BINS
+            out.append([int((min(max(x, -reach), reach - 1e-9) + reach) * n / (2 * reach)) for x in pair])
+        return out
+
+    def scores(self):
+        known = [-1 if a else g for g, a in zip(self.good, self.aside, strict=True)]
+        labels = (known, known)
+        for k in range(self.q.ROUNDS + 1):
+            bins, curves = self.bins(self.learn(labels)), []
+            for view in (0, 1):
+                tally = np.zeros((2, self.q.BINS))
+                for at, g, a in zip(bins, self.good, self.aside, strict=True):
+                    if a and g >= 0:
+                        tally[g, at[view]] += 1
+                curves.append(self.q.calibrated(tally[1], tally[0]))
+            if k < self.q.ROUNDS:
+                sure = lambda p: 1 if p >= self.q.SURE else 0 if p <= 1 - self.q.SURE else -1
+                teach = lambda view: [
+                    sure(curves[view][at[view]]) if g < 0 else k0 for at, g, k0 in zip(bins, self.good, known, strict=True)
+                ]
+                labels = (teach(1), teach(0))
+        rate = known.count(1) / (known.count(0) + known.count(1))
+        out = []
+        for at in bins:
+            p, q = curves[0][at[0]], curves[1][at[1]]
+            odds = p / (1 - p) * q / (1 - q) * (1 - rate) / rate
+            out.append((p, q, odds / (1 + odds)))
+        return out
+
+
+def test_classifier_equals_brute_force(spark):
+    q = quality_classifier
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    texts = table.select("doc_id", "text", q._meta(table, q.METADATA).alias("meta")).collect()
+    judged = defaultdict(lambda: 1)
+    for r in labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").collect():
+        judged[r.doc_id] = min(judged[r.doc_id], r.quality * (1 - (r.toxic or 0)))
+    good = [judged[r.doc_id] if r.doc_id in judged else -1 for r in texts]
+    aside = [r.doc_id in judged and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in texts]
+    want = BruteQuality([(r.text, r.meta) for r in texts], good, aside).scores()
+    got = {r.doc_id: r[1:] for r in q.score(table, q.co_train(table, labels)).collect()}
+    assert len(got) == len(texts) and -1 in good
+    for r, w in zip(texts, want, strict=True):
+        assert np.allclose(got[r.doc_id], w, atol=1e-9), r.doc_id
+
+
 def test_calibration_does_not_fall():
     r = np.random.default_rng(0)
     p = quality_classifier.calibrated(r.integers(0, 50, 96), r.integers(0, 50, 96))
