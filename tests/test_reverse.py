@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,20 @@ def test_merge_by_rules_and_by_function(spark):
     assert tuple(merged.first()) == (1, 5)
 
 
+def test_merge_by_arrow_batches(spark):
+    pg, lake = pair(spark, ("k", 1, 0, 1), ("k", 0, 5, 2))
+
+    def pick(p, l):
+        return pa.table({"b": l["b"], "a": pc.cast(p["a"], pa.int32())})
+
+    # Columns go by name and are cast to the declared types.
+    merged = cf.merge_with_arrow(pg, lake, ["k"], pick, "a BIGINT, b BIGINT")
+    assert tuple(merged.first()) == (1, 5) and merged.columns == ["a", "b"]
+    assert cf.merge_with_arrow(pg.limit(0), lake, ["k"], pick, "a BIGINT, b BIGINT").count() == 0
+    with pytest.raises(Exception, match="0 rows for 1 pairs"):
+        cf.merge_with_arrow(pg, lake, ["k"], lambda p, l: pick(p, l).slice(1), "a BIGINT, b BIGINT").collect()
+
+
 def test_merge_rules_fold(spark):
     changes = [("old", 1, 5, 1), ("old", 2, 9, 2), ("old", 3, 7, 3), ("new", 1, 4, 1), ("new", 2, 3, 2)]
     target = [("old", 6, "x", 0)]
