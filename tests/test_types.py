@@ -120,6 +120,18 @@ def test_drift_cases(spark):
     assert (state["found"], state["reconciled"], state["state"]) == ("schema_drift", True, "in_sync")
 
 
+def test_reconcile_of_a_table_with_an_unmapped_column(spark):
+    pg = [("a", "new", "text"), *[(t, n, p) for t in "abc" for n, p in (("id", "bigint"), ("odd", "some_enum"))]]
+    rows = [(t, i, n, p, True) for i, (t, n, p) in enumerate(pg)]
+    cols = spark.createDataFrame(rows, "table STRING, position INT, name STRING, pg_type STRING, nullable BOOLEAN")
+    had = [("a", "id", "LONG"), ("b", "id", "LONG"), ("c", "id", "LONG"), ("c", "odd", "STRING")]
+    reg = spark.createDataFrame(had, "table STRING, name STRING, registered_type STRING")
+    written = sorted((r["table"], r["name"]) for r in catalog.reconcile(cols, reg, partial=True).collect())
+    # b is in sync but for what has no type; c is registered with a column that has none any more.
+    assert written == [("a", "id"), ("a", "new"), ("c", "id")]
+    assert catalog.reconcile(cols, reg).collect() == []
+
+
 def test_aliases_count_only_by_default(spark):
     pg, reg = [("a", "integer"), ("d", "numeric(10,2)")], [("a", "INT"), ("d", "DECIMAL(10, 2)")]
     assert len(drift(spark, pg, reg)[0]["type_changed"]) == 2

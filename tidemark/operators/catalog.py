@@ -151,9 +151,15 @@ def schema_states(compared: DataFrame, table: Sequence[str] = ("table",)) -> Dat
 
 
 def reconcile(
-    columns: DataFrame, registered: DataFrame, table: Sequence[str] = ("table",)
+    columns: DataFrame, registered: DataFrame, table: Sequence[str] = ("table",), partial: bool = False
 ) -> DataFrame:
-    """The registration to write again: all columns of each repairable table in drift."""
+    """The registration to write again: all columns of each repairable table in drift.
+
+    A column nobody can map keeps its table from being repaired. With ``partial`` it counts
+    as not there: the other columns say whether a table is in drift, and are written.
+    """
+    if partial:
+        columns = map_types(columns).filter(F.col("unmapped").isNull()).select(*columns.columns)
     states = schema_states(schema_drift(columns, registered, table), table)
     drifted = states.filter("reconciled").select(*table)
     return descriptors(columns.join(drifted, list(table), "left_semi"))
