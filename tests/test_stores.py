@@ -97,6 +97,37 @@ def test_intervals_are_the_set_of_offsets(spark, seed, monkeypatch):
     assert sorted(map(str, map(tuple, left.collect()))) == sorted({str(x) for x in new if x[:3] not in covered})
 
 
+def test_sets_of_offsets_with_bits(spark):
+    r = random.Random(5)
+    schema = "topic STRING, partition INT, offset BIGINT, value STRING"
+    edges = [-(2**63), -257, -256, -1, 0, 255, 256, 2**60 + 255, 2**60 + 256]
+    first = [*range(300, 1100), *edges[::2], *r.sample(range(5000, 9000), 900)]
+    second = [*range(256, 300), *range(1100, 1280), *edges[1::2], *r.sample(range(5000, 9000), 900)]
+    rows = lambda found: spark.createDataFrame([("t", 0, o, "x") for o in found], schema)
+    done = spark.createDataFrame([], intervals.DONE)
+    for part in (first, second):
+        done = spark.createDataFrame(intervals.added(done, rows(part)).collect(), intervals.DONE)
+    assert done.count() < 30 and done.filter("bits IS NULL").count() == 1  # 256 to 1279, whole
+    want = sorted({*first, *second})
+    ends = sorted((i["min_offset"], i["max_offset"]) for i in intervals.intervals(done).collect())
+    assert [o for a, b in ends for o in range(a, b + 1)] == want
+    assert all(b + 1 < c for (_, b), (c, _) in zip(ends, ends[1:]))
+    new = [*r.sample(want, 50), *range(-300, -250), *range(1270, 1290), *r.sample(range(5000, 9000), 500), -(2**63)]
+    got = sorted(x["offset"] for x in intervals.fresh(rows(new + new[:100]), done).collect())
+    assert got == sorted(set(new) - set(want))
+
+
+def test_gaps_everywhere_leave_a_ledger_entry_small(spark, folder):
+    """Every offset is an interval of its own, and no task writes them all."""
+    assert feed.append(batch(spark, *range(2000)), folder) == 0
+    assert ledger.entries(spark, folder, feed.ENTRY).count() == 2
+    assert feed.committed_offsets(spark, folder).count() == 2000
+    assert feed.append(batch(spark, *range(1990, 2010)), folder) == 1
+    rows = sorted((r["partition"], r["min_offset"], r["max_offset"], r["rows"]) for r in
+                  ledger.entries(spark, folder, feed.ENTRY).filter("version = 1").collect())
+    assert rows == [(0, 0, 2008, 5), (1, 1, 2009, 5)]
+
+
 def test_rejects_and_tombstones_count_as_seen(spark, folder):
     values = {1: None, 3: '{"__op":"c"}', 4: "{bad"}
     feed.append(batch(spark, 0, 1, 2, 3, 4, values=values), folder)

@@ -1,9 +1,10 @@
 """The change feed: exactly-once append of messages, and reading it back.
 
 ``<root>/data/version=v/status=s/project=p/table=t``: one dataset for all tables
-and, under another status, for the rejected messages and tombstones. Every ledger
-entry carries the committed offsets of all topic partitions as intervals, so what is
-new in a batch is told by one small version and not by the history.
+and, under another status, for the rejected messages and tombstones. A ledger entry has
+one row per topic partition. Next to it, ``<root>/offsets/version=v`` holds the set of all
+committed offsets (``offsets``), written by many tasks before the entry makes it count, so
+what is new in a batch is told by one small version and not by the history.
 """
 
 from __future__ import annotations
@@ -24,21 +25,27 @@ ACCEPTED, REJECTED, EMPTY = "accepted", "rejected", "tombstone"
 
 def offset_marks(spark: SparkSession, root: str) -> DataFrame:
     """The committed offset of every topic partition."""
-    return _marks(committed_offsets(spark, root))
+    entry = _entry(spark, root, ledger.last_version(spark, root, ENTRY))
+    return entry.groupBy("topic", "partition").agg(F.max("max_offset").alias("max_offset"))
 
 
 def committed_offsets(spark: SparkSession, root: str) -> DataFrame:
     """The offsets done: topic, partition, min_offset, max_offset; intervals never touch."""
-    return _intervals(spark, root, ledger.last_version(spark, root, ENTRY))
+    return offsets.intervals(_done(spark, root, ledger.last_version(spark, root, ENTRY)))
 
 
-def _intervals(spark: SparkSession, root: str, version: int) -> DataFrame:
+def _entry(spark: SparkSession, root: str, version: int) -> DataFrame:
     entry = ledger.entries(spark, root, ENTRY).filter(F.col("version") == version)
     return entry.select("topic", "partition", "min_offset", "max_offset")
 
 
-def _marks(intervals: DataFrame) -> DataFrame:
-    return intervals.groupBy("topic", "partition").agg(F.max("max_offset").alias("max_offset"))
+def _done(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The set of offsets committed up to a version."""
+    stored = ledger.read_or_empty(spark, f"{root}/offsets/version={version}", offsets.DONE)
+    if version < 0 or stored.inputFiles():
+        return stored
+    # The entry of a feed from before there was a set has the intervals themselves.
+    return _entry(spark, root, version).withColumn("bits", F.lit(None).cast("array<bigint>"))
 
 
 def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool = False) -> int | None:
@@ -51,9 +58,9 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool =
     """
     spark = messages.sparkSession
     last = ledger.last_version(spark, root, ENTRY)
-    version, done = last + 1, _intervals(spark, root, last)
+    version, done = last + 1, _done(spark, root, last)
     # An ordered source has delivered all there is below its mark.
-    known = done.withColumn("min_offset", F.lit(-(2**63))) if ordered else done
+    known = offset_marks(spark, root).withColumn("min_offset", F.lit(-(2**63))) if ordered else done
     fresh = offsets.fresh(messages, known)
     rows = envelope.normalize(fresh, prefix)
     status = (
@@ -69,17 +76,17 @@ def append(messages: DataFrame, root: str, prefix: str = "cdc", ordered: bool =
     written = ledger.read_or_empty(spark, path, STORED.replace("version BIGINT, ", ""))
     if not written.inputFiles():
         return None
-    runs = offsets.islands(written, rows=F.count_if(F.col("status") == ACCEPTED))
-    covered = offsets.merged(done.unionByName(runs.drop("rows")))
-    accepted = runs.groupBy("topic", "partition").agg(F.max("max_offset").alias("_last"), F.sum("rows").alias("_rows"))
-    # The rows of a topic partition are noted once, where its last new offset lies.
-    within = F.col("_last").between(F.col("min_offset"), F.col("max_offset"))
-    entry = covered.join(accepted, ["topic", "partition"], "left").select(
-        "topic",
-        "partition",
-        "min_offset",
-        "max_offset",
-        F.when(within, F.col("_rows")).otherwise(0).alias("rows"),
+    offsets.added(done, written).write.mode("overwrite").parquet(f"{root}/offsets/version={version}")
+    # Of a topic partition: the first and last offset so far, and the new rows.
+    accepted = F.when(F.col("status") == ACCEPTED, 1).otherwise(0)
+    new = written.filter(F.col("offset").isNotNull()).select(
+        "topic", "partition", F.col("offset").alias("min_offset"), F.col("offset").alias("max_offset"), accepted.alias("rows")
+    )
+    old = _entry(spark, root, last).withColumn("rows", F.lit(0))
+    entry = old.unionByName(new).groupBy("topic", "partition").agg(
+        F.min("min_offset").alias("min_offset"),
+        F.max("max_offset").alias("max_offset"),
+        F.sum("rows").alias("rows"),
         F.current_timestamp().alias("commit_ts"),
     )
     ledger.commit(entry, root, version)

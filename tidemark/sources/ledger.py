@@ -55,5 +55,8 @@ def last_version(spark: SparkSession, root: str, schema: str) -> int:
 
 
 def commit(entry: DataFrame, root: str, version: int) -> None:
-    """Make a version visible. One file, so that the entry is all or nothing."""
-    entry.coalesce(1).write.mode("overwrite").parquet(f"{root}/ledger/version={version}")
+    """Make a version visible. One file, so that the entry is all or nothing.
+
+    Its rows are shuffled to the task that writes it, which computes none of them.
+    """
+    entry.repartition(1).write.mode("overwrite").parquet(f"{root}/ledger/version={version}")
