@@ -436,3 +436,18 @@ def test_calibration_does_not_fall():
     r = np.random.default_rng(0)
     p = quality_classifier.calibrated(r.integers(0, 50, 96), r.integers(0, 50, 96))
     assert (np.diff(p) >= 0).all() and len(p) == 96 and p.min() > 0 and p.max() < 1
+
+
+def test_texts_without_repeated_windows_are_not_sorted(spark):
+    """Only texts with windows of one hash are; of those the words decide, not the hash."""
+    from pyspark.sql import functions as F
+
+    texts = ["a b c d e f", "a b c d a b c", "a a a a", "a b", "", "x a b c y a b c z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text STRING").coalesce(1)
+    words = quality_rules.word_list(F.col("text"))
+    same = lambda *w: F.lit(7).cast("long") + F.length(w[0]) * 0
+    for hashed in (F.xxhash64, same):
+        found = rows.select(quality_rules.repeated_words(words, hashed).alias("n"))
+        assert [r["n"] for r in found.collect()] == [0, 6, 4, 0, 0, 6]
+    plan = rows.select(quality_rules.repeated_words(words))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan

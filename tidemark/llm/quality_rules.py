@@ -45,12 +45,13 @@ def repeated_words(words: Column, hashed: Callable[..., Column] = F.xxhash64) ->
     Windows are sorted by a hash and their place, and count as equal only where their words are.
     """
 
+    none = F.array().cast("array<int>")
+
     def positions(w: Column) -> Column:
         """Positions of the windows that occur again, in order; equal windows sort near each other."""
         window = lambda i: F.slice(w, i + 1, 3)
-        numbered = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(hashed(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
+        hashes = F.transform(
+            F.sequence(F.lit(0), F.size(w) - 3), lambda i: hashed(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
         )
 
         def again(s: Column) -> Column:
@@ -71,10 +72,16 @@ def repeated_words(words: Column, hashed: Callable[..., Column] = F.xxhash64) ->
                 s, lambda a, k: met(F.get(s, k - 1), a) | met(F.get(s, k + 1), a) | (mixed(a, k) & crowd(a))
             )
 
-        return F.sort_array(F.transform(let(F.sort_array(numbered), again), lambda x: x["i"]))
+        def among(h: Column) -> Column:
+            numbered = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+            found = F.sort_array(F.transform(let(F.sort_array(numbered), again), lambda x: x["i"]))
+            # Equal windows have equal hashes: most texts have none and are not sorted.
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(found)
+
+        return let(hashes, among)
 
     def found(w: Column) -> Column:
-        return F.when(F.size(w) < 3, F.array().cast("array<int>")).otherwise(positions(w))
+        return F.when(F.size(w) < 3, none).otherwise(positions(w))
 
     start = F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(F.lit(3), i - acc["at"])).alias("n"))
