@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_texts, prose
 from tidemark.llm import line_dedup, ngram_join, suffix_dedup, suffix_sort
@@ -139,6 +140,58 @@ def test_sets_that_lack_nothing_meet_larger_ones(spark, boundary):
     assert found == sorted(((i, 9 + (i % 3 > 0), i // 3 * 3) for i, _ in texts), key=repr)
 
 
+def _lists_of(texts, spark, name):
+    """All texts as one long list, with what it is dealt from."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    order = ngram_join._Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sketched = ngram_join._sketches(docs, order, 9, (90, 100), 3)
+    classes = ngram_join._classes(ngram_join.written(sketched, name).where("n > 0"))
+    blocks = F.lit(-(-len(texts) // 8))
+    return classes.select(F.col("node").alias("member"), "n", F.lit(1).cast("long").alias("key"), blocks.alias("blocks")), docs, classes
+
+
+def test_a_crowded_list_is_not_dealt_by_the_square(spark):
+    """Sets of one list that share its shingle only, and pairs of similar ones among them."""
+    r = random.Random(3)
+    texts = [" ".join(["a", "b", "c", *(f"w{r.randrange(10**6)}" for _ in range(r.randrange(18, 400)))]) for _ in range(240)]
+    texts += [t + " more" for t in texts[::6]]
+    met = {}
+    for n in (140, 280):
+        rows = ngram_join._uncrowded(*_lists_of(texts[-n:], spark, f"crowd{n}"), (90, 100), 8, 3)
+        met[n] = rows.collect()
+        assert len(met[n]) <= 4 * n  # by pairs of blocks of 8: 140 * 18 and 280 * 35
+    places = defaultdict(set)
+    for row in met[280]:
+        places[row.member].add((row.key, row.i, row.j))
+    for a in range(0, 240, 6):
+        assert places[a] & places[240 + a // 6]
+
+
+@pytest.mark.parametrize("threshold", [(90, 100), (80, 100), (50, 100)])
+def test_similar_sets_agree_in_a_part(threshold):
+    r = random.Random(9)
+    texts = []
+    for size in (1, 2, 4, 9, 10, 11, 12, 30, 90, 100, 101, 400):
+        base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        for _ in range(8):
+            cut = base[: max(1, size - r.randrange(1 + size // 5))]
+            cut[r.randrange(len(cut))] = "new" + str(r.random())
+            texts += [" ".join(base[: max(1, size - r.randrange(1 + size // 5))]), " ".join(cut)]
+    raw = [t.encode() for t in texts]
+    sets = ngram_join.Sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    exact, keys = [shingles(t) for t in texts], defaultdict(set)
+    for owner, key in zip(*sets.part_keys(threshold), strict=True):
+        keys[int(owner)].add(int(key))
+    num, den = threshold
+    similar = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            if den * len(exact[a] & exact[b]) >= num * len(exact[a] | exact[b]):
+                similar += exact[a] != exact[b]
+                assert keys[a] & keys[b], (a, b)
+    assert similar > 10
+
+
 def test_boundary_follows_cost():
     assert ngram_join.cost_boundary(0.0) == 9  # sets below ten link only if equal, others cost more by subsets
     assert ngram_join.cost_boundary(0.2) > 20

@@ -8,8 +8,10 @@ between small and large is where the measured costs of both ways cross. Short li
 the shared shingle rule a match out. What is left is verified on whole sets.
 
 Scale: equal sets are collapsed first, by a partial aggregate, so a group of copies costs one set. Lists with the same
-members are scanned once, and lists that share members are scanned together where that ships fewer sets. What is long is
-cut into blocks and scanned as pairs of blocks by different tasks, so a task holds two blocks at most. Intersections are
+members are scanned once, and lists that share members are scanned together where that ships fewer sets. A crowded list
+is parted by sizes, and the sets of what is crowded still by equal parts of their shingles, one of which similar sets
+have; a row is made once a size or a part and not once a block of the list. What is long after that, as near copies are,
+is cut into blocks and scanned as pairs of blocks by different tasks, so a task holds two blocks at most. Intersections are
 counted pair by pair for rare shingles and by products of the incidence matrix for others, and a task returns one link
 per member to the least it is connected to, never all pairs. Only the order's ``HEAVY`` most frequent shingles are broadcast; they
 change speed, not results: any order gives the same links.
@@ -83,6 +85,28 @@ class Sets:
             out.append((sums[self.bounds[1:]] - sums[self.bounds[:-1]]).view(np.int64))
         return out[0], out[1]
 
+    def part_keys(self, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and keys of sets, of which any two similar sets share one.
+
+        Sets of two neighbouring classes of sizes are parted by a hash of the shingle into one part more than similar
+        ones may differ in shingles, so one part at least is equal in both. A key is the sum of a part.
+        """
+        num, den = threshold
+        step = class_step(threshold)
+        own = np.floor(np.log(np.maximum(self.sizes, 1)) / step).astype(np.int64)
+        dealt, value = (mixed(self.shingles ^ np.uint64(salt)) for salt in (0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35))
+        owners, keys = [], []
+        for group in (own, own - 1):
+            most = np.floor(np.exp((group + 2) * step)).astype(np.int64) + 1
+            parts = np.where(self.sizes > 0, (den - num) * 2 * most // (num + den) + 1, 0)
+            ends = np.concatenate(([0], np.cumsum(parts)))
+            sums = np.zeros(int(ends[-1]), np.uint64)
+            np.add.at(sums, ends[self.owner] + (dealt % parts[self.owner].astype(np.uint64)).astype(np.int64), value)
+            owner = np.repeat(np.arange(len(parts)), parts)
+            place = (group[owner] << 32) + np.arange(len(owner)) - ends[owner]
+            owners.append(owner)
+            keys.append(mixed(sums ^ mixed(place.view(np.uint64))).view(np.int64))
+        return np.concatenate(owners), np.concatenate(keys)
 
     def sketches(self) -> pa.ListArray:
         """For each set the parity, bit by bit, of how many of its shingles fall on the bit.
@@ -134,6 +158,12 @@ def may_lack(n: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarra
     return n - (num * n + den - 1) // den
 
 
+def class_step(threshold: tuple[int, int] = THRESHOLD) -> float:
+    """How much the logarithms of sizes of a class differ. Sizes of similar sets are of one class or neighbouring ones."""
+    num, den = threshold
+    return float(np.log(max(den / num, 1.01))) * (1 + 1e-9)
+
+
 def cost_boundary(repeated: float, threshold: tuple[int, int] = THRESHOLD) -> int:
     """The largest set for which meeting by subsets costs no more than scanning lists.
 
@@ -397,12 +427,70 @@ def _blocks(sets: Column, shingles: Column, block_sets: int) -> Column:
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows of (member, kind, key, blocks) once for each pair of blocks their member belongs to."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    whole = rows.where("blocks = 1").select("member", "kind", "key", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    rows = rows.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     rows = rows.select("member", "kind", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return rows.select("member", "kind", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("member", "kind", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return whole.unionByName(rows)
+
+
+def _grouped(rows: DataFrame, block_sets: int) -> DataFrame:
+    """Rows (member, key) of groups of several members with their blocks; of groups with the same members one."""
+    rows = rows.select("member", "key")
+    groups = rows.groupBy(F.col("key").alias("of")).agg(
+        F.count(F.lit(1)).alias("members"),
+        F.sum(F.xxhash64("member").cast("decimal(20,0)")).alias("who"),
+        F.min("member").alias("hub"),
+    )
+    groups = groups.where("members > 1").groupBy("members", "who", "hub").agg(F.min("of").alias("of"))
+    groups = groups.select("of", F.ceil(F.col("members") / block_sets).cast("int").alias("blocks"))
+    return rows.join(groups, F.col("key") == F.col("of")).drop("of")
+
+
+def _uncrowded(
+    lists: DataFrame, documents: DataFrame, classes: DataFrame, threshold: tuple[int, int], block_sets: int, shingle: int
+) -> DataFrame:
+    """(member, key, i, j) of long lists (member, n, key, blocks): what may be similar meets in some (key, i, j).
+
+    Only groups of a size class and its neighbour that are crowded still are parted by equal parts of their sets, and only
+    what agrees in a part and is crowded still is dealt by pairs of blocks.
+    """
+    own = F.floor(F.log("n") / class_step(threshold))
+    crowded = lists.where("blocks > 1")
+    sizes = [crowded.select("member", F.xxhash64("key", of).alias("key")) for of in (own, own - 1)]
+    sized = written(_grouped(sizes[0].unionByName(sizes[1]), block_sets), "sized")
+    crowd = sized.where("blocks > 1").select("member").distinct()
+    at = classes.select("node", F.col("rep").alias("of_doc"), F.col("t").alias("of_t"))
+    crowd = crowd.join(at, F.col("member") == F.col("node"))
+    texts = _texts(documents).join(crowd, (F.col("doc_id") == F.col("of_doc")) & (F.col("t") == F.col("of_t")))
+    # A row of each set: rows may repeat a doc_id and its text.
+    parts = written(_part_keys(texts, threshold, shingle).distinct(), "parts")
+    alike = written(_grouped(parts, block_sets), "alike", done=[parts])
+    whole = [lists.where("blocks = 1"), sized.where("blocks = 1"), alike]
+    kinds = [rows.select("member", F.lit(i).alias("kind"), "key", "blocks") for i, rows in enumerate(whole)]
+    dealt = _dealt(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
+    return dealt.select("member", F.xxhash64("kind", "key").alias("key"), "i", "j")
 
 
-def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], block_sets: int) -> DataFrame:
+_PART = pa.schema([("member", pa.int64()), ("key", pa.int64())])
+
+
+def _part_keys(texts: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            member = rows.column(0).to_numpy()
+            data, bounds = byte_columns(rows.column(1))
+            for i, j in slices(bounds):
+                sets = Sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle)
+                owners, found = sets.part_keys(threshold)
+                yield batch(_PART, (member[i:j][owners], found))
+
+    return arrow_map(texts.select("member", "text"), keys, "member long, key long")
+
+
+def _members(
+    documents: DataFrame, classes: DataFrame, boundary: int, threshold: tuple[int, int], block_sets: int, shingle: int
+) -> DataFrame:
     """(member, kind, key, i, j): which sets are compared where.
 
     Short lists give pairs that may be similar by their sizes and by the places of the shared shingle: what stands before
@@ -419,7 +507,6 @@ def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], bloc
     posted = posted.withColumns({"at": F.when(placed, F.col("at")).otherwise(0), "placed": placed})
     lists = posted.groupBy(F.col("key").alias("of")).agg(
         F.count(F.lit(1)).alias("members"),
-        F.sum("n").alias("shingles"),
         F.sum(F.xxhash64("member").cast("decimal(20,0)")).alias("who"),
         F.min("member").alias("hub"),
     )
@@ -442,10 +529,11 @@ def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], bloc
     long = listed.where(F.col("members") > SHORT_LIST)
     once = long.groupBy("members", "who", "hub").agg(F.min("key").alias("of"))
     long = long.join(once.select("of"), F.col("key") == F.col("of"))
-    blocks = _blocks(F.col("members"), F.col("shingles"), block_sets)
-    long = _dealt(long.select("member", F.col("placed").cast("int").alias("kind"), "key", blocks.alias("blocks")))
-    # The lists of a key's postings and of its subsets, kind 1 and 0, are parted in the same way.
-    long = long.withColumn("key", F.xxhash64("kind", "key")).drop("kind")
+    # The lists of a key's postings and of its subsets are parted in the same way. Only sketches are sent, so that a block
+    # is bounded by its sets alone.
+    blocks = F.ceil(F.col("members") / block_sets).cast("int").alias("blocks")
+    long = long.select("member", "n", F.xxhash64(F.col("placed").cast("int"), "key").alias("key"), blocks)
+    long = _uncrowded(long, documents, classes, threshold, block_sets, shingle)
     parts = _sublists(long.join(sketched, F.col("member") == F.col("node")), threshold)
     long = written(parts.select("member", "hub", F.xxhash64("key", "i", "j", "hub").alias("key")), "long", done=[listed])
     ends = pairs.select(F.explode(F.array("a", "b")).alias("member"), F.xxhash64("a", "b").alias("key"))
@@ -465,7 +553,7 @@ def _members(classes: DataFrame, boundary: int, threshold: tuple[int, int], bloc
     by_cluster = sets.where("whole").select("member", F.lit(0).alias("kind"), F.col("cluster").alias("key"), F.col("parts").alias("blocks"))
     apart = sets.where("not whole").select(F.col("member").alias("_member"))
     by_home = _by_home(places.join(apart, F.col("member") == F.col("_member")).select("member", "key"))
-    return _dealt(by_cluster).unionByName(_dealt(by_home.withColumn("blocks", F.lit(1)))).distinct()
+    return _dealt(by_cluster).unionByName(by_home.withColumns({"i": F.lit(0), "j": F.lit(0)})).distinct()
 
 
 def _by_home(places: DataFrame) -> DataFrame:
@@ -522,7 +610,7 @@ def _linked(
         boundary = cost_boundary(repeated, threshold)
     sketches = written(_sketches(documents, _Order(shingles, counts), boundary, threshold, shingle), "sketches")
     classes = _classes(sketches.where("n > 0 and doc_id is not null"))
-    members = _members(classes, boundary, threshold, block_sets)
+    members = _members(documents, classes, boundary, threshold, block_sets, shingle)
     at = classes.select("node", F.col("rep").alias("of_doc"), F.col("t").alias("of_t"))
     members = members.join(at, F.col("member") == F.col("node")).drop("node")
     texts = _texts(documents).join(members, (F.col("doc_id") == F.col("of_doc")) & (F.col("t") == F.col("of_t")))
