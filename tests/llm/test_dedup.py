@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_texts, prose
 from tidemark.llm import line_dedup, ngram_join, suffix_dedup, suffix_sort
+from tidemark.llm.common import slices
 from tidemark.llm.components import components
 
 SOLID = r"[^\x20\x09-\x0D]+"
@@ -319,3 +321,23 @@ def test_repeated_runs_go_whole(spark):
     assert rows_of(found.select("row.doc_id", "text")) == sorted(expected.items(), key=repr)
     for x in found.collect():  # runs are maximal: none begins where another ends
         assert all(p.end + 1 < q.start for p, q in zip(x.runs, x.runs[1:]))
+
+
+def test_proposed_shingles_are_held_once():
+    """What a task proposes, by a plain count, in less than 40 bytes a shingle (49 before)."""
+    texts = [prose(s, 4000).encode() for s in range(400)] + [b"", b"one two", b"a b c d " * 500]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    counts = defaultdict(int)
+    for i, j in slices(bounds):
+        for h in ngram_join.Sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]).shingles.tolist():
+            counts[h] += 1
+    ngram_join._proposed(data, bounds, 3)  # what is kept over calls
+    tracemalloc.start()
+    shingles, n, total, repeated = ngram_join._proposed(data, bounds, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    often = sorted(((-c, h) for h, c in counts.items() if c > 2))[: ngram_join.PROPOSED]
+    assert list(zip((-n).tolist(), shingles.tolist())) == often
+    assert (total, repeated) == (sum(counts.values()), sum(c for c in counts.values() if c > 1))
+    assert peak < 40 * total

@@ -125,6 +125,24 @@ class Sets:
 _COUNTED = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("repeated", pa.int64())])
 
 
+def _proposed(data: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The most frequent shingles of texts with their counts; how many there are in all, and of shingles that repeat.
+
+    The shingles are held once and sorted in place.
+    """
+    found = np.concatenate(
+        [Sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], shingle).shingles for a, b in slices(bounds)]
+    )
+    found.sort()
+    fresh = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
+    n = np.diff(first, append=len(found))
+    often = np.flatnonzero(n > 2)
+    top = often[np.argsort(-n[often], kind="stable")[:PROPOSED]]
+    return found[first[top]], n[top], len(found), int(n[n > 1].sum())
+
+
 def shingle_statistics(documents: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, float]:
     """The most frequent shingles in order with their counts, and the share of shingles that occur again near by."""
 
@@ -132,15 +150,9 @@ def shingle_statistics(documents: DataFrame, shingle: int = SHINGLE) -> tuple[np
         for rows in batches:
             data, bounds = byte_columns(rows.column(0))
             for i, j in slices(bounds, 16 << 20):
-                found = [
-                    Sets(data[bounds[a + i] : bounds[b + i]], bounds[a + i : b + i + 1] - bounds[a + i], shingle).shingles
-                    for a, b in slices(bounds[i : j + 1])
-                ]
-                shingles, n = np.unique(np.concatenate(found), return_counts=True)
-                top = np.argsort(-n, kind="stable")[:PROPOSED]
-                top = top[n[top] > 2]
-                yield batch(_COUNTED, (shingles[top].view(np.int64), n[top], np.zeros(len(top)), np.zeros(len(top))))
-                yield batch(_COUNTED, ([None], [None], [int(n.sum())], [int(n[n > 1].sum())]))
+                shingles, n, total, repeated = _proposed(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], shingle)
+                yield batch(_COUNTED, (shingles.view(np.int64), n, np.zeros(len(n)), np.zeros(len(n))))
+                yield batch(_COUNTED, ([None], [None], [total], [repeated]))
 
     rows = arrow_map(documents.select(F.col("text").cast("string")), propose, "shingle long, n long, total long, repeated long")
     rows = rows.groupBy("shingle").agg(*[F.sum(c).alias(c) for c in ("n", "total", "repeated")])
@@ -261,8 +273,8 @@ def _shared(n: int, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
         if not len(same):
             break
         pairs, times = np.unique(own[same] * n + own[same + apart], return_counts=True)
-        inter.ravel()[pairs] += times
-    inter += inter.T
+        inter[pairs // n, pairs % n] += times
+        inter[pairs % n, pairs // n] += times
     # Heavy values: products of the incidence matrix, some columns at a time.
     owner, column = owner[~light], which[~light]
     fresh = np.append(True, column[1:] != column[:-1]) if len(column) else np.zeros(0, bool)
@@ -281,7 +293,10 @@ def _roots(near: np.ndarray) -> np.ndarray:
     n = len(near)
     root = np.arange(n, dtype=np.int32)
     while True:
-        least = np.minimum(root, np.where(near, root[None, :], np.int32(n)).min(axis=1, initial=n))
+        least = root.copy()
+        for a in range(0, n, 256):
+            own = np.where(near[a : a + 256], root[None, :], np.int32(n)).min(axis=1, initial=n)
+            least[a : a + 256] = np.minimum(root[a : a + 256], own)
         least = least[least]
         if (least == root).all():
             return root
