@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_texts, prose
+from tidemark.llm import components as components_module
 from tidemark.llm import line_dedup, ngram_join, suffix_dedup, suffix_sort
 from tidemark.llm.common import slices
 from tidemark.llm.components import components
@@ -208,6 +209,29 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a LONG, b LONG")).count() == 0
 
 
+def test_links_to_roots_need_no_round(spark, monkeypatch):
+    tables, write = [], components_module.written
+    monkeypatch.setattr(components_module, "written", lambda rows, *a, **b: tables.append(rows) or write(rows, *a, **b))
+    stars = [(k, k % 3) for k in range(3, 30)] + [(0, 9), (50, 40), (7, 7)]
+    found = dict(components(spark.createDataFrame(stars, "a LONG, b LONG")).collect())
+    assert found == {k: k % 3 for k in range(3, 30)} | {50: 40} and len(tables) == 1
+    # A node of two links down, and one between two links, are no roots yet.
+    for links in ([(5, 3), (5, 1)], [(5, 3), (3, 1)]):
+        assert dict(components(spark.createDataFrame(links, "a LONG, b LONG")).collect()) == {5: 1, 3: 1}
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_classes_are_joined_only_where_ids_clash(spark, twice):
+    rows = [(1, 11, 5, 1, 1), (2, 12, 5, 1, 1), (3, 13, 5, 2, 1)] + [(1, 14, 5, 3, 1), (1, 15, 5, 4, 1)] * twice
+    rows = [(*r, [r[3]], [0]) for r in rows]
+    rows = spark.createDataFrame(rows, "doc_id LONG, t LONG, n LONG, s1 LONG, s2 LONG, keys ARRAY<LONG>, sketch ARRAY<LONG>")
+    classes = ngram_join._classes(rows)
+    assert ("Join" in classes._jdf.queryExecution().optimizedPlan().toString()) == twice
+    nodes = {r.s1: (r.rep, r.node) for r in classes.collect()}
+    assert {s: rep for s, (rep, _) in nodes.items()} == {1: 1, 2: 3} | ({3: 1, 4: 1} if twice else {})
+    assert len({node for _, node in nodes.values()}) == len(nodes) and nodes[1] == (1, 1) and nodes[2] == (3, 3)
+
+
 def cut_bytes(texts, length):
     """(doc_id, bytes, removed, spans, digest) by looking at every string."""
     order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0))

@@ -13,8 +13,8 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
     least = least.select("at", F.least("at", "m").alias("m"))
-    moved = both.where("v > u").join(least, F.col("u") == F.col("at"))
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # Links go from larger to smaller, so the neighbours above a node are the ends of links that come to it.
+    return links.join(least, F.col("v") == F.col("at")).select("u", F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -24,6 +24,14 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _is_settled(links: DataFrame) -> bool:
+    """Whether every node of distinct links has one link down at most, and none if a link comes to it: then v is u's root."""
+    ends = links.select(F.col("u").alias("at"), F.lit(1).alias("down"))
+    ends = ends.unionByName(links.select(F.col("v").alias("at"), F.lit(0).alias("down")))
+    nodes = ends.groupBy("at").agg(F.sum("down").alias("links"), F.min("down").alias("least"))
+    return not nodes.where("links > 1 or links = 1 and least = 0").count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node of links (a, b) that is not its own root.
 
@@ -32,10 +40,6 @@ def components(links: DataFrame) -> DataFrame:
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = written(links.where("a <> b").select(u, v).distinct(), "links")
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
+    while not _is_settled(now):
         now = written(_small_star(_large_star(now)), "links", done=[now])
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

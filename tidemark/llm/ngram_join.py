@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, batch, byte_columns, kept_in_worker, mixed, range_hashes, slices, table, words, written
+from tidemark.llm.common import arrow_map, batch, byte_columns, forget, kept_in_worker, mixed, range_hashes, slices, table, words, written
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -607,6 +607,10 @@ def _classes(rows: DataFrame) -> DataFrame:
     own = F.struct("s1", "s2", "n")
     clashes = classes.groupBy(F.col("rep").alias("of")).agg(F.count(F.lit(1)).alias("classes"), F.min(own).alias("lead"))
     clashes = written(clashes.where("classes > 1"), "clashes")
+    if clashes.isEmpty():
+        # Nothing to join then, in any of the steps that read the classes.
+        forget(clashes)
+        return classes.withColumn("node", F.col("rep"))
     classes = classes.join(clashes, F.col("rep") == F.col("of"), "left")
     plain = F.col("lead").isNull() | (own == F.col("lead"))
     node = F.when(plain, F.col("rep")).otherwise(F.xxhash64("rep", "s1", "s2", "n"))
